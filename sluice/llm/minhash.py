@@ -7,13 +7,12 @@ of their joint sketch differs, which for k = 64 and a similarity of 0.8 has a pr
 where the sketch is the whole set; a shingle that millions of documents hold makes no list by itself. The least k values of
 the union estimate the similarity of a candidate pair, with a margin of six standard deviations, and full sets decide.
 
-A long list is not expanded into pairs. Every member is first compared with the list's least member; components of the
-confirmed links follow. A list whose members then are in one component is done. Of the others, lists of up to PAIRS members
-compare those of different components pair by pair. A document with at most one run in FREE on longer lists needs those no
-more: its links show on its other lists, but for a probability under 1e-6 even if every run on long lists were shared. The
-other members of long lists go on by the triangle inequality of the Jaccard distance: they are dealt into windows of their
-distance from the pivot, each window gets a pivot of its own, and after ROUNDS of this, what is still unsettled is compared
-block by block, whatever it costs. There is no cap on lists, partners or candidates.
+A long list is not expanded into pairs. Every member is first compared with the list's most central member; components of
+the confirmed links follow. A list whose members then are in one component is done. Of the others, lists of up to PAIRS
+members compare those of different components pair by pair. A document with at most one run in FREE on longer lists needs
+those no more: its links show on its other lists, but for a probability near 1e-7 even if all it has on long lists were
+shared. The remaining members of long lists, in general variants of one text, make families, whose full sets are compared
+in blocks of bounded bytes. There is no cap on lists, partners or candidates.
 
 Null or blank text: an empty set, linked with nothing. Fewer words than a shingle: the whole sequence is the one shingle. Null id: not linked, and kept.
 Rows that repeat an id: each comes out, with the same component if their texts are linked. Empty table: empty result. Other columns are not looked at.
@@ -26,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import chunks, mix, stage, text_bytes, word_bounds, word_hashes
 from sluice.llm.components import components
 
-K, RUN, SMALL, PAIRS, FREE, ROUNDS, SALT = 64, 3, 8, 24, 8, 3, 256
+K, RUN, SMALL, PAIRS, FREE, SALT = 64, 3, 8, 24, 8, 256
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,50 +177,85 @@ def class_links(classes: DataFrame, docs: DataFrame, n: int, percent: int, k: in
     """(node, component) of the classes that are linked with another; None if there is none."""
     check = _Verifier(classes, docs, n, k, percent)
     runs = classes.where("n > 1").select("rep", F.explode(F.array_distinct(_runs(F.col("sketch"), F.col("n")))).alias("run"))
-    sizes = runs.groupBy("run").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    lists = stage(runs.join(sizes, "run"), "lists")
-    held = classes.select("rep", F.size(_runs(F.col("sketch"), F.col("n"))).alias("runs"))
+    lists = stage(runs.join(runs.groupBy("run").agg(F.count("*").alias("size")).where("size > 1"), "run"), "lists")
     if lists.isEmpty():
         return None
-    links, known = None, None
-    for step in range(ROUNDS):
-        pairs = lists.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        compared = stage(check.compared(pairs), "compared")
-        new = check.linked(compared).select("a", "b")
-        links = new if links is None else links.union(new)
-        known = stage(components(links), "components")
-        # lists with members of several components, and each member's component
-        placed = lists.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-        open_lists = placed.groupBy("run").agg(F.count("*").alias("now"), F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("run", "now")
-        members = stage(placed.join(open_lists, "run"), "open")
-        crowded = members.where(f"now > {PAIRS}").groupBy("rep").agg(F.count("*").alias("long")).join(held, "rep").where(f"{FREE} * long > runs").select("rep")
-        many = stage(members.where(f"now > {PAIRS}").join(crowded, "rep", "left_semi").drop("now"), "open")
-        many = many.join(many.groupBy("run").agg(F.count("*").alias("now")), "run")
-        few = members.where(f"now <= {PAIRS}").unionByName(many.where(f"now <= {PAIRS}"))
-        many = many.where(f"now > {PAIRS}")
-        left, right = few.select("run", F.col("rep").alias("a"), F.col("part").alias("pa"), "pivot"), few.select("run", F.col("rep").alias("b"), F.col("part").alias("pb"))
-        rest = left.join(right, "run").where("a > b AND pa != pb AND b != pivot").select("a", "b").distinct()
-        more = stage(check.linked(check.compared(rest)).select("a", "b"), "compared")
-        links = links.union(more)
-        if many.isEmpty():
-            return stage(components(links), "components")
-        # each member goes to the windows of distance from the pivot that hold all it can be linked with; to all of them if sketches told that it is too far
-        far, known_d = 1 - percent / 100, 1 - F.col("common") / F.col("either")
-        w = F.floor(F.when(F.col("rep") == F.col("pivot"), F.lit(0.0)).otherwise(known_d) / far)
-        spread = many.join(compared.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "common", "either"), ["rep", "pivot"], "left")
-        windows = spread.withColumn("w", F.explode(F.when(w.isNull(), F.sequence(F.lit(0).cast("long"), F.lit(int(1 / far + 1)).cast("long"))).otherwise(F.array(w, w - 1)))).where("w >= 0").withColumn("run", F.xxhash64("run", "w"))
-        sizes = windows.groupBy("run").agg(F.count("*").alias("size"), F.min("part").alias("x"), F.max("part").alias("y"), F.min_by("rep", F.xxhash64("rep", F.lit(step))).alias("pivot")).where("size > 1 AND x != y")
-        lists = stage(windows.select("run", "rep").distinct().join(sizes.select("run", "size", "pivot"), "run"), "lists")
-        if lists.isEmpty():
-            return stage(components(links), "components")
-    # what is left: members of different components, block by block
-    known = stage(components(links), "components")
-    placed = lists.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    blocks = F.expr(f"size DIV {SALT}") + 1
-    left = placed.withColumn("x", F.pmod(F.xxhash64("rep"), blocks)).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    right = placed.withColumn("y", F.pmod(F.xxhash64("rep"), blocks)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rest = left.select("run", "x", "y", F.col("rep").alias("a"), F.col("part").alias("pa")).join(right.select("run", "x", "y", F.col("rep").alias("b"), F.col("part").alias("pb")), ["run", "x", "y"]).where("a > b AND pa != pb").select("a", "b").distinct()
-    return stage(components(links.union(check.linked(check.compared(rest)).select("a", "b"))), "components")
+    # the pivot of a list is the member that shares most with all others: edits are counted from there
+    shared = lists.groupBy("rep").agg(F.sum("size").alias("shared"))
+    lists = stage(lists.join(lists.join(shared, "rep").groupBy("run").agg(F.max(F.struct("shared", -F.col("rep"))).alias("top")).select("run", (-F.col("top")["col2"]).alias("pivot")), "run"), "lists")
+    stars = lists.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = stage(check.linked(check.compared(stars)).select("a", "b"), "compared")
+    # lists whose members are now in several components
+    known = stage(components(links), "components").withColumnRenamed("node", "rep")
+    placed = lists.join(known, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+    unsettled = placed.groupBy("run").agg(F.count("*").alias("now"), F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("run", "now")
+    members = stage(placed.join(unsettled, "run"), "open")
+    long = members.where(f"now > {PAIRS}")
+    held = classes.select("rep", F.size(_runs(F.col("sketch"), F.col("n"))).alias("runs"))
+    bound = long.groupBy("rep").agg(F.count("*").alias("on_long")).join(held, "rep").where(f"{FREE} * on_long > runs").select("rep")
+    crowd = stage(long.join(bound, "rep", "left_semi").select("run", "rep", "part"), "crowd")
+    left, right = members.where(f"now <= {PAIRS}").select("run", F.col("rep").alias("a"), F.col("part").alias("pa"), "pivot"), members.where(f"now <= {PAIRS}").select("run", F.col("rep").alias("b"), F.col("part").alias("pb"))
+    rest = left.join(right, "run").where("a > b AND pa != pb AND b != pivot AND a != pivot").select("a", "b").distinct()
+    links = links.union(stage(check.linked(check.compared(rest)).select("a", "b"), "compared"))
+    if not crowd.isEmpty():
+        links = links.union(stage(_crowded(crowd, docs, n, percent), "compared"))
+    return stage(components(links), "components")
+
+
+def _crowded(crowd: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between members of different components among documents that meet on long lists: (run, rep, part).
+
+    Lists with common members make a family. Its full sets are compared in blocks of bounded bytes, as products of matrices;
+    two blocks of the family's largest component are not compared with each other.
+    """
+    hub = crowd.groupBy("run").agg(F.min("rep").alias("b"))
+    family = components(crowd.join(hub, "run").select(F.col("rep").alias("a"), "b").distinct()).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    rows = stage(crowd.select("rep", "part").distinct().join(family, "rep"), "family")
+    sets = docs.join(rows.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    parts = rows.groupBy("family", "part").agg(F.count("*").alias("c")).groupBy("family").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
+    full = stage(sets.withColumnRenamed("doc_id", "rep").join(rows, "rep").join(parts, "family").withColumn("in_main", F.col("part") == F.col("main")).drop("main"), "family")
+    shape = full.groupBy("family", "in_main").agg((F.expr(f"sum(greatest(length(shingles), {BLOCK_BYTES // BLOCK_ROWS})) DIV {BLOCK_BYTES}") + 1).alias("blocks"))
+    blocked = full.join(shape, ["family", "in_main"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")) * 2 + F.col("in_main").cast("long")).drop("blocks")
+    blocks = stage(blocked, "blocks")
+    names = blocks.select("family", "block").distinct()
+    pairs = names.alias("x").join(names.withColumnRenamed("block", "other").alias("y"), "family").where("block <= other AND NOT (block % 2 = 1 AND other % 2 = 1)")
+    sides = pairs.select("family", "block", "other", F.explode(F.array_distinct(F.array("block", "other"))).alias("own"))
+    dealt = blocks.withColumnRenamed("block", "own").join(sides, ["family", "own"])
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        x = table.filter(pa.compute.equal(table["own"], key[1]))
+        y = table.filter(pa.compute.equal(table["own"], key[2]))
+        a, b = _linked_in(x, y, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("family", "block", "other").applyInArrow(compare, "a long, b long")
+
+
+def _linked_in(x: pa.Table, y: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the linked pairs of different components between two blocks; each pair at least once."""
+
+    def side(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for c in t["shingles"].chunks for v in c]
+        sizes = np.array([len(v) for v in sets], np.int64)
+        return np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes), sizes, np.array(t["part"]), np.array(t["rep"])
+
+    (vx, rx, nx, px, ix), (vy, ry, ny, py, iy) = side(x), side(y)
+    common = np.zeros((len(ix), len(iy)), np.float32)
+    values = np.intersect1d(vx, vy)
+    cx, cy = np.searchsorted(values, vx), np.searchsorted(values, vy)
+    hx, hy = cx < len(values), cy < len(values)
+    hx[hx], hy[hy] = values[cx[hx]] == vx[hx], values[cy[hy]] == vy[hy]
+    cx, rx, cy, ry = cx[hx], rx[hx], cy[hy], ry[hy]
+    ox, oy = np.argsort(cx, kind="stable"), np.argsort(cy, kind="stable")
+    cx, rx, cy, ry = cx[ox], rx[ox], cy[oy], ry[oy]
+    for at in range(0, len(values), 8192):
+        (a, b), (c, d) = np.searchsorted(cx, [at, at + 8192]), np.searchsorted(cy, [at, at + 8192])
+        left, right = np.zeros((len(ix), 8192), np.float32), np.zeros((len(iy), 8192), np.float32)
+        left[rx[a:b], cx[a:b] - at], right[ry[c:d], cy[c:d] - at] = 1, 1
+        common += left @ right.T
+    common = common.astype(np.int64)
+    i, j = np.nonzero((common * 100 >= percent * (nx[:, None] + ny[None, :] - common)) & (px[:, None] != py[None, :]))
+    return ix[i], iy[j]
 
 
 def _dedupe(plain: DataFrame, signed: DataFrame, classes: DataFrame, n: int, percent: int, k: int) -> DataFrame:
