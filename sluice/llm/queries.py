@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import minhash, mixing, packing
+from sluice.llm import minhash, mixing, packing, suffix_tree
 from sluice.llm.common import stage, table
 
 
@@ -43,5 +43,9 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op6_packing": op6_packing, "op7_minhash": op7_minhash}
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_mixing": op5_mixing, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op10_suffix_tree": op10_suffix_tree}
 ORACLES = {"op5_mixing": OP5_SQL}
