@@ -6,10 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import minhash, mixing, packing, suffix_tree
+from sluice.llm import minhash, mixing, packing, pii, suffix_tree
 from sluice.llm.common import stage, table
 
 
+def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), pii.train())
+    own = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    return found.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     docs = stage(docs, "sizes")
@@ -47,5 +58,5 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op10_suffix_tree": op10_suffix_tree}
+QUERIES = {"op1_crf": op1_crf, "op5_mixing": op5_mixing, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op10_suffix_tree": op10_suffix_tree}
 ORACLES = {"op5_mixing": OP5_SQL}
