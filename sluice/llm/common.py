@@ -137,3 +137,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
         out[i:j] = (sums[ends[i:j] - at] - sums[s]) * down[s]
         i = j
     return mix(out + (ends - starts).astype(np.uint64))
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame, id_col: str, bits: int = 24) -> DataFrame:
+    """Rows of df whose id may be among ids, before any shuffle of df: hashes of ids set bits of a bitmap of fixed size (2**bits), which is broadcast as at most 2**bits / 64 rows. It lets more through the more ids there are, and never drops one of them."""
+    from pyspark.sql import functions as F
+
+    def bit(c: str):
+        return F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
+
+    words = ids.select(bit(id_col).alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 AS INT))")).alias("_set"))
+    marked = df.withColumn("_bit", bit(column)).withColumn("_word", F.shiftright("_bit", 6))
+    return marked.join(F.broadcast(words), "_word").where(F.expr("getbit(_set, cast(_bit % 64 AS INT)) = 1")).select(*df.columns)

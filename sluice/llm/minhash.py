@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import chunks, mix, stage, text_bytes, word_bounds, word_hashes
+from sluice.llm.common import chunks, drop_stage, maybe_in, mix, stage, text_bytes, word_bounds, word_hashes
 from sluice.llm.components import components
 
 K, RUN, SMALL, PAIRS, FREE, SALT = 64, 3, 8, 24, 8, 256
@@ -112,13 +112,17 @@ def _runs(sketch: Column, size: Column) -> Column:
 
 
 class _Verifier:
-    """Decides candidate pairs (a, b): by size, by sketch, then by the full sets of the documents that remain."""
+    """Decides candidate pairs (a, b): by size, by sketch, then by the full sets of the documents that remain.
 
-    def __init__(self, classes: DataFrame, docs: DataFrame, n: int, k: int, percent: int):
-        self.classes, self.docs, self.n, self.k, self.percent = classes, docs, n, k, percent
+    members: (rep, n, sketch, shingles) of the classes that are on a list. Its joins are merge joins, whatever the statistics
+    say of pairs that are not there yet, so that plans do not change their kind as the input grows.
+    """
+
+    def __init__(self, members: DataFrame, k: int, percent: int):
+        self.members, self.k, self.percent = members, k, percent
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
-        sides = [self.classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+        sides = [self.members.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")).hint("merge") for x in "ab"]
         joined = pairs.join(sides[0], "a").join(sides[1], "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, self.k)
         shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
@@ -129,21 +133,16 @@ class _Verifier:
         exact_shared = F.when(whole, F.size(F.array_intersect("sa", "sb"))).otherwise(shared)
         return joined.where(exact_shared + F.lit(1e-9) >= least * m).select("a", "b", "na", "nb")
 
-    def compared(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, d): Jaccard distance of the pairs that may be linked by their sketches."""
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are linked."""
         left = stage(self.estimated(pairs), "candidates")
-        need = left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct()
-        sets = stage(self.docs.join(need, "doc_id", "left_semi").mapInArrow(_sets(self.n), "doc_id long, shingles binary"), "sets").dropDuplicates(["doc_id"])
         salts = left.groupBy("b").agg((F.expr(f"count(*) DIV {SALT}") + 1).alias("salts"))
-        right = sets.withColumnRenamed("doc_id", "b").join(salts, "b").select("b", F.col("shingles").alias("right"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        right = self.members.select(F.col("rep").alias("b"), F.col("shingles").alias("right")).join(salts, "b").select("b", "right", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
         salted = left.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))).drop("salts")
-        with_left = salted.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
-        both = with_left.join(right, ["b", "salt"]).select("a", "b", "na", "nb", "left", "right")
+        with_left = salted.join(self.members.select(F.col("rep").alias("a"), F.col("shingles").alias("left")).hint("merge"), "a")
+        both = with_left.join(right.hint("merge"), ["b", "salt"]).select("a", "b", "na", "nb", "left", "right")
         common = both.mapInArrow(_common, "a long, b long, na long, nb long, common long")
-        return common.select("a", "b", "common", (F.col("na") + F.col("nb") - F.col("common")).alias("either"))
-
-    def linked(self, compared: DataFrame) -> DataFrame:
-        return compared.where(F.col("common") * 100 >= F.col("either") * self.percent)
+        return stage(common.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * self.percent).select("a", "b"), "linked")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -154,13 +153,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
     # one id may stand for several classes where rows repeat an id with other texts: those classes are linked through it
     repeated = own.groupBy("doc_id").agg(F.count_distinct("digest").alias("c")).where("c > 1").select("doc_id")
-    plain_docs = plain.join(repeated, "doc_id", "left_anti") if (many := not repeated.isEmpty()) else plain
-    if many:
-        return _with_repeats(plain, signed, repeated, n, percent, k)
-    return _dedupe(plain_docs, signed, classes, n, percent, k)
+    if not repeated.isEmpty():
+        return _with_repeats(plain, n, percent, k)
+    return _dedupe(plain, signed, classes, n, percent, k)
 
 
-def _with_repeats(plain: DataFrame, signed: DataFrame, repeated: DataFrame, n: int, percent: int, k: int) -> DataFrame:
+def _with_repeats(plain: DataFrame, n: int, percent: int, k: int) -> DataFrame:
     """Rows that repeat an id with other texts get ids of their own for the comparison; an id's rows are then one node."""
     rows = stage(plain.withColumn("row", F.xxhash64("doc_id", "text")), "rows")
     alone = near_duplicates(rows.select("row", "text"), "row", "text", n, percent, k).select(F.col("doc_id").alias("row"), F.col("n_shingles"), F.col("component_id").alias("group")).dropDuplicates(["row"])
@@ -175,34 +173,42 @@ def _with_repeats(plain: DataFrame, signed: DataFrame, repeated: DataFrame, n: i
 
 def class_links(classes: DataFrame, docs: DataFrame, n: int, percent: int, k: int) -> DataFrame | None:
     """(node, component) of the classes that are linked with another; None if there is none."""
-    check = _Verifier(classes, docs, n, k, percent)
-    runs = classes.where("n > 1").select("rep", F.explode(F.array_distinct(_runs(F.col("sketch"), F.col("n")))).alias("run"))
-    lists = stage(runs.join(runs.groupBy("run").agg(F.count("*").alias("size")).where("size > 1"), "run"), "lists")
-    if lists.isEmpty():
+    held = classes.where("n > 1").select("rep", F.array_distinct(_runs(F.col("sketch"), F.col("n"))).alias("runs"))
+    runs = held.select("rep", F.size("runs").alias("held"), F.explode("runs").alias("run"))
+    found = stage(runs.join(runs.groupBy("run").agg(F.count("*").alias("size")).where("size > 1"), "run"), "lists")
+    if found.isEmpty():
         return None
     # the pivot of a list is the member that shares most with all others: edits are counted from there
-    shared = lists.groupBy("rep").agg(F.sum("size").alias("shared"))
-    lists = stage(lists.join(lists.join(shared, "rep").groupBy("run").agg(F.max(F.struct("shared", -F.col("rep"))).alias("top")).select("run", (-F.col("top")["col2"]).alias("pivot")), "run"), "lists")
-    stars = lists.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stage(check.linked(check.compared(stars)).select("a", "b"), "compared")
+    shared = stage(found.groupBy("rep").agg(F.sum("size").alias("shared")), "shared")
+    pivots = found.join(shared, "rep").groupBy("run").agg(F.max(F.struct("shared", -F.col("rep"))).alias("top")).select("run", (-F.col("top")["col2"]).alias("pivot"))
+    lists = stage(found.join(pivots, "run"), "lists")
+    drop_stage(found)
+    own = maybe_in(docs, "doc_id", shared, "rep").mapInArrow(_sets(n), "doc_id long, shingles binary").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
+    members = stage(classes.select("rep", "n", "sketch").join(own, "rep"), "members")
+    check = _Verifier(members, k, percent)
+    links = check.linked(lists.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     # lists whose members are now in several components
-    known = stage(components(links), "components").withColumnRenamed("node", "rep")
+    known = components(links).withColumnRenamed("node", "rep")
     placed = lists.join(known, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     unsettled = placed.groupBy("run").agg(F.count("*").alias("now"), F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("run", "now")
-    members = stage(placed.join(unsettled, "run"), "open")
-    long = members.where(f"now > {PAIRS}")
-    held = classes.select("rep", F.size(_runs(F.col("sketch"), F.col("n"))).alias("runs"))
-    bound = long.groupBy("rep").agg(F.count("*").alias("on_long")).join(held, "rep").where(f"{FREE} * on_long > runs").select("rep")
+    still = stage(placed.join(unsettled, "run"), "open")
+    drop_stage(lists)
+    long = still.where(f"now > {PAIRS}")
+    bound = long.groupBy("rep").agg(F.count("*").alias("on_long"), F.first("held").alias("held")).where(f"{FREE} * on_long > held").select("rep")
     crowd = stage(long.join(bound, "rep", "left_semi").select("run", "rep", "part"), "crowd")
-    left, right = members.where(f"now <= {PAIRS}").select("run", F.col("rep").alias("a"), F.col("part").alias("pa"), "pivot"), members.where(f"now <= {PAIRS}").select("run", F.col("rep").alias("b"), F.col("part").alias("pb"))
+    left, right = still.where(f"now <= {PAIRS}").select("run", F.col("rep").alias("a"), F.col("part").alias("pa"), "pivot"), still.where(f"now <= {PAIRS}").select("run", F.col("rep").alias("b"), F.col("part").alias("pb"))
     rest = left.join(right, "run").where("a > b AND pa != pb AND b != pivot AND a != pivot").select("a", "b").distinct()
-    links = links.union(stage(check.linked(check.compared(rest)).select("a", "b"), "compared"))
+    more = [check.linked(rest)]
     if not crowd.isEmpty():
-        links = links.union(stage(_crowded(crowd, docs, n, percent), "compared"))
-    return stage(components(links), "components")
+        more.append(stage(_crowded(crowd, members, percent), "linked"))
+    if all(x.isEmpty() for x in more):
+        return known.withColumnRenamed("rep", "node")
+    for x in more:
+        links = links.union(x)
+    return components(links)
 
 
-def _crowded(crowd: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _crowded(crowd: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components among documents that meet on long lists: (run, rep, part).
 
     Lists with common members make a family. Its full sets are compared in blocks of bounded bytes, as products of matrices;
@@ -211,9 +217,8 @@ def _crowded(crowd: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     hub = crowd.groupBy("run").agg(F.min("rep").alias("b"))
     family = components(crowd.join(hub, "run").select(F.col("rep").alias("a"), "b").distinct()).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     rows = stage(crowd.select("rep", "part").distinct().join(family, "rep"), "family")
-    sets = docs.join(rows.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
     parts = rows.groupBy("family", "part").agg(F.count("*").alias("c")).groupBy("family").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
-    full = stage(sets.withColumnRenamed("doc_id", "rep").join(rows, "rep").join(parts, "family").withColumn("in_main", F.col("part") == F.col("main")).drop("main"), "family")
+    full = stage(members.select("rep", "shingles").join(rows, "rep").join(parts, "family").withColumn("in_main", F.col("part") == F.col("main")).drop("main"), "family")
     shape = full.groupBy("family", "in_main").agg((F.expr(f"sum(greatest(length(shingles), {BLOCK_BYTES // BLOCK_ROWS})) DIV {BLOCK_BYTES}") + 1).alias("blocks"))
     blocked = full.join(shape, ["family", "in_main"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")) * 2 + F.col("in_main").cast("long")).drop("blocks")
     blocks = stage(blocked, "blocks")
