@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import minhash, mixing, packing, pii, suffix_tree
+from sluice.llm import log_templates, minhash, mixing, packing, pii, suffix_tree, toxicity
 from sluice.llm.common import stage, table
 
 
@@ -23,6 +23,26 @@ def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op2_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = log_templates.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "text")
+
+
+#: The chain's links: of the labels, low quality is predicted first and toxic last, which decides.
+CATEGORIES = ("junk", "toxic")
+
+
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    return toxicity.train(docs, labels, CATEGORIES)
+
+
+def op3_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity_chain(spark, docs, sf_dir))
+    return out.select("doc_id", *[F.col("_p")[i].alias(f"p_{c}") for i, c in enumerate(CATEGORIES)], F.col("_toxic").alias("rejected"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     docs = stage(docs, "sizes")
@@ -60,5 +80,5 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_crf": op1_crf, "op5_mixing": op5_mixing, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op10_suffix_tree": op10_suffix_tree}
+QUERIES = {"op1_crf": op1_crf, "op2_log_templates": op2_log_templates, "op3_classifier_chain": op3_classifier_chain, "op5_mixing": op5_mixing, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op10_suffix_tree": op10_suffix_tree}
 ORACLES = {"op5_mixing": OP5_SQL}
