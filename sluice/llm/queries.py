@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import log_templates, minhash, mixing, packing, pii, suffix_tree, toxicity
+from sluice.llm import ball_tree, html_region, log_templates, minhash, mixing, packing, pii, suffix_tree, toxicity
 from sluice.llm.common import stage, table
 
 
@@ -43,6 +43,10 @@ def op3_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col("_p")[i].alias(f"p_{c}") for i, c in enumerate(CATEGORIES)], F.col("_toxic").alias("rejected"))
 
 
+def op4_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_region.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     docs = stage(docs, "sizes")
@@ -76,9 +80,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op8_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_crf": op1_crf, "op2_log_templates": op2_log_templates, "op3_classifier_chain": op3_classifier_chain, "op5_mixing": op5_mixing, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op10_suffix_tree": op10_suffix_tree}
+QUERIES = {"op1_crf": op1_crf, "op2_log_templates": op2_log_templates, "op3_classifier_chain": op3_classifier_chain, "op4_html_region": op4_html_region, "op5_mixing": op5_mixing, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op8_ball_tree": op8_ball_tree, "op10_suffix_tree": op10_suffix_tree}
 ORACLES = {"op5_mixing": OP5_SQL}
