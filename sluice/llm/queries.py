@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import ball_tree, html_region, log_templates, minhash, mixing, packing, pii, suffix_tree, toxicity
+from sluice.llm import ball_tree, html_region, image_descriptors, log_templates, minhash, mixing, packing, pii, suffix_tree, toxicity
 from sluice.llm.common import stage, table
 
 
@@ -84,9 +84,15 @@ def op8_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There is no table of images: one is drawn for every vector, and an edited copy for every tenth."""
+    gallery = stage(image_descriptors.gallery(table(spark, sf_dir, "embeddings")), "gallery")
+    return image_descriptors.copies(gallery)
+
+
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_crf": op1_crf, "op2_log_templates": op2_log_templates, "op3_classifier_chain": op3_classifier_chain, "op4_html_region": op4_html_region, "op5_mixing": op5_mixing, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op8_ball_tree": op8_ball_tree, "op10_suffix_tree": op10_suffix_tree}
+QUERIES = {"op1_crf": op1_crf, "op2_log_templates": op2_log_templates, "op3_classifier_chain": op3_classifier_chain, "op4_html_region": op4_html_region, "op5_mixing": op5_mixing, "op6_packing": op6_packing, "op7_minhash": op7_minhash, "op8_ball_tree": op8_ball_tree, "op9_image_descriptors": op9_image_descriptors, "op10_suffix_tree": op10_suffix_tree}
 ORACLES = {"op5_mixing": OP5_SQL}
