@@ -162,3 +162,18 @@ class Transaction:
 
     def commit(self) -> None:
         self.store._commit(self.manifest)
+
+
+_own_root: str | None = None
+
+
+def state_root(spark: SparkSession) -> str:
+    """A new folder for state under spark.checkpoint.dir, which all machines share; in a local run without it, under a temporary one."""
+    import tempfile
+
+    global _own_root
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        _own_root = _own_root or "file://" + tempfile.mkdtemp(prefix="sluice-state-")
+        shared = _own_root
+    return f"{shared.rstrip('/')}/state-{uuid.uuid4().hex}"
