@@ -153,6 +153,18 @@ class Tree:
         return np.add.reduceat(each, begins), bounds
 
 
+def _most(df: DataFrame, column: str, at_most: int) -> DataFrame:
+    """The rows with the greatest values (1 at least), at most so many: those from the least step of a fine logarithmic scale from which on there are no more. No task sorts, or returns more than its own of them."""
+    step = F.floor(F.log2(F.col(column).cast("double")) * 64)
+    left, least = at_most, None
+    for s, n in sorted(df.groupBy(step.alias("s")).count().collect(), reverse=True):  # 64 steps for each power of two
+        left -= n
+        if left < 0:
+            break
+        least = s
+    return df.where(step >= F.lit(least)) if least is not None else df.limit(0)
+
+
 def learn(grams: DataFrame) -> Tree:
     """The tree for counts (key, n) of runs of DEPTH + 1 bytes or ends."""
     spark = grams.sparkSession
@@ -180,7 +192,7 @@ def learn(grams: DataFrame) -> Tree:
         parts = both.groupBy("ctx").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log2(F.col("n").cast("double") * F.col("up_all") / F.col("up"))).alias("bits"))
         bits = parts.select(F.lit(d).alias("d"), "ctx", (F.col("bits") - F.col("all") * F.log2(F.col("all").cast("double"))).alias("bits")).where(F.col("bits") >= FLOOR)
         saved = bits if saved is None else saved.union(bits)
-    kept = stage(saved.orderBy(F.desc("bits"), "d", "ctx").limit(STATES).select("d", "ctx"), "contexts")
+    kept = stage(_most(stage(saved, "saved"), "bits", STATES).select("d", "ctx"), "contexts")
     contexts: dict[tuple[int, int], dict[int, int]] = {(0, 0): {s: n for s, n in levels[0].select("s", "n").collect()}}
     for d in range(1, DEPTH + 1):
         entries = levels[d].join(kept.where(F.col("d") == d).select("ctx"), "ctx", "left_semi").select("ctx", "s", "n").toPandas()  # at most STATES contexts over all depths
@@ -200,7 +212,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + ends, distinct + (ends > 0)
     scale = total + 0.5 * (distinct + 1)
-    top = words.orderBy(F.desc("n"), "key").limit(TOP).toPandas().sort_values("key")
+    top = _most(words, "n", TOP).toPandas().sort_values("key")
     keys, log10_of = top["key"].to_numpy(np.int64), np.log10((top["n"].to_numpy(np.float64) + 0.5) / scale)
     log10_end = float(np.log10((ends + 0.5) / scale))
     model = spark.sparkContext.broadcast((learn(counts.where("kind = 1").select("key", "n")), keys, log10_of))
