@@ -9,7 +9,7 @@ all nodes of a walk. A bound equal to the kth score is not left out, as a smalle
 
 Vectors that are null, or hold null or non-finite components, take no part; vectors of another length are scored only against
 their like. Rows that repeat an id count once each as candidates, but not as candidates of that id. Fewer candidates than k: all of them. Empty
-table: empty result. Other columns are not looked at.
+table: empty result. Other columns are not looked at. Scores must fit a long.
 """
 
 from __future__ import annotations

@@ -32,6 +32,8 @@ MAIN = {"article", "main"}
 OTHER = {"head", "nav", "header", "footer", "aside", "form", "noscript", "template", "button", "select", "dialog", "menu", "svg", "canvas", "object", "audio", "video"}
 #: Words of class, id and role values that mark parts that are no content, and those that mark content.
 OTHER_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "login", "share", "social", "related", "recommended", "comment", "comments", "disqus", "widget", "contentinfo", "search", "complementary", "skip"}
+#: Places whose words are left out: parts that are no content, beside an article and within it.
+DROPPED = ("other", "inset")
 MAIN_WORDS = {"article", "content", "post", "entry", "story", "main"}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -109,13 +111,13 @@ def parts(page: str) -> Iterator[tuple[str, str, str, bool]]:
             continue
         if kind == "open":
             if value in MAIN or value == "body":  # what was left open before the article does not hold it
-                while stack and stack[-1][1] in ("other", "link"):
+                while stack and stack[-1][1] in (*DROPPED, "link"):
                     opened[stack.pop()[0]] -= 1
                 place = stack[-1][1] if stack else "body"
             if value not in VOID:
-                words = _marks(attributes) if place != "other" else set()
-                if place == "other" or value in OTHER or (words & OTHER_WORDS and value not in MAIN and value not in ("body", "html")):
-                    inner = "other"
+                words = _marks(attributes) if place not in DROPPED else set()
+                if place in DROPPED or value in OTHER or (words & OTHER_WORDS and value not in MAIN and value not in ("body", "html")):
+                    inner = "inset" if place in ("main", "inset") else "other"
                 elif value in MAIN or words & MAIN_WORDS:
                     inner = "main"
                 else:
@@ -144,6 +146,8 @@ def labelled(n: int = 200, seed: int = 3) -> list[tuple[str, list[bool]]]:
     out = []
     for _ in range(n):
         body = f"<h1>{prose(3, 9)}</h1>" + "".join([f"<p>{prose(8, 60)}</p>", f"<p><b>{prose(1, 5)}</b> {prose(5, 30)}<br>{prose(3, 20)}</p>", f"<h2>{prose(2, 6)}</h2>", f"<ul><li>{prose(3, 12)}</li><li>{prose(3, 12)}</li></ul>", f'<p>{prose(4, 20)} <a href="#">{prose(1, 3)}</a> {prose(2, 9)}</p>', f"<blockquote>{prose(5, 25)}</blockquote>", f"<table><tr><td>{prose(1, 4)}</td><td>{prose(1, 4)}</td></tr></table>"][k] for k in rng.integers(0, 7, rng.integers(1, 9)))
+        if rng.random() < 0.3:
+            body += f"<aside><p>{prose(2, 12)}</p></aside><p>{prose(3, 20)}</p>"
         holder = ["article", "main", "div class=content", "div"][int(rng.integers(0, 4))]
         before = [f"<nav><ul>{links(5)}</ul></nav>", f'<div class="menu">{links(4)}</div>', f"<header><a href=/>{prose(1, 3)}</a></header>", f'<div class="ad">{prose(3, 10)}</div>', f"<div><a href=/a>{prose(1, 3)}</a><a href=/b>{prose(1, 3)}</a></div>"]
         after = [f"<footer>{prose(3, 12)}</footer>", f"<aside><ul>{links(4)}</ul></aside>", f'<div id="comments"><p>{prose(4, 20)}</p><p>{prose(3, 9)}</p></div>', f"<form><label>{prose(1, 3)}</label><input></form>", f"<div><span>{prose(1, 3)}</span><a href=/c>{prose(1, 3)}</a></div>"]
@@ -169,9 +173,8 @@ def weigh(pages: list[tuple[str, list[bool]]] | None = None) -> dict[str, float]
     out = {}
     for k in inside.keys() | outside.keys():
         odds = math.log((inside[k] + 0.5) / (outside[k] + 0.5))
-        out[k] = min(odds, -MIN) if k.startswith("tag") else odds if k.endswith((" other", " link")) else max(odds, MIN)
-        if k.startswith("tag"):
-            out[k] = max(out[k], -1.0)
+        # no single word or tag weighs so much that it alone cuts a region in two
+        out[k] = max(min(odds, -MIN), -1.0) if k.startswith("tag") or k.endswith(DROPPED) else odds if k.endswith(" link") else max(odds, MIN)
     return out
 
 
@@ -181,7 +184,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     best = total = 0.0
     start = first = last = 0
     for i, (kind, value, place, _) in enumerate(found):
-        w = weights.get(_class_of(kind, value, place), -0.1 if kind != "text" else MIN)
+        w = weights.get(_class_of(kind, value, place), -0.1 if kind != "text" else -MIN if place in DROPPED else MIN)
         gain = w * len(value.split()) if kind == "text" else w
         if total <= 0:
             total, start = 0.0, i
@@ -192,7 +195,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     now: list[str] = []
     for kind, value, place, breaks in found[first:last]:
         if kind == "text":
-            if place != "other":
+            if place not in DROPPED:
                 now.append(html.unescape(value))
         elif breaks:
             blocks.append("".join(now))

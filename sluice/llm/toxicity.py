@@ -15,6 +15,7 @@ share. Repeated rows are scored each; repeated ids count once in training. Empty
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -170,7 +171,7 @@ def _chain(table: pd.DataFrame, names: tuple[str, ...], categories: tuple[str, .
     form = np.array([list(x) for x in table["form"]], np.float64).reshape(-1, 6)
     rows, columns = _flat(found)
     centre, scale = (form.mean(0), form.std(0) + 1e-9) if len(form) else (np.zeros(6), np.ones(6))
-    dense, fold = (form - centre) / scale, np.arange(len(found)) % FOLDS
+    dense, fold = (form - centre) / scale, np.array([zlib.crc32(str(i).encode()) % FOLDS for i in table["_id"]], np.int64)
     models, p = [], np.zeros(0)
     for c in names:
         y = table[c].to_numpy(np.float64)
