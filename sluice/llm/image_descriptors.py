@@ -71,6 +71,8 @@ def _png(data: bytes) -> np.ndarray | None:
         elif kind == b"IDAT":
             packed += body
         at += 12 + size
+    if head is None:
+        return None
     width, height, bits, colour, _, _, interlaced = head
     if bits != 8 or interlaced:
         return None
@@ -121,9 +123,9 @@ def features(image: np.ndarray, corners: int = CORNERS) -> tuple[np.ndarray, np.
     """Places (x, y, log2 of the scale, turn) and descriptors (BITS / 32 words) of the corners of an image."""
     where, what = [np.zeros((0, 4))], [np.zeros((0, BITS // 32), np.int64)]
     for scale in SCALES:
-        x = _blur(_resized(_blur(image.astype(np.float64)), scale)) if image.size else image.astype(np.float64)
-        if min(x.shape) <= 2 * RADIUS + 3:
+        if int(min(image.shape) * scale) <= 2 * RADIUS + 3:
             continue
+        x = _blur(_resized(_blur(image.astype(np.float64)), scale))
         gy, gx = np.gradient(x)
         a, b, c = _blur(_blur(gx * gx)), _blur(_blur(gx * gy)), _blur(_blur(gy * gy))
         response = (a + c) / 2 - np.sqrt(((a - c) / 2) ** 2 + b * b)
