@@ -100,12 +100,12 @@ class Store:
     def vacuum(self, keep: int = 3) -> int:
         """Deletes files that none of the last `keep` versions refers to; returns how many directories went."""
         now = self.version()
-        used = {p.rsplit("/", 1)[0] for v in range(max(1, now - keep + 1), now + 1) for d in self.manifest(v)["datasets"].values() for p in d["buckets"].values()}
+        used = {p.split("/")[-2] for v in range(max(1, now - keep + 1), now + 1) for d in self.manifest(v)["datasets"].values() for p in d["buckets"].values()}
         gone = 0
         data = self._path(f"{self.root}/data")
         for name in self._fs.listStatus(data) if self._fs.exists(data) else []:
             for s in self._fs.listStatus(name.getPath()):
-                if not any(s.getPath().toString().endswith(u.removeprefix("file:")) for u in used):
+                if s.getPath().getName() not in used:
                     gone += bool(self._fs.delete(s.getPath(), True))
         return gone
 

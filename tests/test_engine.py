@@ -1,0 +1,243 @@
+import json
+import os
+from decimal import Decimal as D
+
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.control.document import DocumentError, read
+from sluice.control.engine import Engine, Options
+from sluice.sources import changes
+from sluice.sources.engine import CatalogSource
+from sluice.sources.target import ParquetTarget
+from sluice.streaming.store import Store, StoreBusy
+
+
+def number(name, p, s=0):
+    return {"name": name, "data_type": "NUMBER", "precision": p, "scale": s}
+
+
+def catalog():
+    return {
+        "tables": [
+            {"name": "CUSTOMERS", "watermark": 1000, "primary_key": ["ID"], "columns": [number("ID", 10), {"name": "NAME", "data_type": "VARCHAR2"}, {"name": "BIO", "data_type": "BLOB"}], "rows": [{"ID": 1, "NAME": "Alice"}, {"ID": 2, "NAME": "Bob"}, {"ID": 3, "NAME": "Carol"}]},
+            {"name": "ORDERS", "watermark": 500, "primary_key": ["ORDER_ID"], "columns": [number("ORDER_ID", 10), number("CUSTOMER_ID", 10), number("AMOUNT", 12, 2), {"name": "ADDRESS", "data_type": "VARCHAR2"}], "rows": [{"ORDER_ID": 100, "CUSTOMER_ID": 1, "AMOUNT": "42.50", "ADDRESS": "1 Main St"}, {"ORDER_ID": 101, "CUSTOMER_ID": 1, "AMOUNT": "10.00", "ADDRESS": "1 Main St"}, {"ORDER_ID": 200, "CUSTOMER_ID": 2, "AMOUNT": "5.00", "ADDRESS": "2 Side Rd"}]},
+        ],
+        "changes": [],
+    }
+
+
+def order(op, position, order_id, customer=None, amount=None, address="x"):
+    return {"table_name": "ORDERS", "op": op, "position": position, "image": {"ORDER_ID": order_id, "CUSTOMER_ID": customer, "AMOUNT": amount, "ADDRESS": address}}
+
+
+CUSTOMERS = {"name": "customers", "mode": "direct", "source": {"table": "CUSTOMERS"}}
+TOTALS = {"name": "totals", "mode": "transform", "source": {"table": "orders"}, "outputIdentity": ["CUSTOMER_ID"], "transform": [{"$group": {"_id": "$CUSTOMER_ID", "TOTAL": {"$sum": "$AMOUNT"}}}]}
+SETS = {"name": "sets", "mode": "transform", "source": {"table": "ORDERS"}, "outputIdentity": ["CUSTOMER_ID"], "transform": [{"$group": {"_id": "$CUSTOMER_ID", "AMOUNTS": {"$addToSet": "$AMOUNT"}}}]}
+
+
+def document(*pipelines, version="v1"):
+    return {"apiVersion": version, "kind": "Deployment", "metadata": {"name": "d"}, "spec": {"pipelines": list(pipelines)}}
+
+
+@pytest.fixture
+def make(spark, tmp_path):
+    def build(cat, **options):
+        return Engine(spark, CatalogSource(spark, cat), Store(spark, f"file://{tmp_path}/s", 2), ParquetTarget(Store(spark, f"file://{tmp_path}/t", 2)), Options(**options), say=lambda line: None)
+
+    return build
+
+
+def docs(engine, collection, *columns):
+    df = engine.target.documents(collection)
+    return sorted(tuple(r) for r in df.select(*(columns or df.columns)).collect())
+
+
+def test_change_log_end_to_end(make):
+    cat = catalog()
+    e = make(cat)
+    assert e.apply(document(CUSTOMERS, TOTALS, SETS)) == ["loaded CUSTOMERS", "loaded ORDERS", "added customers", "added totals", "added sets"]
+    assert e.status()["bases"]["CUSTOMERS"]["omitted"] == ["BIO"] and e.status()["bases"]["ORDERS"]["checkpoint"] == 499
+    assert docs(e, "totals") == [(1, D("52.50")), (2, D("5.00"))]
+    cat["changes"] = [order("update", 510, 100, 1, "42.50", "moved"), order("update", 520, 100, 1, "50.00"), order("update", 530, 200, 3, "5.00"), {"table_name": "CUSTOMERS", "op": "update", "position": 1050, "image": {"ID": 1, "NAME": "Alicia"}}, {"table_name": "customers", "op": "insert", "position": 1060, "image": {"ID": 3, "NAME": "Carol"}}, {"table_name": "CUSTOMERS", "op": "delete", "position": 1070, "image": {"ID": 2}}]
+    assert e.sync() == {"ORDERS": 3, "CUSTOMERS": 3}
+    assert docs(e, "customers") == [(1, "Alicia"), (3, "Carol")]
+    assert docs(e, "totals") == [(1, D("60.00")), (3, D("5.00"))]
+    assert docs(e, "sets") == [(1, [D("10.00"), D("50.00")]), (3, [D("5.00")])]
+    assert e.sync() == {}  # applied ids are known
+    cat["changes"].append(order("insert", 530, 201, 3, "1.00"))  # another change at a position that was seen
+    assert e.sync() == {"ORDERS": 1}
+    assert docs(e, "totals") == [(1, D("60.00")), (3, D("6.00"))]
+    cat["changes"] += [order("delete", 540, 200), order("delete", 541, 201), order("delete", 542, 999)]
+    e.sync()
+    assert docs(e, "totals") == [(1, D("60.00"))] and docs(e, "sets") == [(1, [D("10.00"), D("50.00")])]
+    assert e.status()["pipelines"]["totals"]["health"] == "ok" and e.status()["bases"]["ORDERS"]["health"] == "ok"
+
+
+def test_windows_and_order(make):
+    cat = catalog()
+    e = make(cat, window=2)
+    e.apply(document(CUSTOMERS, TOTALS))
+    cat["changes"] = [{"table_name": "CUSTOMERS", "op": "update", "position": p, "ssn": i, "image": {"ID": 1, "NAME": n}} for i, (p, n) in enumerate([(1052, "C"), (1050, "A"), (1051, "B")])] + [order("insert", 600 + i, 300 + i, 9, "1.00") for i in range(4)]
+    assert e.sync() == {"ORDERS": 4, "CUSTOMERS": 3}
+    assert docs(e, "customers")[0] == (1, "C") and (9, D("4.00")) in docs(e, "totals")
+    assert e.status()["bases"]["ORDERS"]["lag"] == 0
+
+
+def test_value_level_skip(make):
+    cat = catalog()
+    e = make(cat)
+    e.apply(document(SETS))
+    cat["changes"] = [order("insert", 600, 300, 1, "10.00"), order("update", 601, 100, 1, "42.50", "elsewhere")]
+    e.sync()
+    assert e.status()["pipelines"]["sets"]["applied"] == 0  # the member was there already
+    counts = {(r.CUSTOMER_ID, r["__member"]): r.refcount for r in e.store.read("refcounts/sets").collect()}
+    assert counts == {(1, D("42.50")): 1, (1, D("10.00")): 2, (2, D("5.00")): 1}
+    cat["changes"] += [order("delete", 602, 101), order("insert", 603, 301, 7, None)]
+    e.sync()
+    assert e.status()["pipelines"]["sets"]["applied"] == 1  # a new key, whose set is empty
+    assert docs(e, "sets") == [(1, [D("10.00"), D("42.50")]), (2, [D("5.00")]), (7, [])]
+
+
+def test_pause_resume_change_remove(make):
+    cat = catalog()
+    e = make(cat)
+    e.apply(document(CUSTOMERS, TOTALS))
+    e.pause("totals")
+    cat["changes"] = [order("insert", 600, 300, 9, "1.00")]
+    e.sync()
+    assert (9, D("1.00")) not in docs(e, "totals") and e.store.read("base/ORDERS").count() == 4
+    assert e.status()["pipelines"]["totals"]["health"] == "paused" and e.status()["pipelines"]["totals"]["lag"] == 1
+    e.resume("totals")
+    assert (9, D("1.00")) in docs(e, "totals") and e.status()["pipelines"]["totals"]["health"] == "ok"
+    assert e.apply(document(CUSTOMERS, TOTALS | {"description": "words"})) == []
+    changed = TOTALS | {"transform": [{"$match": {"CUSTOMER_ID": 1}}, *TOTALS["transform"]]}
+    assert e.apply(document(CUSTOMERS, changed)) == ["revised totals"]
+    assert docs(e, "totals") == [(1, D("52.50"))]
+    assert e.apply(document(CUSTOMERS)) == ["removed totals"]
+    assert not e.store.has("base/ORDERS") and e.store.has("base/CUSTOMERS")
+
+
+def test_quarantine_and_retry(make, monkeypatch):
+    cat = catalog()
+    e = make(cat, attempts=2)
+    e.apply(document(TOTALS, SETS))
+    real = e.target.upsert
+    monkeypatch.setattr(e.target, "upsert", lambda c, r, i: (_ for _ in ()).throw(RuntimeError("poison")) if c == "totals" else real(c, r, i))
+    cat["changes"] = [order("insert", 600, 300, 9, "1.00")]
+    e.sync()
+    assert [q["pipeline"] for q in e.status()["quarantine"]] == ["totals"] and e.status()["pipelines"]["totals"]["health"] == "unhealthy"
+    assert (9, [D("1.00")]) in docs(e, "sets")  # the others go on
+    monkeypatch.setattr(e.target, "upsert", real)
+    e.retry_quarantined("totals")
+    assert e.status()["quarantine"] == [] and (9, D("1.00")) in docs(e, "totals")
+
+
+def test_schema_changes(make):
+    cat = catalog()
+    e = make(cat)
+    e.apply(document(CUSTOMERS, TOTALS))
+    cat["schema_changes"] = [{"position": 600, "kind": "drop_column", "table": "ORDERS", "columns": ["ADDRESS"]}, {"position": 601, "kind": "alter_column", "table": "ORDERS", "columns": ["AMOUNT"]}]
+    e.sync()
+    assert e.status()["pipelines"]["totals"]["paused"] and not e.status()["pipelines"]["customers"]["paused"] and len(e.status()["impacts"]) == 1
+    e.resume("totals")
+    e.sync()
+    assert not e.status()["pipelines"]["totals"]["paused"] and e.status()["impacts"] == []
+
+
+def test_checks(make):
+    cat = catalog()
+    e = make(cat, align_rows=2)
+    e.apply(document(CUSTOMERS, TOTALS))
+    with pytest.raises(DocumentError):
+        e.drift("customers")
+    cat["tables"][0]["rows"] = [{"ID": 1, "NAME": "Alicia"}, {"ID": 2, "NAME": "Bob"}, {"ID": 4, "NAME": "Dan"}]
+    assert e.align("CUSTOMERS") == {"table": "CUSTOMERS", "checked": 2, "missing": 0, "different": 1, "extra": 0, "partial": True}
+    e.options = Options(align_rows=1000)
+    assert e.align("CUSTOMERS") == {"table": "CUSTOMERS", "checked": 3, "missing": 1, "different": 0, "extra": 1, "partial": False}
+    assert e.drift("customers") == {"pipeline": "customers", "checked": 3, "missing": 1, "different": 1, "extra": 1}
+    assert docs(e, "customers") == [(1, "Alicia"), (2, "Bob"), (3, "Carol"), (4, "Dan")]
+
+
+def test_refusals(make):
+    cat = catalog()
+    cat["tables"][0]["watermark"] = None
+    with pytest.raises(DocumentError, match="watermark"):
+        make(cat).apply(document(CUSTOMERS))
+    cat["tables"][1]["rows"] *= 2
+    with pytest.raises(DocumentError, match="unique"):
+        make(cat).apply(document(TOTALS))
+    with pytest.raises(DocumentError, match="outputIdentity"):
+        make(catalog()).apply(document(TOTALS | {"outputIdentity": ["NOPE"]}))
+
+
+@pytest.mark.parametrize("bad", [document(CUSTOMERS, version="v2"), document(CUSTOMERS, version="v1.9"), document(CUSTOMERS, version=1), document(CUSTOMERS, CUSTOMERS), document({"name": "x"}), document(CUSTOMERS | {"mode": "other"}), document(CUSTOMERS | {"transform": []}), document(TOTALS | {"outputIdentity": []}), document(TOTALS | {"transform": [{"$sort": {}}]}), document(CUSTOMERS | {"fields": {"A": {"as": "number"}}}), document(CUSTOMERS | {"extra": 1}), {"kind": "Other"}, "not json"])
+def test_bad_documents(bad):
+    with pytest.raises(DocumentError):
+        read(bad)
+
+
+def test_good_versions():
+    for version in ("v1", "v1.0", "example.org/v1.0.0"):
+        assert read(json.dumps(document(CUSTOMERS, version=version))).pipelines[0].collection == "customers"
+
+
+def test_continuous_run(make, tmp_path):
+    e = make(catalog())
+    e.apply(document(TOTALS))
+    folder = tmp_path / "log"
+    folder.mkdir()
+    for i in range(2):
+        c = order("insert", 600 + i, 300 + i, 9, "1.00")
+        (folder / f"{i}.json").write_text(json.dumps(c | {"rs_id": "", "ssn": 0, "image": json.dumps(c["image"])}))
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files come in log order
+    for _ in range(2):  # the second run finds nothing new
+        q = e.run(str(folder), str(tmp_path / "checkpoint"))
+        q.awaitTermination()
+        assert (9, D("2.00")) in docs(e, "totals")
+
+
+def test_crash_between_delivery_and_commit(make, monkeypatch):
+    cat = catalog()
+    e = make(cat)
+    e.apply(document(TOTALS))
+    cat["changes"] = [order("insert", 600, 300, 9, "1.00")]
+    with monkeypatch.context() as m:
+        m.setattr(e.store, "_commit", lambda manifest: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            e.sync()
+    assert e.sync() == {"ORDERS": 1} and docs(e, "totals") == [(1, D("52.50")), (2, D("5.00")), (9, D("1.00"))]
+
+
+def test_store(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/x", 4)
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(20)] + [(None, "none")], "k long, v string")
+    tx, late = store.transaction(), store.transaction()
+    tx.replace("d", df, ["k"])
+    tx.commit()
+    with pytest.raises(StoreBusy):
+        late.commit()
+    held = store.manifest()
+    tx = store.transaction()
+    tx.patch("d", df.where("k = 3"), df.where("k = 5 OR k IS NULL").withColumn("v", F.lit("new")))
+    tx.commit()
+    rows = {r.k: r.v for r in store.read("d").collect()}
+    assert len(rows) == 20 and 3 not in rows and rows[5] == rows[None] == "new"
+    assert store.read("d", held).count() == 21
+    untouched = set(held["datasets"]["d"]["buckets"].values()) & set(store.manifest()["datasets"]["d"]["buckets"].values())
+    assert untouched  # buckets that the patch did not touch stay where they are
+    assert store.vacuum(1) >= 0 and store.read("d").count() == 20
+
+
+def test_log_helpers(spark):
+    rows = [("T", "insert", 2, "a", 1, '{"k":1,"v":"x"}'), ("T", "update", 2, "a", 2, '{"k":1,"v":"y"}'), ("T", "delete", 3, "a", 1, '{"k":2}'), ("T", "update", 1, "a", 1, '{"k":2,"v":"z"}')]
+    log = spark.createDataFrame(rows, changes.SCHEMA)
+    base = spark.createDataFrame([(2, "old"), (3, "same")], "k long, v string")
+    change = changes.net_change(base, log, ["k"])
+    assert [tuple(r) for r in change.before.collect()] == [(2, "old")] and [tuple(r) for r in change.after.collect()] == [(1, "y")]
+    assert sorted(tuple(r) for r in changes.applied(base, change).collect()) == [(1, "y"), (3, "same")]
+    assert [r.position for r in changes.window(log, 2).collect()] == [1, 2]
+    ids = [r.change_id for r in changes.with_ids(log, {"T": ["k"]}).orderBy("position", "ssn").collect()]
+    assert ids[1:3] == ["log:T:2:insert:1:a:1", "log:T:2:update:1:a:2"]
+    both = changes.merged(log, spark.createDataFrame([(2, "ddl")], "position long, kind string")).collect()
+    assert [("ddl" in r.event) for r in both] == [False, True, False, False, False]
