@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sluice.llm.common import stage
+
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 17
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,7 +25,7 @@ def words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row (source, source_size, target) for each source of sizes (source, size)."""
+    """One row (source, source_size, target) for each source of sizes (source, size), as a table: its size is then known to whoever joins it, so that texts are not shuffled by source for a few rows."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     numbered = per.withColumn("i", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int")).cast("long")
@@ -35,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     level = filled.withColumn("level", left.cast("double") / open_weight.cast("double"))
     # the water level is that of the first source, by the level at which each is full, that it does not fill
     first = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "i", "level"))).over(every)["level"]
-    return level.select("source", "source_size", F.least(cap.cast("double"), F.col("weight") * first).alias("target"))
+    return stage(level.select("source", "source_size", F.least(cap.cast("double"), F.col("weight") * first).alias("target")), "targets")
 
 
 def with_copies(docs: DataFrame, per_source: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
