@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other by logistic models over the presence of words and a few figures of the text's
+Categories are predicted one after the other by logistic models over the presence of words, of word beginnings, and a few figures of the text's
 form; each model also sees the probabilities of the categories before it, which in training are out-of-fold predictions, so
 that later models learn from what earlier ones really know. The vocabulary is what separates the labelled classes: words
 whose share of documents differs between a category's classes by more than Z standard errors.
@@ -28,13 +28,14 @@ from pyspark.sql import types as T
 
 from sluice.llm.common import SPACE, drop_stage, stage, text_bytes
 
-SAMPLE, FOLDS, Z, WORDS, MIN_DOCS = 10_000, 5, 6.0, 2000, 5
+SAMPLE, FOLDS, Z, WORDS, MIN_DOCS, STEMS = 10_000, 5, 5.0, 2000, 4, (4, 5)
 _STRIP = ".,;:!?\"'()[]{}<>#$%&*-_|~"
 
 
 def words_of(text: str) -> set[str]:
-    """The distinct words of a text in lower case, without the signs around them."""
-    return {w.strip(_STRIP) for w in set(text.lower().split())}
+    """The distinct words of a text in lower case, without the signs around them, and their beginnings, marked with a ^, which stand for all endings of a stem."""
+    words = {w.strip(_STRIP) for w in set(text.lower().split())}
+    return words | {f"^{w[:n]}" for n in STEMS for w in words if len(w) > n}
 
 
 _CLASSES = [np.isin(np.arange(256), list(x)) for x in (range(65, 91), _STRIP.encode(), range(48, 58))] + [SPACE]
