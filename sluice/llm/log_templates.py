@@ -143,14 +143,17 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     kind = dict(docs.dtypes)[id_col]
     plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     lines = stage(plain.mapInArrow(_lines, _LINES.format(id=kind)).where(F.col("n") >= min_words).dropDuplicates(["doc_id", "th", "at"]), "lines")
-    joined = lines.select("doc_id", "th", "at", "whole").join(stage(templates(lines, similar), "templates"), "whole", "left").withColumn("template", F.coalesce("template", "whole")).drop("whole")
+    found = stage(templates(lines, similar), "templates")
+    joined = lines.select("doc_id", "th", "at", "whole").join(found, "whole", "left").withColumn("template", F.coalesce("template", "whole")).drop("whole")
     # one row for each template and document first: a template that every document holds is summed in parts
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "at")
     per_doc = joined.groupBy("template", "doc_id", "th").agg(F.min("at").alias("at"))
     common = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs).select("template", "first")
     gone = joined.join(common, "template").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "at")
-    out = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("drop"))
-    return stage(out, "drops")
+    out = stage(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("drop")), "drops")
+    drop_stage(lines)
+    drop_stage(found)
+    return out
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
