@@ -70,7 +70,7 @@ class Chain:
     def probabilities(self, found: list[list[int]], form: np.ndarray) -> np.ndarray:
         """Documents x categories."""
         rows, columns = _flat(found)
-        dense, out = (form - self.centre) / self.scale, []
+        dense, out = _standard(form, self.centre, self.scale), []
         for m in self.models:
             x = np.column_stack([dense, *[np.log(p / (1 - p)) / 4 for p in out]])
             z = np.bincount(rows, m.words[columns], len(found)) + x @ m.dense + m.bias
@@ -78,6 +78,11 @@ class Chain:
         return np.column_stack(out) if out else np.zeros((len(found), 0))
 
 
+def _standard(form: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Figures in standard units, at most 2: a text of a form never seen is not judged by its form alone."""
+    return np.clip((form - centre) / scale, -2, 2)
+
+
 def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.array([c for x in found for c in x], np.int64)
 
@@ -95,7 +100,7 @@ def _fit(rows: np.ndarray, columns: np.ndarray, width: int, dense: np.ndarray, y
     for i in range(steps):
         z = np.bincount(rows, w[columns], len(y)) + dense @ d + b
         off = np.where(use, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0.0) / n
-        grads = [np.bincount(columns, off[rows], width) + ridge * w / n, dense.T @ off + ridge * d / n, np.array([off.sum()])]
+        grads = [np.bincount(columns, off[rows], width) + ridge * w / n, dense.T @ off + 10 * ridge * d / n, np.array([off.sum()])]
         moves = []
         for g, m in zip(grads, moments, strict=True):
             m[0] = 0.9 * m[0] + 0.1 * g
@@ -162,7 +167,7 @@ def _features(column: pa.Array, vocabulary: dict[str, int]) -> tuple[list[list[i
     for t in column.to_pylist():
         words = words_of(t or "")
         found.append(sorted(vocabulary[w] for w in words & vocabulary.keys()))
-        distinct.append(len(words))
+        distinct.append(sum(w[:1] != "^" for w in words))
     form = forms(column)
     return found, np.column_stack([form, np.array(distinct, np.float64) / (1 + form[:, 3] * np.expm1(form[:, 4]))])
 
@@ -172,7 +177,7 @@ def _chain(table: pd.DataFrame, names: tuple[str, ...], categories: tuple[str, .
     form = np.array([list(x) for x in table["form"]], np.float64).reshape(-1, 6)
     rows, columns = _flat(found)
     centre, scale = (form.mean(0), form.std(0) + 1e-9) if len(form) else (np.zeros(6), np.ones(6))
-    dense, fold = (form - centre) / scale, np.array([zlib.crc32(str(i).encode()) % FOLDS for i in table["_id"]], np.int64)
+    dense, fold = _standard(form, centre, scale), np.array([zlib.crc32(str(i).encode()) % FOLDS for i in table["_id"]], np.int64)
     models, p = [], np.zeros(0)
     for c in names:
         y = table[c].to_numpy(np.float64)
