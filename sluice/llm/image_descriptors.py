@@ -4,8 +4,8 @@ Images of equal pixels are one class from the start. Of each class, corners are
 of the smaller eigenvalue of the gradient matrix, not next to a larger one); each gets the orientation of its patch's
 intensity centroid and a descriptor of BITS intensity comparisons on the patch turned by it. Descriptors meet in TABLES
 tables: features whose bits agree in a whole table are matches, so any two that differ in fewer than TABLES bits meet. A list
-of a table that more than LIST classes share is not expanded into pairs: its members are matched with their neighbours in
-the order of the whole descriptor and with its first member, and their copies meet there, and on their other lists. Matches vote for
+of a table with more than LIST members is not expanded into pairs: its members are matched with their neighbours in the
+order of the descriptor's first half, and their copies meet there, and on their other lists. Matches vote for
 the scale, turn and shift between two images; VOTES agreeing features make a link, and linked images a group.
 
 Pixels: PGM, PPM (binary), PNG (8 bit, grey or colour, not interlaced). Null, empty or other bytes: no features, linked with
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import stage
 from sluice.llm.components import components
 
-SCALES, CORNERS, BITS, TABLES, RADIUS, TURNS, LIST, VOTES = (1.0, 0.75), 32, 128, 4, 7, 24, 32, 5
+SCALES, CORNERS, BITS, TABLES, RADIUS, TURNS, LIST, VOTES = (1.0, 0.75), 20, 128, 4, 7, 24, 32, 5
 _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
 _ANGLES = np.arange(TURNS) * 2 * np.pi / TURNS
@@ -172,46 +172,62 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _voted(matches: DataFrame, votes: int) -> DataFrame:
     """Pairs (a, b) of images with enough matches that agree on scale, turn and shift; cells of two grids, so that no edge divides them."""
-    turn = F.pmod(F.col("right.turn") - F.col("left.turn"), F.lit(TURNS))
-    angle, zoom = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), F.col("right.s") - F.col("left.s"))
-    dx = F.col("right.x") - zoom * (F.cos(angle) * F.col("left.x") - F.sin(angle) * F.col("left.y"))
-    dy = F.col("right.y") - zoom * (F.sin(angle) * F.col("left.x") + F.cos(angle) * F.col("left.y"))
-    grids = F.explode(F.array(F.lit(0.0), F.lit(0.5)))
-    moved = matches.select("a", "b", "fa", "fb", F.round(F.col("right.s") - F.col("left.s"), 1).alias("zoom"), dx.alias("dx"), dy.alias("dy"), turn.alias("turn")).select("*", grids.alias("g"))
+
+    def part(c: str, shift: int, bits: int):
+        return F.shiftright(F.col(c), shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+    def geometry(c: str) -> dict:
+        return {"f": part(c, 0, 10), "turn": part(c, 10, 6), "s": part(c, 16, 8) / 16.0 - 8, "x": part(c, 24, 19) / 4.0, "y": part(c, 43, 19) / 4.0}
+
+    left, right = geometry("ga"), geometry("gb")
+    turn = F.pmod(right["turn"] - left["turn"], F.lit(TURNS))
+    angle, zoom = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), right["s"] - left["s"])
+    dx = right["x"] - zoom * (F.cos(angle) * left["x"] - F.sin(angle) * left["y"])
+    dy = right["y"] - zoom * (F.sin(angle) * left["x"] + F.cos(angle) * left["y"])
+    moved = matches.select("a", "b", left["f"].alias("fa"), right["f"].alias("fb"), F.round(right["s"] - left["s"], 1).alias("zoom"), dx.alias("dx"), dy.alias("dy"), turn.alias("turn")).select("*", F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("g"))
     cell = moved.select("a", "b", "fa", "fb", "g", "zoom", F.floor(F.col("turn") / 2 + F.col("g")).alias("turn"), F.floor(F.col("dx") / 8 + F.col("g")).alias("dx"), F.floor(F.col("dy") / 8 + F.col("g")).alias("dy"))
     counted = cell.groupBy("a", "b", "g", "zoom", "turn", "dx", "dy").agg(F.least(F.count_distinct("fa"), F.count_distinct("fb")).alias("votes"))
     return counted.where(F.col("votes") >= votes).select("a", "b").distinct()
 
 
+def _packed(f, feature):
+    """Number, turn, scale and place of a feature in one long, which is all that votes need: 32 bytes an entry instead of its record."""
+
+    def at(value, shift: int):
+        return F.shiftleft(value.cast("long"), shift)
+
+    return at(f, 0).bitwiseOR(at(feature["turn"], 10)).bitwiseOR(at(F.round((feature["s"] + 8) * 16), 16)).bitwiseOR(at(F.round(feature["x"] * 4), 24)).bitwiseOR(at(F.round(feature["y"] * 4), 43))
+
+
 def copies(media: DataFrame, id_col: str = "media_id", bytes_col: str = "bytes", votes: int = VOTES) -> DataFrame:
     """(media_id, n_features, n_links, component_id): links between classes of equal images, and the least id that each reaches."""
     plain = media.select(F.col(id_col).cast("long").alias("media_id"), F.col(bytes_col).alias("bytes"))
     found = stage(plain.mapInArrow(_described, f"media_id long, digest binary, features array<{_FEATURE}>"), "described")
-    classes = found.where("digest IS NOT NULL AND media_id IS NOT NULL").groupBy("digest").agg(F.min("media_id").alias("rep"), F.first("features").alias("features"))
-    each = classes.select("rep", F.posexplode("features").alias("f", "feature"))
-    entries = stage(each.select("rep", "f", "feature", F.posexplode("feature.words").alias("t", "word")), "entries")
-    sizes = entries.groupBy("t", "word").agg(F.approx_count_distinct("rep").alias("size"), F.min("rep").alias("first")).where("size > 1")
-    lists = entries.join(sizes, ["t", "word"])
+    reps = stage(found.where("digest IS NOT NULL AND media_id IS NOT NULL").groupBy("digest").agg(F.min("media_id").alias("rep")), "classes")
+    # of each class the features of its first image
+    chosen = found.join(reps.select("digest", F.col("rep").alias("media_id")), ["digest", "media_id"]).dropDuplicates(["digest", "media_id"])
+    each = chosen.select(F.col("media_id").alias("rep"), F.posexplode("features").alias("f", "feature"))
+    words = [F.struct(F.shiftleft(F.lit(t).cast("long"), 32).bitwiseOR(F.col("feature.words")[t]).alias("key")) for t in range(TABLES)]
+    head = F.shiftleft(F.col("feature.words")[0], 31).bitwiseOR(F.shiftright(F.col("feature.words")[1], 1))
+    entries = each.select("rep", _packed(F.col("f"), F.col("feature")).alias("g"), head.alias("head"), F.explode(F.array(*words)).alias("w")).select("rep", "g", "head", "w.key")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    lists = stage(entries.join(sizes, "key"), "lists")
     few, many = lists.where(F.col("size") <= LIST), lists.where(F.col("size") > LIST)
-    left = few.select("t", "word", F.col("rep").alias("a"), F.col("f").alias("fa"), F.col("feature").alias("left"))
-    right = few.select("t", "word", F.col("rep").alias("b"), F.col("f").alias("fb"), F.col("feature").alias("right"))
-    pairs = left.join(right, ["t", "word"]).where("a < b").select("a", "b", "fa", "fb", "left", "right")
-    # long lists: neighbours in the order of the descriptor, in salted parts so that no task holds a list
-    part = F.xxhash64(F.slice("feature.words", 1, 2))
-    order = W.partitionBy("t", "word", F.pmod(part, F.lit(64))).orderBy("feature.words", "rep", "f")
-    near = many.select("*", *[F.lag(F.struct("rep", "f", "feature"), k).over(order).alias(f"p{k}") for k in (1, 2)])
+    left = few.select("key", F.col("rep").alias("a"), F.col("g").alias("ga"))
+    right = few.select("key", F.col("rep").alias("b"), F.col("g").alias("gb"))
+    pairs = left.join(right, "key").where("a < b").select("a", "b", "ga", "gb")
+    # long lists: neighbours in the order of the descriptor's first half, in salted parts so that no task holds a list
+    order = W.partitionBy("key", F.pmod(F.xxhash64("head"), F.lit(64))).orderBy("head", "rep", "g")
+    near = many.select("rep", "g", *[F.lag(F.struct("rep", "g"), k).over(order).alias(f"p{k}") for k in (1, 2)])
     for k in (1, 2):
-        other = near.where(F.col(f"p{k}.rep") != F.col("rep"))
-        lower = F.col(f"p{k}.rep") < F.col("rep")
-
-        def side(name: str, first, k: int = k):
-            return F.when(first, F.col(f"p{k}.{name}")).otherwise(F.col(name))
-
-        pairs = pairs.union(other.select(side("rep", lower).alias("a"), side("rep", ~lower).alias("b"), side("f", lower).alias("fa"), side("f", ~lower).alias("fb"), side("feature", lower).alias("left"), side("feature", ~lower).alias("right")))
+        before = F.col(f"p{k}.rep") < F.col("rep")
+        one, two = F.struct(F.col(f"p{k}.rep").alias("rep"), F.col(f"p{k}.g").alias("g")), F.struct("rep", "g")
+        sides = near.where(F.col(f"p{k}.rep") != F.col("rep")).select(F.when(before, one).otherwise(two).alias("l"), F.when(before, two).otherwise(one).alias("r"))
+        pairs = pairs.union(sides.select(F.col("l.rep"), F.col("r.rep"), F.col("l.g"), F.col("r.g")))
     links = stage(_voted(pairs, votes), "links")
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     joined = components(links).withColumnRenamed("node", "rep")
-    named = classes.select("digest", "rep").join(joined, "rep", "left").join(degree, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = reps.join(joined, "rep", "left").join(degree, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = found.select("media_id", F.size("features").cast("long").alias("n_features"), "digest").join(named, "digest", "left")
     component = F.when(F.col("media_id").isNotNull(), F.coalesce("component", "media_id"))
     return out.select("media_id", "n_features", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))

@@ -86,8 +86,7 @@ def op8_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """There is no table of images: one is drawn for every vector, and an edited copy for every tenth."""
-    gallery = stage(image_descriptors.gallery(table(spark, sf_dir, "embeddings")), "gallery")
-    return image_descriptors.copies(gallery)
+    return image_descriptors.copies(image_descriptors.gallery(table(spark, sf_dir, "embeddings")))
 
 
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
