@@ -121,13 +121,13 @@ def affected(stages: tuple[S.Stage, ...], source: Name, tables: Tables, identity
             keys = [k for k in s.keys if k in old.columns]
             if keys:
                 hit = old.select(*[col(k) for k in keys]).union(new.select(*[col(k) for k in keys])).distinct()
-                if any(isinstance(t, S.Group) for t in stages[i + 1 :]):
-                    old_all, new_all = semi(old_all, hit, keys), semi(new_all, hit, keys)
-                    old, new = R.group(old_all, s), R.group(new_all, s)
-                    old_all, new_all = R.group(tables_full(stages[:i], source, tables, False), s), R.group(tables_full(stages[:i], source, tables, True), s)
-                else:  # only keys matter from here on
-                    old, new = R.group(old, s), R.group(new, s)
-                    old_all, new_all = R.group(old_all, s), R.group(new_all, s)
+                rest = stages[i + 1 :]
+                if set(identity) <= set(keys) and all(lineage.passes(t, identity) and not isinstance(t, S.Lookup) for t in rest):
+                    # the rest can only drop rows of these keys: an identity too many costs a look, one too few would be wrong
+                    return hit.select(*[col(c) for c in identity]).distinct() if touched else None
+                # what follows may read the aggregates, so they have to be those of whole groups
+                old, new = R.group(semi(old_all, hit, keys), s), R.group(semi(new_all, hit, keys), s)
+                old_all, new_all = R.group(old_all, s), R.group(new_all, s)
             else:
                 old, new, old_all, new_all = (R.group(x, s) for x in (old, new, old_all, new_all))
         else:
@@ -138,11 +138,6 @@ def affected(stages: tuple[S.Stage, ...], source: Name, tables: Tables, identity
     return old.select(*names).union(new.select(*names)).distinct()
 
 
-def tables_full(stages: tuple[S.Stage, ...], source: Name, tables: Tables, new: bool) -> DataFrame:
-    bases = tables.new if new else tables.old
-    return R.run(bases(*source), stages, bases)
-
-
 def evaluate_for(identities: DataFrame, stages: tuple[S.Stage, ...], source: Name, bases: R.Bases, identity: list[str]) -> DataFrame:
     """The plan's rows for these identities: the semi-join stands before the earliest stage through which identities pass unchanged."""
     df, filtered, i = bases(*source), False, 0
