@@ -3,7 +3,7 @@
 Images of equal pixels are one class from the start. Of each class, corners are sought at several scales (largest responses
 of the smaller eigenvalue of the gradient matrix, not next to a larger one); each gets the orientation of its patch's
 intensity centroid and a descriptor of BITS intensity comparisons on the patch turned by it. Descriptors meet in TABLES
-tables: features whose bits agree in a whole table are matches, so any two that differ in fewer than TABLES bits meet. A list
+tables: features whose bits agree in a whole table, and but for NEAR bits in the first half, are matches, so any two that differ in fewer than TABLES bits meet. A list
 of a table with more than LIST members is not expanded into pairs: its members are matched with their neighbours in the
 order of the descriptor's first half, and their copies meet there, and on their other lists. Matches vote for
 the scale, turn and shift between two images; VOTES agreeing features make a link, and linked images a group.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import stage
 from sluice.llm.components import components
 
-SCALES, CORNERS, BITS, TABLES, RADIUS, TURNS, LIST, VOTES = (1.0, 0.75), 20, 128, 4, 7, 24, 32, 5
+SCALES, CORNERS, BITS, TABLES, RADIUS, TURNS, LIST, VOTES, NEAR = (1.0, 0.75), 20, 128, 4, 7, 24, 32, 5, 10
 _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
 _ANGLES = np.arange(TURNS) * 2 * np.pi / TURNS
@@ -184,9 +184,9 @@ def _voted(matches: DataFrame, votes: int) -> DataFrame:
     angle, zoom = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), right["s"] - left["s"])
     dx = right["x"] - zoom * (F.cos(angle) * left["x"] - F.sin(angle) * left["y"])
     dy = right["y"] - zoom * (F.sin(angle) * left["x"] + F.cos(angle) * left["y"])
-    moved = matches.select("a", "b", left["f"].alias("fa"), right["f"].alias("fb"), F.round(right["s"] - left["s"], 1).alias("zoom"), dx.alias("dx"), dy.alias("dy"), turn.alias("turn")).select("*", F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("g"))
-    cell = moved.select("a", "b", "fa", "fb", "g", "zoom", F.floor(F.col("turn") / 2 + F.col("g")).alias("turn"), F.floor(F.col("dx") / 8 + F.col("g")).alias("dx"), F.floor(F.col("dy") / 8 + F.col("g")).alias("dy"))
-    counted = cell.groupBy("a", "b", "g", "zoom", "turn", "dx", "dy").agg(F.least(F.count_distinct("fa"), F.count_distinct("fb")).alias("votes"))
+    moved = matches.select("a", "b", left["f"].alias("fa"), F.round(right["s"] - left["s"], 1).alias("zoom"), dx.alias("dx"), dy.alias("dy"), turn.alias("turn")).select("*", F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("g"))
+    cell = moved.select("a", "b", "fa", "g", "zoom", F.floor(F.col("turn") / 2 + F.col("g")).alias("turn"), F.floor(F.col("dx") / 8 + F.col("g")).alias("dx"), F.floor(F.col("dy") / 8 + F.col("g")).alias("dy"))
+    counted = cell.groupBy("a", "b", "g", "zoom", "turn", "dx", "dy").agg(F.count_distinct("fa").alias("votes"))
     return counted.where(F.col("votes") >= votes).select("a", "b").distinct()
 
 
@@ -213,16 +213,17 @@ def copies(media: DataFrame, id_col: str = "media_id", bytes_col: str = "bytes",
     sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     lists = stage(entries.join(sizes, "key"), "lists")
     few, many = lists.where(F.col("size") <= LIST), lists.where(F.col("size") > LIST)
-    left = few.select("key", F.col("rep").alias("a"), F.col("g").alias("ga"))
-    right = few.select("key", F.col("rep").alias("b"), F.col("g").alias("gb"))
-    pairs = left.join(right, "key").where("a < b").select("a", "b", "ga", "gb")
+    # tests on smooth patches agree by chance in one table; a match also agrees in most of the descriptor's first half
+    left = few.select("key", F.col("rep").alias("a"), F.col("g").alias("ga"), F.col("head").alias("ha"))
+    right = few.select("key", F.col("rep").alias("b"), F.col("g").alias("gb"), F.col("head").alias("hb"))
+    pairs = left.join(right, "key").where(f"a < b AND bit_count(ha ^ hb) <= {NEAR}").select("a", "b", "ga", "gb")
     # long lists: neighbours in the order of the descriptor's first half, in salted parts so that no task holds a list
     order = W.partitionBy("key", F.pmod(F.xxhash64("head"), F.lit(64))).orderBy("head", "rep", "g")
-    near = many.select("rep", "g", *[F.lag(F.struct("rep", "g"), k).over(order).alias(f"p{k}") for k in (1, 2)])
+    near = many.select("rep", "g", "head", *[F.lag(F.struct("rep", "g", "head"), k).over(order).alias(f"p{k}") for k in (1, 2)])
     for k in (1, 2):
         before = F.col(f"p{k}.rep") < F.col("rep")
         one, two = F.struct(F.col(f"p{k}.rep").alias("rep"), F.col(f"p{k}.g").alias("g")), F.struct("rep", "g")
-        sides = near.where(F.col(f"p{k}.rep") != F.col("rep")).select(F.when(before, one).otherwise(two).alias("l"), F.when(before, two).otherwise(one).alias("r"))
+        sides = near.where(F.col(f"p{k}.rep") != F.col("rep")).where(f"bit_count(p{k}.head ^ head) <= {NEAR}").select(F.when(before, one).otherwise(two).alias("l"), F.when(before, two).otherwise(one).alias("r"))
         pairs = pairs.union(sides.select(F.col("l.rep"), F.col("r.rep"), F.col("l.g"), F.col("r.g")))
     links = stage(_voted(pairs, votes), "links")
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
