@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import stage
 from sluice.llm.components import components
 
-SCALES, CORNERS, BITS, TABLES, RADIUS, TURNS, LIST, VOTES, NEAR = (1.0, 0.75), 20, 128, 4, 7, 24, 32, 5, 10
+SCALES, CORNERS, BITS, TABLES, RADIUS, TURNS, LIST, VOTES, NEAR = (1.0, 0.75), 20, 128, 2, 7, 24, 32, 5, 10
 _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
 _ANGLES = np.arange(TURNS) * 2 * np.pi / TURNS
@@ -207,7 +207,8 @@ def copies(media: DataFrame, id_col: str = "media_id", bytes_col: str = "bytes",
     # of each class the features of its first image
     chosen = found.join(reps.select("digest", F.col("rep").alias("media_id")), ["digest", "media_id"]).dropDuplicates(["digest", "media_id"])
     each = chosen.select(F.col("media_id").alias("rep"), F.posexplode("features").alias("f", "feature"))
-    words = [F.struct(F.shiftleft(F.lit(t).cast("long"), 32).bitwiseOR(F.col("feature.words")[t]).alias("key")) for t in range(TABLES)]
+    share = BITS // 32 // TABLES
+    words = [F.struct(F.xxhash64(F.lit(t), F.slice("feature.words", t * share + 1, share)).alias("key")) for t in range(TABLES)]
     head = F.shiftleft(F.col("feature.words")[0], 31).bitwiseOR(F.shiftright(F.col("feature.words")[1], 1))
     entries = each.select("rep", _packed(F.col("f"), F.col("feature")).alias("g"), head.alias("head"), F.explode(F.array(*words)).alias("w")).select("rep", "g", "head", "w.key")
     sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
