@@ -2,9 +2,12 @@
 
 Every line is parsed at a fixed depth: by its number of words, then by its LEAD leading words, words with a digit standing for
 any such word. What follows is read as at most FIELDS fields of neighbouring words, one word each in short lines. Lines in
-one leaf belong to a template if enough of their fields agree; the fields that differ are its variable ones. Distinct lines
-are counted before anything else, so a line that a third of all documents holds is one row from then on; a leaf of more than
-LEAF distinct lines is divided by its next fields, at last by whole lines, so that no task holds more of a leaf.
+one leaf belong to a template if enough of their fields agree; the fields that differ are its variable ones. Lines that agree
+in all fields but a set of the allowed number are a group; groups are taken from the largest on (ties: by the fields left
+out, then by their least line), and those of their lines that are in no template yet, if two at least, become one. Distinct lines
+are found before anything else, so a line that a third of all documents holds is one row from then on. A leaf of up to LEAF
+distinct lines is done in one task; the lines of larger ones meet by the hashes of what their groups share, in rounds, with the
+same result: no task holds a leaf, and no line is given up.
 
 A template that occurs in at least `min_docs` documents, and has `min_words` words, is dropped from all of them but for its first
 occurrence, by document id and place. A row's document is its id and text: rows that repeat both count as one and
@@ -14,6 +17,8 @@ result. Other columns are kept or ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,31 +78,32 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(n, pa.int32()), pa.array(place, pa.int32()), pa.array(whole.view(np.int64)), pa.array(lead.view(np.int64)), lists], names=["doc_id", "th", "n", "at", "whole", "lead", "fields"])
 
 
-def _merge(rows: list[tuple[int, int, list[int]]], similar: float) -> list[int]:
-    """For the lines of a leaf (whole, documents, fields), commonest first, the template of each: the line that founded it."""
-    order = sorted(range(len(rows)), key=lambda i: (-rows[i][1], rows[i][0]))
-    width = len(rows[0][2])
-    out, founders = [0] * len(rows), []
-    patterns, fixed = np.zeros((len(rows), width), np.int64), np.ones((len(rows), width), bool)
-    for i in order:
-        mine = np.array(rows[i][2], np.int64)
-        k = len(founders)
-        if k:
-            same = (patterns[:k] == mine) & fixed[:k]
-            score = same.sum(1)
-            best = int(score.argmax())
-            if score[best] >= similar * width:
-                fixed[best] &= patterns[best] == mine
-                out[i] = founders[best]
-                continue
-        patterns[k] = mine
-        founders.append(rows[i][0])
-        out[i] = rows[i][0]
+def _kept(width: int, similar: float) -> list[tuple[int, ...]]:
+    """The sets of fields that lines of so many fields must share to be one group; none if all of them must agree."""
+    least = math.ceil(similar * width - 1e-9)
+    return list(itertools.combinations(range(width), max(least, 0)))[::-1] if least < width else []
+
+
+def _merge(rows: list[tuple[int, list[int]]], similar: float) -> list[int]:
+    """For the lines of a leaf (whole, fields) the template of each: its least line."""
+    out, groups = [whole for whole, _ in rows], {}
+    for mask, kept in enumerate(_kept(len(rows[0][1]), similar)):
+        for i, (_, fields) in enumerate(rows):
+            groups.setdefault((mask, *(fields[k] for k in kept)), []).append(i)
+    ranked = sorted((-len(g), key[0], -min(rows[i][0] for i in g), g) for key, g in groups.items() if len(g) > 1)
+    free = set(range(len(rows)))
+    for *_, group in ranked:
+        mine = [i for i in group if i in free]
+        if len(mine) > 1:
+            free.difference_update(mine)
+            least = min(rows[i][0] for i in mine)
+            for i in mine:
+                out[i] = least
     return out
 
 
 def _leaves(similar: float):
-    """Over rows (leaf, whole, docs, fields) sorted by leaf: (whole, template)."""
+    """Over rows (leaf, whole, fields) sorted by leaf: (whole, template)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, rows = None, []
@@ -122,20 +128,45 @@ def _leaves(similar: float):
     return run
 
 
-def templates(lines: DataFrame, similar: float = SIMILAR, leaf: int = LEAF) -> DataFrame:
+def _rounds(lines: DataFrame, similar: float) -> DataFrame:
+    """(whole, template) for lines (whole, lead, fields) of leaves of any size, as _merge has them. A round takes each group that
+    is the first of two free lines at least; lines that are left go on with the groups that are taken or still have two free ones."""
+    keys = F.array().cast("array<struct<mask:int,key:bigint>>")
+    for width in range(1, FIELDS + 1):
+        if masks := _kept(width, similar):
+            each = [F.struct(F.lit(m).alias("mask"), F.xxhash64("lead", F.lit(m), *(F.col("fields")[k] for k in kept)).alias("key")) for m, kept in enumerate(masks)]
+            keys = F.when(F.size("fields") == width, F.array(*each)).otherwise(keys)
+    entries = lines.select("whole", F.explode(keys).alias("g")).select("whole", "g.mask", "g.key")
+    groups = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("whole").alias("least")).where("size > 1")
+    left = stage(entries.join(groups, "key"), "groups")
+    taken = found = None
+    while not left.isEmpty():
+        first = stage(left.groupBy("whole").agg(F.max(F.struct("size", -F.col("mask"), "least", "key"))["key"].alias("key")), "first")
+        new = first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        taken = stage(new if taken is None else taken.union(new).distinct(), "taken")
+        settled = stage(first.join(taken, "key", "left_semi"), "settled")
+        found = settled if found is None else found.union(settled)
+        free = left.join(settled.select("whole"), "whole", "left_anti")
+        open_ = free.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").union(taken).distinct()
+        left = stage(free.join(open_, "key", "left_semi"), "groups")
+    if found is None:
+        return lines.select("whole", F.col("whole").alias("template")).limit(0)
+    return found.join(found.groupBy("key").agg(F.min("whole").alias("template")), "key").select("whole", "template")
+
+
+def templates(lines: DataFrame, similar: float = SIMILAR, leaf: int | None = None) -> DataFrame:
     """(whole, template) for the distinct lines that share a template with another; all others are their own."""
-    distinct = stage(lines.groupBy("whole").agg(F.count("*").alias("docs"), F.first("lead").alias("lead"), F.first("fields").alias("fields")).where(F.size("fields") > 0), "distinct")
-    for level, key in enumerate((F.col("lead"), F.xxhash64("lead", F.slice("fields", 1, FIELDS // 4)), F.xxhash64("lead", F.slice("fields", 1, FIELDS // 2)))):
-        level_rows = distinct.withColumn("leaf", key)
-        sizes = level_rows.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
-        joined = stage(level_rows.join(sizes, "leaf"), "leaves")
-        fits = joined.where(F.col("size") <= leaf).select("leaf", "whole", "docs", "fields")
-        found = fits if level == 0 else found.union(fits)
-        distinct = joined.where(F.col("size") > leaf).select("whole", "docs", "lead", "fields")
-        if distinct.isEmpty():
-            break
-    dealt = found.repartition("leaf").sortWithinPartitions("leaf")
-    return dealt.mapInArrow(_leaves(similar), "whole long, template long").where("whole != template")
+    leaf = LEAF if leaf is None else leaf
+    widths = [w for w in range(1, FIELDS + 1) if _kept(w, similar)]
+    distinct = stage(lines.where(F.size("fields").isin(widths)).groupBy("whole").agg(F.first("lead").alias("lead"), F.first("fields").alias("fields")), "distinct")
+    sizes = distinct.groupBy("lead").agg(F.count("*").alias("size")).where("size > 1")
+    joined = stage(distinct.join(sizes, "lead"), "leaves")
+    dealt = joined.where(F.col("size") <= leaf).select("lead", "whole", "fields").repartition("lead").sortWithinPartitions("lead")
+    found = dealt.mapInArrow(_leaves(similar), "whole long, template long")
+    large = joined.where(F.col("size") > leaf).select("whole", "lead", "fields")
+    if not large.isEmpty():
+        found = found.union(_rounds(large, similar))
+    return found.where("whole != template")
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:

@@ -102,6 +102,24 @@ def test_hot_leaves_are_divided(docs, monkeypatch):
     assert [r["_lines"].n_dropped for r in rows] == [0] * 61 + [1]
 
 
+@pytest.mark.parametrize("at", [1, 5, 9])
+@pytest.mark.parametrize("n", [5, 5000])
+def test_many_variants(docs, n, at):
+    """A variable word is found in any field, whatever the number of variants."""
+    words = "please contact our friendly support agent for any further help with".split()
+    texts = [" ".join(words[:at + 2] + [letters(i)] + words[at + 3 :]) for i in range(n)]
+    rows = log_templates.clean(docs(texts)).collect()
+    assert [r.doc_id for r in rows if not r["_lines"].n_dropped] == [0]
+
+
+def test_templates_do_not_depend_on_leaf(spark):
+    rng = np.random.default_rng(8)
+    rows = sorted({(7 * (i % 2), *(int(x) for x in rng.integers(0, 3, 8))) for i in range(600)})
+    lines = spark.createDataFrame([(int(w), lead, fields) for w, (lead, *fields) in zip(rng.permutation(len(rows)), rows, strict=True)], "whole long, lead long, fields array<int>")
+    small, large = ({tuple(r) for r in log_templates.templates(lines, leaf=k).collect()} for k in (10**6, 1))
+    assert small == large and len(small) > 100
+
+
 def test_line_edges(docs):
     assert log_templates.clean(docs([]).limit(0)).count() == 0
     twice = docs(["one two three four five"] * 2, ids=[1, 1])  # the same document twice: treated alike
