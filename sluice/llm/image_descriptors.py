@@ -3,11 +3,14 @@
 Images of equal pixels are one class from the start. Of each class, corners are sought at several scales (largest responses
 of the smaller eigenvalue of the gradient matrix, not next to a larger one); each gets the orientation of its patch's
 intensity centroid and a descriptor of BITS intensity comparisons on the patch turned by it. Descriptors meet in TABLES
-tables: features whose bits agree in a whole table, and but for NEAR bits in the first half, are matches, so any two that differ in fewer than TABLES bits meet. A list
-of a table with more than LIST members is not expanded into pairs: its members are matched with their neighbours in the
-order of the descriptor's first half, and their copies meet there, and on their other lists. Matches vote for
+tables: features whose bits agree in a whole table, and but for NEAR bits in the first half, are matches, so any two that differ in fewer than TABLES bits meet. Matches vote for
 the scale, turn and shift between two images; VOTES agreeing features make a link, and linked images a group.
 
+Images are dealt into blocks of bounded bytes, and every two blocks are compared in one task, which so has all matches of two
+images together: lists are expanded in slices of about LIST matches, and only links leave it, as the number of an image's links and
+the least image that it reaches. No list is cut, however long; work grows with the matches, by chance or not, and so with the square
+of the number of images.
+
 Pixels: PGM, PPM (binary), PNG (8 bit, grey or colour, not interlaced). Null, empty or other bytes: no features, linked with
 nothing, not even with each other. Images without corners: linked with equal ones. Null id: comes out alone. Repeated ids: one node. Empty table: empty result. Other
 columns are not looked at.
@@ -23,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.llm.common import stage
 from sluice.llm.components import components
 
-SCALES, CORNERS, BITS, TABLES, RADIUS, TURNS, LIST, VOTES, NEAR = (1.0, 0.75), 20, 128, 2, 7, 24, 32, 5, 10
+SCALES, CORNERS, BITS, TABLES, RADIUS, TURNS, LIST, VOTES, NEAR, BLOCK = (1.0, 0.75), 20, 128, 2, 7, 24, 1 << 21, 5, 10, 16_000_000
 _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
 _ANGLES = np.arange(TURNS) * 2 * np.pi / TURNS
@@ -150,87 +153,153 @@ def features(image: np.ndarray, corners: int = CORNERS) -> tuple[np.ndarray, np.
     return np.concatenate(where), np.concatenate(what)
 
 
-_FEATURE = "struct<x:float,y:float,s:float,turn:int,words:array<bigint>>"
+#: A feature: its descriptor, number, turn, scale (sixteenths of its log2) and place.
+_RECORD = np.dtype([("words", "<u4", BITS // 32), ("f", "<u4"), ("turn", "u1"), ("s", "i1"), ("x", "<f4"), ("y", "<f4")])
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, lists, flat = [], [0], {k: [] for k in ("x", "y", "s", "turn", "words")}
+        digests, records = [], []
         for value in batch.column(1):
             image = decode(value.as_py())
             digests.append(None if image is None else hashlib.blake2b(struct.pack("<II", *image.shape) + image.tobytes(), digest_size=16).digest())
             places, words = features(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, BITS // 32), np.int64))
-            for k, v in zip(("x", "y", "s", "turn"), places.T, strict=True):
-                flat[k].append(v)
-            flat["words"].append(words)
-            lists.append(lists[-1] + len(words))
-        join = {k: np.concatenate(v) if v else np.zeros(0) for k, v in flat.items() if k != "words"}
-        words = np.concatenate(flat["words"]) if flat["words"] else np.zeros((0, BITS // 32), np.int64)
-        items = pa.StructArray.from_arrays([*(pa.array(join[k], pa.float32()) for k in "xys"), pa.array(join["turn"].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * (BITS // 32), pa.int32()), pa.array(words.reshape(-1)))], names=["x", "y", "s", "turn", "words"])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), items)], names=["media_id", "digest", "features"])
-
-
-def _voted(matches: DataFrame, votes: int) -> DataFrame:
-    """Pairs (a, b) of images with enough matches that agree on scale, turn and shift; cells of two grids, so that no edge divides them."""
-
-    def part(c: str, shift: int, bits: int):
-        return F.shiftright(F.col(c), shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-
-    def geometry(c: str) -> dict:
-        return {"f": part(c, 0, 10), "turn": part(c, 10, 6), "s": part(c, 16, 8) / 16.0 - 8, "x": part(c, 24, 19) / 4.0, "y": part(c, 43, 19) / 4.0}
+            own = np.zeros(len(words), _RECORD)
+            own["words"], own["f"], own["turn"], own["s"] = words, np.arange(len(words)), places[:, 3], np.rint(places[:, 2] * 16)
+            own["x"], own["y"] = places[:, 0], places[:, 1]
+            records.append(own.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(records, pa.binary())], names=["media_id", "digest", "features"])
 
-    left, right = geometry("ga"), geometry("gb")
-    turn = F.pmod(right["turn"] - left["turn"], F.lit(TURNS))
-    angle, zoom = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), right["s"] - left["s"])
-    dx = right["x"] - zoom * (F.cos(angle) * left["x"] - F.sin(angle) * left["y"])
-    dy = right["y"] - zoom * (F.sin(angle) * left["x"] + F.cos(angle) * left["y"])
-    moved = matches.select("a", "b", left["f"].alias("fa"), F.round(right["s"] - left["s"], 1).alias("zoom"), dx.alias("dx"), dy.alias("dy"), turn.alias("turn")).select("*", F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("g"))
-    cell = moved.select("a", "b", "fa", "g", "zoom", F.floor(F.col("turn") / 2 + F.col("g")).alias("turn"), F.floor(F.col("dx") / 8 + F.col("g")).alias("dx"), F.floor(F.col("dy") / 8 + F.col("g")).alias("dy"))
-    counted = cell.groupBy("a", "b", "g", "zoom", "turn", "dx", "dy").agg(F.count_distinct("fa").alias("votes"))
-    return counted.where(F.col("votes") >= votes).select("a", "b").distinct()
 
-
-def _packed(f, feature):
-    """Number, turn, scale and place of a feature in one long, which is all that votes need: 32 bytes an entry instead of its record."""
-
-    def at(value, shift: int):
-        return F.shiftleft(value.cast("long"), shift)
-
-    return at(f, 0).bitwiseOR(at(feature["turn"], 10)).bitwiseOR(at(F.round((feature["s"] + 8) * 16), 16)).bitwiseOR(at(F.round(feature["x"] * 4), 24)).bitwiseOR(at(F.round(feature["y"] * 4), 43))
+def _table_keys(words: np.ndarray, t: int) -> np.ndarray:
+    share = BITS // 32 // TABLES
+    out = np.zeros(len(words), np.uint64)
+    for w in words[:, t * share : (t + 1) * share].T:
+        out = out << np.uint64(32) | w
+    return out
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether descriptors agree but for NEAR bits in the first half."""
+    return np.bitwise_count(a[:, : BITS // 64] ^ b[:, : BITS // 64]).sum(1) <= NEAR
+
+
+class _Block:
+    def __init__(self, table: pa.Table):
+        self.reps, parts = table["rep"].to_numpy(), table["features"].to_pylist()
+        self.features = np.frombuffer(b"".join(parts), _RECORD)
+        sizes = np.array([len(p) // _RECORD.itemsize for p in parts], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.image = np.repeat(np.arange(len(parts)), sizes)
+        self.words = np.ascontiguousarray(self.features["words"])
+
+
+def _agreeing(x: _Block, y: _Block, fx: np.ndarray, fy: np.ndarray, code: np.ndarray, votes: int) -> np.ndarray:
+    """The codes (of pairs of images) with enough matches that agree on scale, turn and shift; cells of two grids, so that no edge divides them."""
+    turned = (x.reps[x.image[fx]] > y.reps[y.image[fy]])[:, None]
+    left, right = x.features[fx], y.features[fy]
+    a, b = {}, {}
+    for k in ("f", "turn", "s", "x", "y"):
+        both = np.column_stack([left[k], right[k]]).astype(np.float64)
+        a[k], b[k] = np.where(turned, both[:, ::-1], both).T
+    turn, zoom = (b["turn"] - a["turn"]) % TURNS, b["s"] - a["s"]
+    angle, scale = turn * (2 * np.pi / TURNS), 2.0 ** (zoom / 16)
+    dx = b["x"] - scale * (np.cos(angle) * a["x"] - np.sin(angle) * a["y"])
+    dy = b["y"] - scale * (np.sin(angle) * a["x"] + np.cos(angle) * a["y"])
+    out = []
+    for g in (0.0, 0.5):
+        rows = np.column_stack([code, zoom, np.floor(turn / 2 + g), np.floor(dx / 8 + g), np.floor(dy / 8 + g), a["f"]]).astype(np.int64)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))]  # a feature votes once
+        begin = np.flatnonzero(np.append(True, (rows[1:, :-1] != rows[:-1, :-1]).any(1)))
+        out.append(rows[begin[np.diff(np.append(begin, len(rows))) >= votes], 0])
+    return np.unique(np.concatenate(out))
+
+
+def _linked(x: _Block, y: _Block, same: bool, votes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked images of two blocks; each pair once."""
+    lists, total = [], np.zeros(len(x.words) + 1, np.int64)
+    for t in range(TABLES):
+        mine, theirs = _table_keys(x.words, t), _table_keys(y.words, t)
+        order = np.argsort(theirs, kind="stable").astype(np.int32)
+        theirs = theirs[order]
+        lo = np.searchsorted(theirs, mine).astype(np.int32)
+        n = np.searchsorted(theirs, mine, "right").astype(np.int32) - lo
+        total[1:] += n
+        lists.append((order, lo, n))
+    total = np.cumsum(total)[x.first]  # matches before each image
+    width, start, found = len(y.reps), 0, [np.zeros((2, 0), np.int64)]
+    while start < len(x.reps):
+        stop = int(np.searchsorted(total, total[start] + LIST, "right")) - 1
+        stop = min(max(stop, start + 1), start + max(1, (1 << 22) // max(width, 1)), len(x.reps))
+        i, j, pairs = x.first[start], x.first[stop], []
+        for order, lo, n in lists:
+            own = n[i:j].astype(np.int64)
+            fx = np.repeat(np.arange(i, j), own)
+            fy = order[np.repeat(lo[i:j] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+            keep = _near(x.words[fx], y.words[fy])
+            if same:
+                keep &= x.reps[x.image[fx]] < y.reps[y.image[fy]]
+            pairs.append((fx[keep], fy[keep]))
+        fx, fy = (np.concatenate(p) for p in zip(*pairs, strict=True))
+        code = (x.image[fx] - start) * width + y.image[fy]
+        enough = np.bincount(code, minlength=1)[code] >= votes if len(code) else np.zeros(0, bool)
+        if enough.any():
+            code = _agreeing(x, y, fx[enough], fy[enough], code[enough], votes)
+            found.append(np.stack([code // width + start, code % width]))
+        start = stop
+    i, j = np.concatenate(found, 1)
+    return i, j
+
+
+def _reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of n nodes that each reaches by links (a, b)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        for side in (label[a], label[b], a, b):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _compared(votes: int):
+    """Over the images (x, y, own, rep, features) of two blocks: those with links, the least image reached by them, their number."""
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        same = key[0] == key[1]
+        x = _Block(table.filter(pa.compute.equal(table["own"], key[0])))
+        y = x if same else _Block(table.filter(pa.compute.equal(table["own"], key[1])))
+        i, j = _linked(x, y, same, votes)
+        reps, at = np.unique(np.concatenate([x.reps[i], y.reps[j]]), return_inverse=True)
+        root = reps[_reached(len(reps), at[: len(i)], at[len(i) :])]
+        return pa.table({"rep": pa.array(reps, pa.int64()), "root": pa.array(root, pa.int64()), "n": pa.array(np.bincount(at, minlength=len(reps)), pa.int64())})
+
+    return compare
 
 
 def copies(media: DataFrame, id_col: str = "media_id", bytes_col: str = "bytes", votes: int = VOTES) -> DataFrame:
     """(media_id, n_features, n_links, component_id): links between classes of equal images, and the least id that each reaches."""
     plain = media.select(F.col(id_col).cast("long").alias("media_id"), F.col(bytes_col).alias("bytes"))
-    found = stage(plain.mapInArrow(_described, f"media_id long, digest binary, features array<{_FEATURE}>"), "described")
+    found = stage(plain.mapInArrow(_described, "media_id long, digest binary, features binary"), "described")
     reps = stage(found.where("digest IS NOT NULL AND media_id IS NOT NULL").groupBy("digest").agg(F.min("media_id").alias("rep")), "classes")
     # of each class the features of its first image
     chosen = found.join(reps.select("digest", F.col("rep").alias("media_id")), ["digest", "media_id"]).dropDuplicates(["digest", "media_id"])
-    each = chosen.select(F.col("media_id").alias("rep"), F.posexplode("features").alias("f", "feature"))
-    share = BITS // 32 // TABLES
-    words = [F.struct(F.xxhash64(F.lit(t), F.slice("feature.words", t * share + 1, share)).alias("key")) for t in range(TABLES)]
-    head = F.shiftleft(F.col("feature.words")[0], 31).bitwiseOR(F.shiftright(F.col("feature.words")[1], 1))
-    entries = each.select("rep", _packed(F.col("f"), F.col("feature")).alias("g"), head.alias("head"), F.explode(F.array(*words)).alias("w")).select("rep", "g", "head", "w.key")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    lists = stage(entries.join(sizes, "key"), "lists")
-    few, many = lists.where(F.col("size") <= LIST), lists.where(F.col("size") > LIST)
-    # tests on smooth patches agree by chance in one table; a match also agrees in most of the descriptor's first half
-    left = few.select("key", F.col("rep").alias("a"), F.col("g").alias("ga"), F.col("head").alias("ha"))
-    right = few.select("key", F.col("rep").alias("b"), F.col("g").alias("gb"), F.col("head").alias("hb"))
-    pairs = left.join(right, "key").where(f"a < b AND bit_count(ha ^ hb) <= {NEAR}").select("a", "b", "ga", "gb")
-    # long lists: neighbours in the order of the descriptor's first half, in salted parts so that no task holds a list
-    order = W.partitionBy("key", F.pmod(F.xxhash64("head"), F.lit(64))).orderBy("head", "rep", "g")
-    near = many.select("rep", "g", "head", *[F.lag(F.struct("rep", "g", "head"), k).over(order).alias(f"p{k}") for k in (1, 2)])
-    for k in (1, 2):
-        before = F.col(f"p{k}.rep") < F.col("rep")
-        one, two = F.struct(F.col(f"p{k}.rep").alias("rep"), F.col(f"p{k}.g").alias("g")), F.struct("rep", "g")
-        sides = near.where(F.col(f"p{k}.rep") != F.col("rep")).where(f"bit_count(p{k}.head ^ head) <= {NEAR}").select(F.when(before, one).otherwise(two).alias("l"), F.when(before, two).otherwise(one).alias("r"))
-        pairs = pairs.union(sides.select(F.col("l.rep"), F.col("r.rep"), F.col("l.g"), F.col("r.g")))
-    links = stage(_voted(pairs, votes), "links")
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    size = chosen.agg(F.sum(F.length("features"))).first()[0] or 0
+    blocks = size // BLOCK + 1
+    own = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("long")
+    dealt = chosen.where(F.length("features") > 0).select(F.col("media_id").alias("rep"), "features").withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "features")
+    reached = stage(dealt.groupBy("x", "y").applyInArrow(_compared(votes), "rep long, root long, n long"), "links")
+    links = reached.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    degree = reached.groupBy("rep").agg(F.sum("n").alias("n_links"))
     joined = components(links).withColumnRenamed("node", "rep")
     named = reps.join(joined, "rep", "left").join(degree, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = found.select("media_id", F.size("features").cast("long").alias("n_features"), "digest").join(named, "digest", "left")
+    out = found.select("media_id", F.floor(F.length("features") / _RECORD.itemsize).cast("long").alias("n_features"), "digest").join(named, "digest", "left")
     component = F.when(F.col("media_id").isNotNull(), F.coalesce("component", "media_id"))
     return out.select("media_id", "n_features", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
 

@@ -63,6 +63,19 @@ def test_hot_lists(spark, monkeypatch):
     assert {r.component_id for r in out} == {0}
 
 
+@pytest.mark.parametrize("n", [30, 50])
+def test_links_on_long_lists(spark, monkeypatch, n):
+    """Copies that differ in one pixel at the edge: each is linked with all others, however many they are and however they are dealt."""
+    monkeypatch.setattr(im, "BLOCK", 20_000)
+    rows = []
+    for i in range(n):
+        picture = im.drawn(np.arange(8.0))
+        picture[0, i] = 255 - picture[0, i]
+        rows.append((i, im.pgm(picture)))
+    out = im.copies(spark.createDataFrame(rows, "media_id long, bytes binary")).collect()
+    assert {r.component_id for r in out} == {0} and {r.n_links for r in out} == {n - 1}
+
+
 def words(t):
     return [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
 
