@@ -4,7 +4,9 @@ A text is read as its words, A-Z in lower case, with one space between two and a
 bytes: the commonest SYMBOLS - 2 of them, one symbol for all others (whose byte then costs its own share among them), and
 the end. Counts of all runs of DEPTH + 1 symbols of all training texts are summed by Spark. A context of up to DEPTH symbols
 passes the divergence test if its next-symbol distribution saves at least FLOOR bits over its suffix's (the count times the
-divergence); the model keeps the STATES contexts that save most, which bounds what is broadcast. Distributions are smoothed
+divergence); the model keeps all that pass. In the order of their symbols from the last on they are divided into trees of up to
+STATES contexts, which bounds what is broadcast: the texts are gone through once for each HELD trees, each of which scores the
+symbols whose contexts lie in its range. Distributions are smoothed
 towards that of the longest retained suffix; a text is scored by its longest suffix states, as lookups in whole arrays.
 
 Word counts: the TOP commonest words go to every task, the rest are joined, so that no common word makes a hot key.
@@ -15,6 +17,7 @@ symbols are as likely, base scores 0. Empty table: empty result. Other columns a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import chunks, stage, text_bytes, word_bounds, word_hashes
 
-DEPTH, SYMBOLS, STATES, FLOOR, TOP, PRIOR = 5, 64, 32_767, 10.0, 1 << 18, 4.0
+DEPTH, SYMBOLS, STATES, HELD, FLOOR, TOP, PRIOR = 5, 64, 32_767, 8, 10.0, 1 << 18, 4.0
 #: Contexts of so many symbols are found by their code in a table, longer ones by search.
 _DIRECT = 4
 _END = 256  # among bytes
@@ -51,15 +54,15 @@ def _spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, begins, (starts, ends, first)
 
 
-def _contexts(symbols: np.ndarray, begins: np.ndarray, end: int, bits: int, depth: int = DEPTH) -> np.ndarray:
-    """The last `depth` symbols before each, the latest lowest; before a text there are ends."""
+def _contexts(symbols: np.ndarray, begins: np.ndarray, end: int, bits: int, depth: int = DEPTH, turned: bool = False) -> np.ndarray:
+    """The last `depth` symbols before each, the latest lowest (turned: highest); before a text there are ends."""
     at = np.arange(len(symbols)) - np.repeat(begins, np.diff(np.append(begins, len(symbols))))
     out = np.zeros(len(symbols), np.int64)
     for d in range(1, depth + 1):
         back = np.full(len(symbols), end, np.int64)
         back[d:] = symbols[:-d]
         back[at < d] = end
-        out |= back << (bits * (d - 1))
+        out |= back << (bits * (depth - d if turned else d - 1))
     return out
 
 
@@ -86,71 +89,113 @@ def _counted(words: list[np.ndarray], grams: list[np.ndarray]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
 
+def _turned(contexts, depth: int, bits: int = 6):
+    """Codes of so many symbols with the latest highest, as if followed by symbols 0 up to DEPTH: contexts with a common suffix are a range."""
+    out = contexts * 0
+    for i in range(depth):
+        shift, to = bits * i, bits * (DEPTH - 1 - i)
+        if isinstance(contexts, np.ndarray):
+            out = out | (contexts >> shift & ((1 << bits) - 1)) << to
+        else:
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(contexts, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long")), to))
+    return out
+
+
 class Tree:
-    """Retained contexts with their smoothed next-symbol distributions."""
-
-    def __init__(self, symbol_of: np.ndarray, other: np.ndarray, contexts: dict[tuple[int, int], dict[int, int]], symbols: int = SYMBOLS, depth: int = DEPTH):
-        """symbol_of: for bytes and end; other: log10 share of a byte among those of its symbol; contexts: (depth, code) -> next symbol -> count."""
-        self.symbol_of, self.other, self.depth, self.bits = symbol_of, other, depth, (symbols - 1).bit_length()
-        order = sorted(contexts, key=lambda c: c[0])
-        self.index = {c: i for i, c in enumerate(order)}
-        rows = np.full((len(order), symbols), 1 / symbols)
-        for c in order:
-            d, code = c
-            parent = next((rows[self.index[p]] for k in range(d - 1, -1, -1) if (p := (k, code & ((1 << self.bits * k) - 1))) in self.index), rows[0])
-            counts = np.zeros(symbols)
-            for s, n in contexts[c].items():
-                counts[s] = n
-            if d == 0:
-                rows[self.index[c]] = (counts + 0.5) / (counts.sum() + 0.5 * symbols)
-            else:
-                prior = PRIOR * np.count_nonzero(counts) ** 0.5
-                rows[self.index[c]] = (counts + prior * parent) / (counts.sum() + prior)
-        self.log10 = np.log10(rows).astype(np.float32)
-        self.order, self._lookup = order, None
-
-    def lookup(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """The state of each run of _DIRECT symbols; for each greater depth which such runs end a retained context, the codes and their states."""
+    """Retained contexts of a range with their smoothed next-symbol distributions."""
+
+    def __init__(self, symbol_of: np.ndarray, other: np.ndarray, entries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], bounds: tuple[int, int], symbols: int = SYMBOLS, depth: int = DEPTH):
+        """symbol_of: for bytes and end; other: log10 share of a byte among those of its symbol; entries: depth -> codes, next symbols, counts; bounds: of the range."""
+        self.symbol_of, self.other, self.depth, self.bits, self.bounds = symbol_of, other, depth, (symbols - 1).bit_length(), bounds
+        self.codes, self.first, parts = [], [0], []
+        for d in range(depth + 1):
+            ctx, s, n = entries[d]
+            codes, at = np.unique(np.append(ctx, 0) if d == 0 else ctx, return_inverse=True)
+            at, order = at[: len(ctx)], np.argsort(at[: len(ctx)], kind="stable")
+            at, s, n = at[order], s[order], n[order]
+            parent, above_all = self._longest(codes), np.concatenate(parts) if d else None
+            for i in range(0, len(codes), 8192):
+                j = min(i + 8192, len(codes))
+                (a, b), counts = np.searchsorted(at, [i, j]), np.zeros((j - i, symbols))
+                counts[at[a:b] - i, s[a:b]] = n[a:b]
+                if d == 0:
+                    rows = (counts + 0.5) / (counts.sum() + 0.5 * symbols)
+                else:
+                    prior = PRIOR * np.count_nonzero(counts, 1)[:, None] ** 0.5
+                    above = 10.0 ** above_all[parent[i:j]]
+                    rows = (counts + prior * above) / (counts.sum(1)[:, None] + prior)
+                parts.append(np.log10(rows).astype(np.float32))
+            self.codes.append(codes)
+            self.first.append(self.first[-1] + len(codes))
+        self.log10, self._lookup = np.concatenate(parts), None
+
+    def _longest(self, codes: np.ndarray) -> np.ndarray:
+        """The state of the longest retained suffix among the depths so far."""
+        out = np.zeros(len(codes), np.int64)
+        for k, own in enumerate(self.codes):
+            suffix = codes & ((1 << self.bits * k) - 1)
+            at = np.minimum(np.searchsorted(own, suffix), max(len(own) - 1, 0))
+            hit = own[at] == suffix if len(own) else np.zeros(len(codes), bool)
+            out[hit] = self.first[k] + at[hit]
+        return out
+
+    @property
+    def order(self) -> list[tuple[int, int]]:
+        return [(d, code) for d, own in enumerate(self.codes) for code in own.tolist()]
+
+    @property
+    def index(self) -> dict[tuple[int, int], int]:
+        return {c: i for i, c in enumerate(self.order)}
+
+    def lookup(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The state of each turned run of _DIRECT symbols in the range, whether such a run ends retained contexts of more symbols, and these with their states."""
         if self._lookup is None:
-            short = min(self.depth, _DIRECT)
-            table, longer = np.zeros(1 << self.bits * short, np.uint16), []
-            for d in range(self.depth + 1):
-                own = sorted((code, self.index[d, code]) for k, code in self.order if k == d)
-                if own and d <= short:
-                    codes, ids = np.array(own).T
-                    table.reshape(-1, 1 << self.bits * d)[:, codes] = ids.astype(np.uint16)
-                elif own:
-                    codes, ids = np.array(own).T
-                    ends = np.zeros(len(table), bool)
-                    ends[codes & (len(table) - 1)] = True
-                    longer.append((d, ends, codes, ids.astype(np.uint16)))
-            self._lookup = table, longer
+            low, high = (x >> self.bits * (self.depth - _DIRECT) for x in (self.bounds[0], self.bounds[1] - 1))
+            table, ends = np.zeros(high - low + 1, np.int32 if len(self.log10) > 1 << 16 else np.uint16), np.zeros(high - low + 1, bool)
+            for d, codes in enumerate(self.codes):
+                turned, ids = _turned(codes, d), np.arange(self.first[d], self.first[d + 1])
+                at = (turned >> self.bits * (self.depth - _DIRECT)) - low
+                if d < _DIRECT:
+                    span = 1 << self.bits * (_DIRECT - d)
+                    for i, j in zip(at.tolist(), ids.tolist(), strict=True):
+                        table[max(i, 0) : max(i + span, 0)] = j
+                else:
+                    inside = (at >= 0) & (at < len(table))
+                    if d == _DIRECT:
+                        table[at[inside]] = ids[inside]
+                    else:
+                        ends[at[inside]] = True
+            order = np.argsort(turned)
+            self._lookup = table, ends, turned[order], ids[order].astype(table.dtype)
         return self._lookup
 
-    def states(self, contexts: np.ndarray) -> np.ndarray:
-        """The state of the longest retained suffix of each run of `depth` symbols."""
-        table, longer = self.lookup()
-        last = contexts & (len(table) - 1)
+    def states(self, turned: np.ndarray) -> np.ndarray:
+        """The state of the longest retained suffix of each turned run of `depth` symbols, all in the range."""
+        table, ends, longer, ids = self.lookup()
+        last = (turned >> self.bits * (self.depth - _DIRECT)) - (self.bounds[0] >> self.bits * (self.depth - _DIRECT))
         out = table[last]
-        for d, ends, codes, ids in longer:
-            where = np.flatnonzero(ends[last])
-            code = contexts[where] & ((1 << self.bits * d) - 1)
-            at = np.searchsorted(codes, code)
-            at[at == len(codes)] = 0
-            hit = codes[at] == code
+        where = np.flatnonzero(ends[last])
+        if len(where):
+            at = np.searchsorted(longer, turned[where])
+            at[at == len(longer)] = 0
+            hit = longer[at] == turned[where]
             out[where[hit]] = ids[at[hit]]
         return out
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_lookup": None}
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """log10 probability of each text, and the bounds of its words."""
-        spelled, begins, bounds = _spelled(data, offsets)
-        symbols = self.symbol_of[spelled]
-        state = self.states(_contexts(symbols, begins, int(self.symbol_of[_END]), self.bits, self.depth))
-        each = self.log10[state, symbols].astype(np.float64) + self.other[spelled]
-        return np.add.reduceat(each, begins), bounds
+
+def _scores(held: list[Tree], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """log10 probability of the symbols of each text whose contexts are in the ranges of the trees, and the bounds of its words."""
+    spelled, begins, bounds = _spelled(data, offsets)
+    symbols = held[0].symbol_of[spelled]
+    turned = _contexts(symbols, begins, int(held[0].symbol_of[_END]), held[0].bits, held[0].depth, turned=True)
+    each = np.zeros(len(symbols))
+    for tree in held:
+        mine = slice(None) if tree.bounds == (0, 1 << 6 * DEPTH) else np.flatnonzero((turned >= tree.bounds[0]) & (turned < tree.bounds[1]))
+        each[mine] = tree.log10[tree.states(turned[mine]), symbols[mine]].astype(np.float64) + tree.other[spelled[mine]]
+    return np.add.reduceat(each, begins), bounds
 
 
 def _most(df: DataFrame, column: str, at_most: int) -> DataFrame:
@@ -165,9 +210,30 @@ def _most(df: DataFrame, column: str, at_most: int) -> DataFrame:
     return df.where(step >= F.lit(least)) if least is not None else df.limit(0)
 
 
+def _ranges(kept: DataFrame, at_most: int) -> list[tuple[int, int]]:
+    """Ranges of turned codes, in each of which so many of the contexts begin at most (but at least those that begin at one code)."""
+    shift = 6 * (DEPTH - 3)  # three symbols: at most 4161 contexts and those of fewer symbols
+    while True:
+        counts = kept.groupBy(F.shiftright("turned", shift).alias("c")).agg(F.count("*").alias("n")).toPandas().sort_values("c")
+        if shift == 0 or counts["n"].max() <= at_most or not len(counts):
+            break
+        shift -= 6
+    bounds, held = [0], 0
+    for c, n in zip(counts["c"].tolist(), counts["n"].tolist(), strict=True):
+        if held and held + n > at_most:
+            bounds.append(c << shift)
+            held = 0
+        held += n
+    return list(zip(bounds, [*bounds[1:], 1 << 6 * DEPTH], strict=True))
+
+
 def learn(grams: DataFrame) -> Tree:
-    """The tree for counts (key, n) of runs of DEPTH + 1 bytes or ends."""
-    spark = grams.sparkSession
+    """The first tree for counts (key, n) of runs of DEPTH + 1 bytes or ends; the only one if all contexts fit into it."""
+    return next(trees(grams)[1])
+
+
+def trees(grams: DataFrame) -> tuple[int, Iterator[Tree]]:
+    """The number of trees, and the trees, each made when it is asked for."""
     bytes_ = dict(grams.groupBy((F.col("key").bitwiseAND(F.lit(511))).alias("b")).agg(F.sum("n").alias("n")).collect())
     order = sorted((b for b in range(256)), key=lambda b: (b != 32, -bytes_.get(b, 0), b))
     symbol_of, other, rest = np.full(257, SYMBOLS - 2, np.int64), np.zeros(257), order[SYMBOLS - 2 :]
@@ -192,13 +258,36 @@ def learn(grams: DataFrame) -> Tree:
         parts = both.groupBy("ctx").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log2(F.col("n").cast("double") * F.col("up_all") / F.col("up"))).alias("bits"))
         bits = parts.select(F.lit(d).alias("d"), "ctx", (F.col("bits") - F.col("all") * F.log2(F.col("all").cast("double"))).alias("bits")).where(F.col("bits") >= FLOOR)
         saved = bits if saved is None else saved.union(bits)
-    kept = stage(_most(stage(saved, "saved"), "bits", STATES).select("d", "ctx"), "contexts")
-    contexts: dict[tuple[int, int], dict[int, int]] = {(0, 0): {s: n for s, n in levels[0].select("s", "n").collect()}}
+    turned = F.lit(None).cast("long")
     for d in range(1, DEPTH + 1):
-        entries = levels[d].join(kept.where(F.col("d") == d).select("ctx"), "ctx", "left_semi").select("ctx", "s", "n").toPandas()  # at most STATES contexts over all depths
-        for ctx, s, n in zip(entries["ctx"].tolist(), entries["s"].tolist(), entries["n"].tolist(), strict=True):
-            contexts.setdefault((d, ctx), {})[s] = n
-    return Tree(symbol_of, other, contexts)
+        turned = F.when(F.col("d") == d, _turned(F.col("ctx"), d)).otherwise(turned)
+    kept = stage(saved.withColumn("turned", turned).drop("bits"), "contexts")
+    ranges = _ranges(kept, max(1, STATES - DEPTH))
+
+    def entries(d: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the contexts of d symbols that have longer ones, or themselves, in the range."""
+        own = kept.where((F.col("d") == d) & (F.col("turned") < high) & (F.col("turned") + (1 << 6 * (DEPTH - d)) > low)).select("ctx")
+        rows = (levels[d] if d == 0 else levels[d].join(own, "ctx", "left_semi")).select("ctx", F.col("s").cast("byte").alias("s"), "n").toPandas()  # at most STATES contexts over all depths
+        return rows["ctx"].to_numpy(np.int64), rows["s"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+    return len(ranges), (Tree(symbol_of, other, {d: entries(d, *r) for d in range(DEPTH + 1)}, r) for r in ranges)
+
+
+def _part(numbered: DataFrame, held: list[Tree]) -> DataFrame:
+    """(row, part): what the symbols in the ranges of further trees add to the scores."""
+    model = numbered.sparkSession.sparkContext.broadcast(held)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            parts = [_scores(own, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] for i, j in chunks(offsets)]
+            if parts:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts))], names=["row", "part"])
+
+    out = stage(numbered.select("row", "text").mapInArrow(score, "row long, part double"), "parts")
+    model.unpersist()
+    return out
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,16 +304,20 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     top = _most(words, "n", TOP).toPandas().sort_values("key")
     keys, log10_of = top["key"].to_numpy(np.int64), np.log10((top["n"].to_numpy(np.float64) + 0.5) / scale)
     log10_end = float(np.log10((ends + 0.5) / scale))
-    model = spark.sparkContext.broadcast((learn(counts.where("kind = 1").select("key", "n")), keys, log10_of))
+    n_trees, made = trees(counts.where("kind = 1").select("key", "n"))
+    numbered = plain.withColumn("row", F.monotonically_increasing_id())
+    if n_trees > HELD:
+        numbered = stage(numbered, "texts")  # the texts are gone through again
+    model = spark.sparkContext.broadcast((list(itertools.islice(made, HELD)), keys, log10_of))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known, log10_known = model.value
+        held, known, log10_known = model.value
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             scores, n_words, n_common, base, rare, rare_at = [], [], [], [], [], [0]
             for i, j in chunks(offsets):
                 part = data[offsets[i] : offsets[j]]
-                each, (starts, ends_, first) = tree.scores(part, offsets[i : j + 1] - offsets[i])
+                each, (starts, ends_, first) = _scores(held, part, offsets[i : j + 1] - offsets[i])
                 h = word_hashes(part, starts, ends_).view(np.int64)
                 at = np.searchsorted(known, h)
                 at[at == len(known)] = 0
@@ -241,11 +334,19 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 continue
             lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(np.concatenate(rare)))
             columns = [pa.array(np.concatenate(x)) for x in (n_words, n_common, base, scores)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, lists], names=["doc_id", "held_out", "words", "common", "base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns, lists], names=["doc_id", "held_out", "row", "words", "common", "base", "score", "rare"])
 
     kind = dict(plain.dtypes)["doc_id"]
-    each = plain.mapInArrow(score, f"doc_id {kind}, held_out boolean, words long, common long, base double, score double, rare array<bigint>")
-    each = stage(each.withColumn("row", F.monotonically_increasing_id()), "scores")
+    each = stage(numbered.mapInArrow(score, f"doc_id {kind}, held_out boolean, row long, words long, common long, base double, score double, rare array<bigint>"), "scores")
+    parts = []
+    while held := list(itertools.islice(made, HELD)):
+        parts.append(_part(numbered, held))
+    if parts:
+        more = parts[0]
+        for part in parts[1:]:
+            more = more.union(part)
+        more = more.groupBy("row").agg(F.sum("part").alias("part"))
+        each = each.join(more, "row").withColumn("score", F.col("score") + F.col("part")).drop("part")
     rare = each.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     joined = rare.join(words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     per_row = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(scale))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))

@@ -143,6 +143,18 @@ def test_model_is_bounded(docs, prose, monkeypatch):
     assert 1 < len(st.learn(grams).order) <= 21
 
 
+def test_all_contexts_count(docs, scored, monkeypatch):
+    """However few contexts a tree holds, all that pass are kept and the scores stay the same."""
+    texts, rows = scored
+    monkeypatch.setattr(st, "STATES", 60)
+    monkeypatch.setattr(st, "HELD", 2)
+    used = []
+    monkeypatch.setattr(st, "_part", lambda numbered, held, f=st._part: used.extend(len(t.order) for t in held) or f(numbered, held))
+    for r in st.scored(docs(texts)).collect():
+        assert r.score == pytest.approx(rows[r.doc_id].score, rel=1e-6)
+    assert used and max(used) <= 61
+
+
 def test_odd_tables(docs):
     assert st.scored(docs([]).limit(0)).count() == 0
     out = st.scored(docs(["a b", "a b", None], ids=[1, 1, None])).collect()
