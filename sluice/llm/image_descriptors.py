@@ -2,8 +2,10 @@
 
 Images of equal pixels are one class from the start. Of each class, corners are sought at several scales (largest responses
 of the smaller eigenvalue of the gradient matrix, not next to a larger one); each gets the orientation of its patch's
-intensity centroid and a descriptor of BITS intensity comparisons on the patch turned by it. Descriptors meet in TABLES
-tables: features whose bits agree in a whole table, and but for NEAR bits in the first half, are matches, so any two that differ in fewer than TABLES bits meet. Matches vote for
+intensity centroid and a descriptor of BITS intensity comparisons on the patch turned by it. The number of corners of a scale
+is CORNERS, and as many for each AREA pixels of larger images. Descriptors are cut into PARTS parts, and those that agree in SHARED
+whole parts, whichever, are matches: any two that differ in up to PARTS - SHARED bits meet, and others whose differences leave so
+many parts alone. Matches vote for
 the scale, turn and shift between two images; VOTES agreeing features make a link, and linked images a group.
 
 Images are dealt into blocks of bounded bytes, and every two blocks are compared in one task, which so has all matches of two
@@ -19,6 +21,7 @@ columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 import zlib
@@ -30,10 +33,15 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import stage
+from sluice.llm.common import mix, stage
 from sluice.llm.components import components
 
-SCALES, CORNERS, BITS, TABLES, RADIUS, TURNS, LIST, VOTES, NEAR, BLOCK = (1.0, 0.75), 20, 128, 2, 7, 24, 1 << 21, 5, 10, 16_000_000
+SCALES, CORNERS, AREA, BITS, RADIUS, TURNS, LIST, VOTES, BLOCK = (1.0, 0.75), 32, 72 * 72, 128, 7, 24, 1 << 21, 5, 16_000_000
+PARTS, SHARED = 6, 3
+#: The bits of each part, as two words of 64; the parts of each table; the first table of which descriptors agree, by the parts in which they do.
+_PARTS = np.array([[sum(1 << b - 64 * h for b in range(BITS * p // PARTS, BITS * (p + 1) // PARTS) if b // 64 == h) for h in range(2)] for p in range(PARTS)], np.uint64)
+_TABLES = list(itertools.combinations(range(PARTS), SHARED))
+_FIRST = np.array([next((t for t, parts in enumerate(_TABLES) if all(m >> p & 1 for p in parts)), -1) for m in range(1 << PARTS)], np.int8)
 _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
 _ANGLES = np.arange(TURNS) * 2 * np.pi / TURNS
@@ -122,8 +130,9 @@ def _resized(x: np.ndarray, scale: float) -> np.ndarray:
     return (1 - a) * ((1 - b) * x[np.ix_(i, j)] + b * x[np.ix_(i, j2)]) + a * ((1 - b) * x[np.ix_(i2, j)] + b * x[np.ix_(i2, j2)])
 
 
-def features(image: np.ndarray, corners: int = CORNERS) -> tuple[np.ndarray, np.ndarray]:
+def features(image: np.ndarray, corners: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places (x, y, log2 of the scale, turn) and descriptors (BITS / 32 words) of the corners of an image."""
+    corners = CORNERS * max(1, -(-image.size // AREA)) if corners is None else corners
     where, what = [np.zeros((0, 4))], [np.zeros((0, BITS // 32), np.int64)]
     for scale in SCALES:
         if int(min(image.shape) * scale) <= 2 * RADIUS + 3:
@@ -172,16 +181,22 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _table_keys(words: np.ndarray, t: int) -> np.ndarray:
-    share = BITS // 32 // TABLES
-    out = np.zeros(len(words), np.uint64)
-    for w in words[:, t * share : (t + 1) * share].T:
-        out = out << np.uint64(32) | w
-    return out
+    """A hash of the parts of a table; few other descriptors have the same."""
+    mask = np.bitwise_or.reduce(_PARTS[list(_TABLES[t])])
+    return mix(mix(words[:, 0] & mask[0]) + (words[:, 1] & mask[1]))
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether descriptors agree but for NEAR bits in the first half."""
-    return np.bitwise_count(a[:, : BITS // 64] ^ b[:, : BITS // 64]).sum(1) <= NEAR
+def _meet(a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
+    """Whether descriptors agree in a table, and in none before it: each match counts once."""
+    apart = a ^ b
+    agree = np.zeros(len(apart), np.int64)
+    for p, mask in enumerate(_PARTS):
+        same = np.ones(len(apart), bool)
+        for h in (0, 1):
+            if mask[h]:
+                same &= (apart[:, h] & mask[h]) == 0
+        agree |= same.astype(np.int64) << p
+    return _FIRST[agree] == t
 
 
 class _Block:
@@ -191,7 +206,7 @@ class _Block:
         sizes = np.array([len(p) // _RECORD.itemsize for p in parts], np.int64)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.image = np.repeat(np.arange(len(parts)), sizes)
-        self.words = np.ascontiguousarray(self.features["words"])
+        self.words = np.ascontiguousarray(self.features["words"]).view(np.uint64)
 
 
 def _agreeing(x: _Block, y: _Block, fx: np.ndarray, fy: np.ndarray, code: np.ndarray, votes: int) -> np.ndarray:
@@ -219,7 +234,7 @@ def _agreeing(x: _Block, y: _Block, fx: np.ndarray, fy: np.ndarray, code: np.nda
 def _linked(x: _Block, y: _Block, same: bool, votes: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the linked images of two blocks; each pair once."""
     lists, total = [], np.zeros(len(x.words) + 1, np.int64)
-    for t in range(TABLES):
+    for t in range(len(_TABLES)):
         mine, theirs = _table_keys(x.words, t), _table_keys(y.words, t)
         order = np.argsort(theirs, kind="stable").astype(np.int32)
         theirs = theirs[order]
@@ -233,11 +248,11 @@ def _linked(x: _Block, y: _Block, same: bool, votes: int) -> tuple[np.ndarray, n
         stop = int(np.searchsorted(total, total[start] + LIST, "right")) - 1
         stop = min(max(stop, start + 1), start + max(1, (1 << 22) // max(width, 1)), len(x.reps))
         i, j, pairs = x.first[start], x.first[stop], []
-        for order, lo, n in lists:
+        for t, (order, lo, n) in enumerate(lists):
             own = n[i:j].astype(np.int64)
             fx = np.repeat(np.arange(i, j), own)
             fy = order[np.repeat(lo[i:j] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
-            keep = _near(x.words[fx], y.words[fy])
+            keep = _meet(x.words[fx], y.words[fy], t)
             if same:
                 keep &= x.reps[x.image[fx]] < y.reps[y.image[fy]]
             pairs.append((fx[keep], fy[keep]))

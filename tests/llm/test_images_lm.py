@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluice.llm import image_descriptors as im
@@ -76,6 +77,38 @@ def test_links_on_long_lists(spark, monkeypatch, n):
     assert {r.component_id for r in out} == {0} and {r.n_links for r in out} == {n - 1}
 
 
+def test_recall_against_brute_force():
+    """Of the copies that a comparison of all descriptors (24 of 128 bits apart at most) links, nearly all are found, and no others."""
+    rng = np.random.default_rng(3)
+    pictures = [im.drawn(rng.normal(size=8)) for _ in range(30)]
+
+    def block(images, first):
+        records = [next(im._described(iter([pa.record_batch([pa.array([0]), pa.array([im.pgm(p)], pa.binary())], names=["id", "bytes"])])))["features"][0] for p in images]
+        return im._Block(pa.table({"rep": pa.array(range(first, first + len(images)), pa.int64()), "features": pa.array(records, pa.binary())}))
+
+    def brute(x, y, k):
+        i, j = (np.arange(b.first[k], b.first[k + 1]) for b in (x, y))
+        a, b = np.nonzero(np.bitwise_count(x.words[i][:, None] ^ y.words[j][None]).sum(2) <= 24)
+        return len(a) > 0 and len(im._agreeing(x, y, i[a], j[b], np.zeros(len(a), np.int64), im.VOTES)) > 0
+
+    edits = [lambda p: np.clip(p + rng.integers(-10, 11, p.shape), 0, 255).astype(np.uint8), lambda p: p[10:60, 12:62], lambda p: p // 16 * 16 + 8]
+    edits += [lambda p, s=s: np.rint(im._resized(p.astype(np.float64), s)).astype(np.uint8) for s in (0.75, 0.85, 1.3)]
+    x = block(pictures, 0)
+    for edit in edits:
+        y = block([edit(p) for p in pictures], 1000)
+        want = {k for k in range(30) if brute(x, y, k)}
+        i, j = im._linked(x, y, False, im.VOTES)
+        found = {int(k) for k in i[i == j]}
+        assert (i == j).all() and len(want) > 24 and len(found & want) >= 0.9 * len(want)
+
+
+def test_corners_by_area():
+    """A quarter of a large picture keeps as many corners as a picture of its own."""
+    large = np.block([[im.drawn(np.arange(k, k + 8.0)) for k in (0, 9)], [im.drawn(np.arange(k, k + 8.0)) for k in (18, 27)]])
+    places, _ = im.features(large)
+    assert sum((x < 72) & (y < 72) for x, y, *_ in places) >= 20 and len(im.features(large[:72, :72])[0]) > 40 and len(places) > 160
+
+
 def words(t):
     return [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
 
