@@ -8,7 +8,6 @@ packing (6): the mixed documents in sequences of 4096 tokens.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # here, as the stages before it do without
+
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -57,7 +57,7 @@ _rng = np.random.default_rng(20240229)
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _LETTER.copy()
 _FOLDED[65:91] = _LETTER[97:123]
-_BASE, _PIECE = 0x9E3779B97F4A7C15 | 1, 1 << 21
+_BASE, _PIECE = 0x9E3779B97F4A7C15 | 1, 1 << 17
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -102,6 +102,24 @@ def chunks(offsets: np.ndarray, most: int = 1 << 18):
         i = min(j, n)
 
 
+def spans(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 18):
+    """Like chunks, as (first text, last + 1, from byte, to byte), but a text of more than twice so many bytes comes in several
+    spans, each up to a white space (a longer word stays whole), so that memory does not grow with a text's length."""
+    for i, j in chunks(offsets, most):
+        a, end = int(offsets[i]), int(offsets[j])
+        while j == i + 1 and end - a > 2 * most:
+            b = a + most
+            while b < end and not (found := np.flatnonzero(SPACE[data[b : b + most]])[:1]).size:
+                b += most
+            b = min(b + int(found[0]) if b < end else end, end)
+            if b < end:
+                yield i, j, a, b
+            else:
+                break
+            a = b
+        yield i, j, a, end
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of the texts, and for each text where its words begin in them (n + 1)."""
     word = ~SPACE[data]

@@ -8,13 +8,13 @@ first; the pattern is then taken as often as the counts allow. The plan is a tab
 from .. to are in so many consecutive sequences at this offset. Pieces get their rank within their length from counts per
 (length, bucket), so that no task sees a whole length, and find their run by a join on the length and a block of ranks.
 
-Null text: no words, so the end token alone. Rows that repeat an id are packed once each. Empty table: empty result. Other
-columns are never looked at.
+Null text: no words, so the end token alone. Very long texts are tokenised span by span. Rows that repeat an id are packed once
+each. Ties: pieces of one length are placed by id, piece and check sum. Empty table: empty result. Other columns are never looked at.
 """
 
 from __future__ import annotations
 
-import re
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import chunks, stage, text_bytes, word_bounds, word_hashes
+from sluice.llm.common import SPACE, mix, spans, stage, text_bytes, word_bounds, word_hashes
 
-MOST, END, BUCKETS, BLOCKS = 4096, 1, 64, 64
-#: Words and their parts that a worker remembers between tasks.
-WORDS, PARTS = 600_000, 250_000
-#: Parts of words of ASCII and Latin-1 letters, in lower case, as the vocabulary's own rule cuts them.
-_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+MOST, END = 4096, 1
+#: Pieces of one length and one bucket, or block of ranks, at most about.
+SHARE = 100_000
+#: Rows of a plan (48 bytes each) that are broadcast.
+RUNS = 200_000
+#: Places for parts of words that a worker remembers between tasks (each new part takes the place that its hash names), and their ids in all.
+SLOTS, IDS = 1 << 19, 1 << 22
 
 
 def _byte_letters() -> list[str]:
@@ -43,8 +44,50 @@ def _byte_letters() -> list[str]:
     return out
 
 
+#: Kinds of bytes in words of printable ASCII and Latin-1 letters: letters, digits (each a part by itself) and signs.
+_LETTER, _DIGIT, _SIGN, _ODD = 1, 2, 3, 4
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[SPACE] = 0
+_KIND[0x27] = _ODD  # what follows an apostrophe may belong to it
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes in lower case, and bounds and kinds of the parts of words: runs of letters, single digits, runs of signs. A word that
+    holds anything else, an apostrophe or the beginning of a special token is one part, as it is."""
+    low, kind = _LOWER[data], _KIND[data]
+    second = np.zeros(len(data), bool)
+    second[1:] = data[:-1] == 0xC3
+    second &= (data >= 0x80) & (data < 0xC0) & (data != 0x97) & (data != 0xB7)
+    kind[second] = _LETTER
+    low[second & (data < 0x9F)] += 0x20
+    kind[:-1][(data[:-1] == 0x3C) & (data[1:] == 0x7C)] = _ODD
+    # a lead byte whose letter is none of these is odd as its follower is, and with it the word
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        starts, ends, _ = word_bounds(data, offsets)
+        own = np.unique(np.searchsorted(starts, odd, "right") - 1)
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts[own]] = 1
+        step[ends[own]] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        kind[inside] = _ODD
+        low[inside] = data[inside]
+    new = np.ones(len(data) + 1, bool)
+    new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    new[offsets] = True
+    word = kind > 0
+    starts, ends = np.flatnonzero(new[:-1] & word), np.flatnonzero(new[1:] & word) + 1
+    return low, starts, ends, kind[starts]
+
+
 class WordIds:
-    """Token ids of the words of a text. Words are encoded once each: the vocabulary's rules never look across white space."""
+    """Token ids of the words of a text. The vocabulary's rules never look across white space, and cut words where kinds of letters
+    change; parts are encoded once and remembered by hash, words of other letters go through the tokenizer as they are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,51 +95,42 @@ class WordIds:
         self.path, self.whole = path, Tokenizer.from_file(path)
         self.model, self.letters = self.whole.model, _byte_letters()
         self.clear()
-        self.parts: dict[str, tuple[int, ...]] = {}
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.begin, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-
-    def part(self, p: str) -> tuple[int, ...]:
-        if (ids := self.parts.get(p)) is None:
-            spelled = p if p.isascii() else "".join(self.letters[b] for b in p.encode())
-            ids = self.parts[p] = tuple(t.id for t in self.model.tokenize(spelled))
-        return ids
-
-    def word(self, w: str) -> list[int]:
-        if _PLAIN.fullmatch(w) and "<|" not in w:
-            return [i for p in _PART.findall(w.lower()) for i in self.part(p)]
-        return self.whole.encode(w, add_special_tokens=False).ids
-
-    def add(self, key: int, w: str) -> None:
-        ids, k = self.word(w), len(self.at)
-        while k + 2 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.begin[k + 1] = self.used
-        self.at[key] = k
+        self.keys, self.at = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def ids(self, part: bytes, odd: bool) -> list[int]:
+        if odd:
+            return self.whole.encode(part.decode(), add_special_tokens=False).ids
+        spelled = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
+        return [t.id for t in self.model.tokenize(spelled)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and n + 1 offsets into them."""
-        starts, ends, first = word_bounds(data, offsets)
-        keys, at, which = np.unique(word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
-        if len(self.at) + len(keys) > WORDS:
+        if len(self.flat) > IDS or len(self.begin) > 2 * SLOTS:
             self.clear()
-        if len(self.parts) > PARTS:
-            self.parts.clear()
-        raw = data.tobytes()
-        for key, s, e in zip(keys.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
-            if key not in self.at:
-                self.add(key, raw[s:e].decode())
-        k = np.fromiter(map(self.at.__getitem__, keys.tolist()), np.int64, len(keys))[which]
-        begin, n = self.begin[k], self.begin[k + 1] - self.begin[k]
-        ends_at = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(begin - ends_at[:-1], n) + np.arange(ends_at[-1])]
-        return ids, ends_at[first]
+        low, starts, ends, kind = _parts(data, offsets)
+        keys = word_hashes(low, starts, ends, fold=False)
+        keys[kind == _ODD] = mix(keys[kind == _ODD] + np.uint64(1))
+        slot = keys & np.uint64(SLOTS - 1)
+        which, missed = self.at[slot], np.flatnonzero((self.keys[slot] != keys) | (keys == 0))
+        if len(missed):
+            new, first, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
+            first, raw = missed[first], low.tobytes()
+            lists = [self.ids(raw[s:e], k == _ODD) for s, e, k in zip(starts[first].tolist(), ends[first].tolist(), kind[first].tolist(), strict=True)]
+            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+            number = len(self.begin) - 1 + np.arange(len(new))
+            which[missed] = number[inverse]
+            at = new & np.uint64(SLOTS - 1)
+            _, one = np.unique(at, return_index=True)  # of parts that share a place one is remembered
+            self.keys[at[one]], self.at[at[one]] = new[one], number[one]
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(lengths)])
+            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(lengths.sum()))])
+        n = self.begin[which + 1] - self.begin[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.begin[which] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(starts, offsets)]
 
 
 _ids: WordIds | None = None
@@ -117,8 +151,15 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             doc, piece, start, length, crc = [], [], [], [], []
-            for i, j in chunks(offsets, 1 << 20):
-                ids, at = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            held: list[np.ndarray] = []
+            for i, j, a, b in spans(data, offsets, 1 << 20):
+                ids, at = encoder.encode(data[a:b], np.clip(offsets[i : j + 1], a, b) - a)
+                if held or b < offsets[j]:  # a long text
+                    held.append(ids)
+                    if b < offsets[j]:
+                        continue
+                    ids = np.concatenate(held)
+                    at, held = [0, len(ids)], []
                 for k in range(j - i):
                     own = np.append(ids[at[k] : at[k + 1]], np.uint32(end)).astype("<u4")
                     for p, s in enumerate(range(0, len(own), most)):
@@ -143,9 +184,10 @@ class Lengths:
         self.index()
 
     def index(self) -> None:
-        """Sums of two lengths, as they were when indexed: what is left later makes no others."""
+        """Sums of two and of three lengths, as they were when indexed: what is left later makes no others."""
         there = (self.left > 0).astype(np.float64)
         self.pairs = np.rint(np.convolve(there, there)[: len(there)]) > 0
+        self.triples = np.rint(np.convolve(self.pairs, there)[: len(there)]) > 0
 
     def often(self, lengths: list[int]) -> int:
         return min(int(self.left[n]) // lengths.count(n) for n in lengths)
@@ -165,6 +207,8 @@ class Lengths:
             return [gap]
         if found := self.pair(gap, pattern):
             return found
+        if not self.triples[gap]:
+            return None
         c = np.arange(1, gap)
         for x in c[(self.left[c] > 0) & self.pairs[gap - c]][::-1].tolist():
             if self.often([*pattern, x]) and (found := self.pair(gap - x, [*pattern, x])):
@@ -202,20 +246,28 @@ def plan(counts: dict[int, int], most: int = MOST) -> list[tuple[int, int, int,
     return runs
 
 
+def _shares(n: int) -> int:
+    """In how many buckets, or blocks of ranks, the n pieces of a length are."""
+    return -(-n // SHARE)
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, end: int = END) -> DataFrame:
     """One row (doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece."""
     spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS))
-    cut = stage(pieces(docs, tokenizer, id_col, text_col, most, end).withColumn("bucket", bucket.cast("int")), "pieces")
-    counts, own = cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), W.partitionBy("length")
-    before = counts.select("length", "bucket", F.coalesce(F.sum("n").over(own.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.greatest(F.lit(1).cast("long"), F.expr(f"sum(n) OVER (PARTITION BY length) DIV {BLOCKS}")).alias("per_block"))
+    cut = stage(pieces(docs, tokenizer, id_col, text_col, most, end), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `most` rows
+    shares = spark.createDataFrame([(n, _shares(c)) for n, c in histogram.items()], "length long, shares long")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("shares"))
+    dealt = cut.join(F.broadcast(shares), "length").withColumn("bucket", bucket)  # at most `most` rows
+    own = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("before"))
+    local = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = dealt.withColumn("r", F.row_number().over(local) - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("r") + F.col("before"))
+    ranked = ranked.withColumn("block", F.expr(f"rank DIV {SHARE}"))
     runs = []
     for n, rank, times, first, offset in plan(histogram, most):
-        per_block = max(1, histogram[n] // BLOCKS)
-        runs += [(n, b, rank, times, first, offset) for b in range(rank // per_block, (rank + times - 1) // per_block + 1)]
-    table = pa.Table.from_arrays([pa.array([r[i] for r in runs], pa.int64()) for i in range(6)], names=["length", "block", "rank0", "times", "first", "offset"])
-    local = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = cut.withColumn("r", F.row_number().over(local) - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("r") + F.col("before")).withColumn("block", F.expr("rank DIV per_block"))
-    placed = ranked.join(spark.createDataFrame(table), ["length", "block"]).where("rank >= rank0 AND rank < rank0 + times")
+        runs += [(n, b, rank, times, first, offset) for b in range(rank // SHARE, (rank + times - 1) // SHARE + 1)]
+    table = spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in runs], pa.int64()) for i in range(6)], names=["length", "block", "rank0", "times", "first", "offset"]))
+    table = F.broadcast(table) if len(runs) <= RUNS else table
+    placed = ranked.join(table, ["length", "block"]).where("rank >= rank0 AND rank < rank0 + times")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("rank0")).alias("sequence_id"), "offset")

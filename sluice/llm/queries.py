@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +72,8 @@ SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # here, as all other queries do without
+
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 

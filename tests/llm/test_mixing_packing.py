@@ -130,8 +130,8 @@ def test_repeated_and_no_rows(docs):
 
 
 def test_cache_limits(monkeypatch):
-    monkeypatch.setattr(packing, "WORDS", 3)
-    monkeypatch.setattr(packing, "PARTS", 2)
+    monkeypatch.setattr(packing, "SLOTS", 2)
+    monkeypatch.setattr(packing, "IDS", 2)
     enc = packing.WordIds(PATH)
     from sluice.llm.common import text_bytes
 
@@ -140,6 +140,30 @@ def test_cache_limits(monkeypatch):
         assert ids.tolist() == ids_of(text)[:-1] and at.tolist() == [0, len(ids)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aAzß'ÀÿÖ×÷0123 <|>.,!-\n\t\x01\x02\x1c\x7f\x85\xa0éİſﬁ日s"), st.characters(codec="utf-8")), max_size=30), max_size=6))
+def test_any_letters(texts):
+    from sluice.llm.common import text_bytes
+
+    enc = packing.word_ids(PATH)
+    ids, at = enc.encode(*text_bytes(pa.array([*texts, *texts], pa.string())))
+    got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [enc.whole.encode(t, add_special_tokens=False).ids for t in [*texts, *texts]]
+
+
+def test_many_equal_lengths(docs, monkeypatch):
+    monkeypatch.setattr(packing, "SHARE", 7)
+    monkeypatch.setattr(packing, "RUNS", 0)
+    rows = packing.pack(docs(["a b c"] * 60 + ["a"] * 25), PATH, most=10).collect()
+    spans = {}
+    for r in rows:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == 85 and sorted(r.doc_id for r in rows) == list(range(85))
+    for parts in spans.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))]
+    assert len(spans) == 30
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
 def test_op5_sql(spark, duck):
     duck.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")

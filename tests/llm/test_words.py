@@ -55,3 +55,14 @@ def test_bitmap_filter(spark):
     out = {r.x for r in common.maybe_in(df, "x", ids, "id", bits=16).collect()}
     assert {r.id for r in ids.collect()} <= out and len(out) < 300
     assert common.maybe_in(df, "x", ids.limit(0), "id").count() == 0
+
+
+def test_long_texts_come_in_spans():
+    texts = ["a b", "", "x" * 50 + " y " * 40 + "z" * 90, "q" * 300, " " * 70, "tail"]
+    data, offsets = common.text_bytes(pa.array(texts))
+    got = list(common.spans(data, offsets, 16))
+    assert got[0][2] == 0 and got[-1][3] == len(data) and all(x[3] == y[2] for x, y in zip(got, got[1:]))
+    for i, j, a, b in got:
+        assert (j == i + 1 and offsets[i] <= a <= b <= offsets[j]) or (a, b) == (offsets[i], offsets[j])
+        assert b == offsets[j] or common.SPACE[data[b]]
+    assert sum(i == 2 for i, *_ in got) > 3 and sum(i == 3 for i, *_ in got) == 1
