@@ -9,8 +9,10 @@ The models are fitted on at most `sample` labelled documents (those with the lea
 document and its whole text. A document is rejected if the probability of the last category reaches the threshold that
 gives the best F1 out of fold.
 
-Null or empty text: no words, scored like any text. Null or unknown labels: not used in training. A category with one class only: its
-share. Repeated rows are scored each; repeated ids count once in training. Empty tables: nothing is rejected. Other columns are kept or ignored.
+Null or empty text: no words, scored like any text. Very long texts are read span by span. Null or unknown labels: not used in
+training. A category with one class only: its share. Repeated rows are scored each; repeated ids count once in training (of several
+texts the one with the least hash, of several labels the greatest). Ties: words of equal weight enter the vocabulary by hash, a
+probability equal to the threshold rejects. Empty tables: nothing is rejected. Other columns are kept or ignored.
 """
 
 from __future__ import annotations
@@ -26,27 +28,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import SPACE, drop_stage, stage, text_bytes
+from sluice.llm.common import SPACE, drop_stage, mix, spans, stage, text_bytes, word_bounds, word_hashes
 
-SAMPLE, FOLDS, Z, WORDS, MIN_DOCS, STEMS = 10_000, 5, 5.0, 2000, 4, (4, 5)
-_STRIP = ".,;:!?\"'()[]{}<>#$%&*-_|~"
+SAMPLE, FOLDS, Z, WORDS, MIN_DOCS, STEMS, LONGEST = 10_000, 5, 5.0, 2000, 4, (4, 5), 64
+_STRIP = b".,;:!?\"'()[]{}<>#$%&*-_|~"
 
 
-def words_of(text: str) -> set[str]:
-    """The distinct words of a text in lower case, without the signs around them, and their beginnings, marked with a ^, which stand for all endings of a stem."""
-    words = {w.strip(_STRIP) for w in set(text.lower().split())}
-    return words | {f"^{w[:n]}" for n in STEMS for w in words if len(w) > n}
+def _among(values) -> np.ndarray:
+    return np.isin(np.arange(256), list(values))
 
 
-_CLASSES = [np.isin(np.arange(256), list(x)) for x in (range(65, 91), _STRIP.encode(), range(48, 58))] + [SPACE]
+#: Of a text's form: the shares of capitals, signs, digits and white space among its bytes.
+_CLASSES = [_among(range(65, 91)), _among(_STRIP), _among(range(48, 58)), SPACE]
+_SOLID = ~(_among(_STRIP) | SPACE)
+_FIRST = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a letter
+_IN_TEXT = np.uint64(44)
 
 
-def forms(column: pa.Array) -> np.ndarray:
-    """For each text the shares of capitals, signs, digits and white space among its bytes, and the logarithm of their number."""
-    data, offsets = text_bytes(column)
-    n = np.diff(offsets)
-    counts = [np.diff(np.concatenate([[0], np.cumsum(c[data], dtype=np.int64)])[offsets]) / np.maximum(n, 1) for c in _CLASSES]
-    return np.column_stack([*counts, np.log1p(n)])
+def _rank(marks: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts without the signs around them, A-Z in lower case, and the text of each; the same for their beginnings, which stand for all endings of a stem."""
+    starts, ends, first = word_bounds(data, offsets)
+    text, solid = np.repeat(np.arange(len(offsets) - 1), np.diff(first)), _SOLID[data]
+    rank, at = _rank(solid), np.flatnonzero(solid)
+    some = rank[ends] > rank[starts]
+    text, starts, ends = text[some], at[rank[starts[some]]], at[rank[ends[some]] - 1] + 1
+    begins = _FIRST[data]
+    rank, at = _rank(begins), np.flatnonzero(begins)
+    stems, of = [np.zeros(0, np.uint64)], [text[:0]]
+    for n in STEMS:
+        long = rank[ends] - rank[starts] > n
+        stems.append(mix(word_hashes(data, starts[long], at[rank[starts[long]] + n]) + np.uint64(n)))
+        of.append(text[long])
+    short = ends - starts <= LONGEST
+    words = word_hashes(data, starts, ends)
+    words[~short] |= np.uint64(1)  # not in any vocabulary
+    words[short] &= ~np.uint64(1)
+    return words, text, np.concatenate(stems) & ~np.uint64(1), np.concatenate(of)
+
+
+def key(word: str, stem: bool = False) -> int:
+    """What stands for a word, or for a beginning, in vocabularies."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    h = word_hashes(data, np.array([0]), np.array([len(data)]))
+    return int((mix(h + np.uint64(len(word))) if stem else h)[0] & ~np.uint64(1))
 
 
 @dataclass
@@ -61,21 +89,20 @@ class Model:
 @dataclass
 class Chain:
     categories: tuple[str, ...]
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
     models: list[Model]
     threshold: float
 
-    def probabilities(self, found: list[list[int]], form: np.ndarray) -> np.ndarray:
-        """Documents x categories."""
-        rows, columns = _flat(found)
+    def probabilities(self, rows: np.ndarray, columns: np.ndarray, form: np.ndarray) -> np.ndarray:
+        """Documents x categories, from the vocabulary words (columns) that documents (rows) hold, and figures of their form."""
         dense, out = _standard(form, self.centre, self.scale), []
         for m in self.models:
             x = np.column_stack([dense, *[np.log(p / (1 - p)) / 4 for p in out]])
-            z = np.bincount(rows, m.words[columns], len(found)) + x @ m.dense + m.bias
+            z = np.bincount(rows, m.words[columns], len(form)) + x @ m.dense + m.bias
             out.append(np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-6, 1 - 1e-6))
-        return np.column_stack(out) if out else np.zeros((len(found), 0))
+        return np.column_stack(out) if out else np.zeros((len(form), 0))
 
 
 def _standard(form: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -83,10 +110,6 @@ def _standard(form: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.nda
     return np.clip((form - centre) / scale, -2, 2)
 
 
-def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.array([c for x in found for c in x], np.int64)
-
-
 def _fit(rows: np.ndarray, columns: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, use: np.ndarray, ridge: float = 1.0, steps: int = 200) -> Model:
     """Logistic regression on sparse word marks and dense figures, by Adam with a ridge; use: the documents to learn from."""
     n, rate = max(1, int(use.sum())), 0.1
@@ -110,22 +133,31 @@ def _fit(rows: np.ndarray, columns: np.ndarray, width: int, dense: np.ndarray, y
     return Model(w, d, b)
 
 
-def _vocabulary(texts: DataFrame, categories: tuple[str, ...]) -> list[str]:
-    """Words that separate the classes of some category among the sampled documents (text, categories)."""
+def _vocabulary(texts: DataFrame, categories: tuple[str, ...]) -> np.ndarray:
+    """Words and beginnings that separate the classes of some category among the sampled documents (text, categories): their keys, sorted."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(1 + len(categories))]
-            for i, t in enumerate(batch.column(0).to_pylist()):
-                for w in words_of(t or ""):
-                    columns[0].append(w)
-                    for k in range(len(categories)):
-                        columns[k + 1].append(batch.column(k + 1)[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["word", *(f"c{k}" for k in range(len(categories)))])
-
-    schema = "word string, " + ", ".join(f"c{k} int" for k in range(len(categories)))
+            data, offsets = text_bytes(batch.column(0))
+            held: list[np.ndarray] = []
+            for i, j, a, b in spans(data, offsets):
+                words, of, stems, stems_of = _words(data[a:b], np.clip(offsets[i : j + 1], a, b) - a)
+                known = (words & np.uint64(1)) == 0
+                keys, text = np.concatenate([words[known], stems]), np.concatenate([of[known], stems_of])
+                _, one = np.unique(mix(keys + text.astype(np.uint64)), return_index=True)
+                keys, text = keys[one], text[one]
+                if held or b < offsets[j]:  # a long text
+                    held = [np.unique(np.concatenate([*held, keys]))]
+                    if b < offsets[j]:
+                        continue
+                    keys, held = held[0], []
+                    text = np.zeros(len(keys), np.int64)
+                which = pa.array(text + i)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(k + 1).take(which) for k in range(len(categories)))], names=["word", *(f"c{k}" for k in range(len(categories)))])
+
+    schema = "word long, " + ", ".join(f"c{k} int" for k in range(len(categories)))
     shares = texts.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    counted = texts.select("text", *categories).mapInArrow(split, schema).where("length(word) BETWEEN 1 AND 64").groupBy("word").agg(F.count("*").alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(categories))]).where(F.col("n") >= MIN_DOCS)
+    counted = texts.select("text", *categories).mapInArrow(split, schema).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(categories))]).where(F.col("n") >= MIN_DOCS)
     scores = []
     for k, c in enumerate(categories):
         yes, all_ = float(shares[c] or 0), float(shares["n"] or 0)
@@ -134,50 +166,75 @@ def _vocabulary(texts: DataFrame, categories: tuple[str, ...]) -> list[str]:
         rate = F.col("n") / all_
         scores.append(F.abs(F.col(f"c{k}") / yes - (F.col("n") - F.col(f"c{k}")) / (all_ - yes)) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / yes + 1 / (all_ - yes))))
     if not scores:
-        return []
+        return np.zeros(0, np.uint64)
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return [r[0] for r in counted.withColumn("z", best).where(F.col("z") >= Z).orderBy(F.desc("z"), "word").limit(WORDS).select("word").collect()]
+    rows = counted.withColumn("z", best).where(F.col("z") >= Z).orderBy(F.desc("z"), "word").limit(WORDS).select("word").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
     """Fits a chain to the documents that labels (id, one 0/1 column per category) covers; the last category is the one that decides."""
-    known = labels.select(F.col(id_col).alias("_id"), *[F.col(c).cast("int").alias(f"_{c}") for c in categories])
-    known = known.where("_id IS NOT NULL AND " + " AND ".join(f"`_{c}` IN (0, 1)" for c in categories))
-    ids = known.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id").dropDuplicates(["_id"])  # at most `sample` ids
-    names = tuple(f"_{c}" for c in categories)
-    chosen = stage(chosen.select("_id", "text", *names), "sample")
-    vocabulary = {w: i for i, w in enumerate(_vocabulary(chosen, names))}
+    names = tuple(f"c{k}" for k in range(len(categories)))
+    known = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(n) for c, n in zip(categories, names, strict=True)])
+    known = known.where("id IS NOT NULL AND " + " AND ".join(f"{n} IN (0, 1)" for n in names))
+    ids = known.groupBy("id").agg(*[F.max(n).alias(n) for n in names]).orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id")  # at most `sample` ids
+    # of rows that repeat an id the one with the least hash of its text
+    chosen = chosen.groupBy("id").agg(F.min_by(F.struct("text", *names), F.struct(F.xxhash64("text"), "text")).alias("row")).select("id", "row.*")
+    chosen = stage(chosen, "sample")
+    vocabulary = _vocabulary(chosen, names)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, form = _features(batch.column(1), vocabulary)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(form.tolist(), pa.list_(pa.float64())), *(batch.column(k + 2) for k in range(len(names)))], names=["_id", "found", "form", *names])
-
-    kind = dict(chosen.dtypes)["_id"]
-    schema = f"_id {kind}, found array<int>, form array<double>, " + ", ".join(f"{c} int" for c in names)
-    table = chosen.mapInArrow(marks, schema).toPandas().sort_values("_id")
+            rows, columns, form = _features(batch.column(1), vocabulary)
+            at = np.searchsorted(rows, np.arange(len(form) + 1))
+            found = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(columns, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, pa.array(form.tolist(), pa.list_(pa.float64())), *(batch.column(k + 2) for k in range(len(names)))], names=["id", "found", "form", *names])
+
+    kind = dict(chosen.dtypes)["id"]
+    schema = f"id {kind}, found array<int>, form array<double>, " + ", ".join(f"{c} int" for c in names)
+    table = chosen.mapInArrow(marks, schema).toPandas().sort_values("id")
     drop_stage(chosen)
     return _chain(table, names, categories, vocabulary)
 
 
-def _features(column: pa.Array, vocabulary: dict[str, int]) -> tuple[list[list[int]], np.ndarray]:
-    """Vocabulary words and form figures of each text; the last figure is the share of distinct words."""
-    found, distinct = [], []
-    for t in column.to_pylist():
-        words = words_of(t or "")
-        found.append(sorted(vocabulary[w] for w in words & vocabulary.keys()))
-        distinct.append(sum(w[:1] != "^" for w in words))
-    form = forms(column)
-    return found, np.column_stack([form, np.array(distinct, np.float64) / (1 + form[:, 3] * np.expm1(form[:, 4]))])
-
-
-def _chain(table: pd.DataFrame, names: tuple[str, ...], categories: tuple[str, ...], vocabulary: dict[str, int]) -> Chain:
-    found = [list(x) for x in table["found"]]
+def _features(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which texts hold which vocabulary words, sorted, and figures of each text's form: shares of capitals, signs, digits and white
+    space among its bytes, the logarithm of their number, and the share of distinct words."""
+    data, offsets = text_bytes(column)
+    n, own = np.diff(offsets), np.zeros(1 << 16, bool)
+    own[vocabulary >> np.uint64(48)] = True
+    counts, distinct = np.zeros((len(n), len(_CLASSES))), np.zeros(len(n))
+    found, held = [np.zeros(0, np.int64)], []
+    for i, j, a, b in spans(data, offsets):
+        part, at = data[a:b], np.clip(offsets[i : j + 1], a, b) - a
+        for k, c in enumerate(_CLASSES):
+            counts[i:j, k] += np.diff(_rank(c[part])[at])
+        words, of, stems, stems_of = _words(part, at)
+        for keys, text in ((words, of), (stems, stems_of)):
+            maybe = np.flatnonzero(own[keys >> np.uint64(48)])
+            place = np.searchsorted(vocabulary, keys[maybe])
+            place[place == len(vocabulary)] = 0
+            hit = vocabulary[place] == keys[maybe] if len(vocabulary) else np.zeros(0, bool)
+            found.append(np.unique((text[maybe[hit]] + i) * max(1, len(vocabulary)) + place[hit]))
+        different = np.unique(words >> (np.uint64(64) - _IN_TEXT) | of.astype(np.uint64) << _IN_TEXT)
+        if held or b < offsets[j]:  # a long text
+            held = [np.unique(np.concatenate([*held, different]))]
+            if b == offsets[j]:
+                distinct[i], held = len(held[0]), []
+        else:
+            distinct[i:j] = np.bincount((different >> _IN_TEXT).astype(np.int64), minlength=j - i)
+    rows, columns = np.divmod(np.unique(np.concatenate(found)), max(1, len(vocabulary)))
+    form = np.column_stack([counts / np.maximum(n, 1)[:, None], np.log1p(n), distinct / (1 + counts[:, 3])])
+    return rows, columns, form
+
+
+def _chain(table: pd.DataFrame, names: tuple[str, ...], categories: tuple[str, ...], vocabulary: np.ndarray) -> Chain:
     form = np.array([list(x) for x in table["form"]], np.float64).reshape(-1, 6)
-    rows, columns = _flat(found)
+    rows = np.repeat(np.arange(len(table)), [len(x) for x in table["found"]])
+    columns = np.concatenate([np.zeros(0, np.int64), *table["found"]]).astype(np.int64)
     centre, scale = (form.mean(0), form.std(0) + 1e-9) if len(form) else (np.zeros(6), np.ones(6))
-    dense, fold = _standard(form, centre, scale), np.array([zlib.crc32(str(i).encode()) % FOLDS for i in table["_id"]], np.int64)
+    dense, fold = _standard(form, centre, scale), np.array([zlib.crc32(str(i).encode()) % FOLDS for i in table["id"]], np.int64)
     models, p = [], np.zeros(0)
     for c in names:
         y = table[c].to_numpy(np.float64)
@@ -201,15 +258,14 @@ def _chain(table: pd.DataFrame, names: tuple[str, ...], categories: tuple[str, .
 
 
 def scored(docs: DataFrame, chain: Chain, text_col: str = "text", keep: str = "all") -> DataFrame:
-    """docs with _p (a probability for each category) and _toxic; keep="clean": only the rows that are not, with the columns of docs alone."""
+    """docs with _p (a probability for each category) and _toxic, which replace columns of these names; keep="clean": only the rows that are not, with the columns of docs alone."""
     told = docs.sparkSession.sparkContext.broadcast(chain)
     at, fields = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = told.value
         for batch in batches:
-            found, form = _features(batch.column(at), c.vocabulary)
-            p = c.probabilities(found, form)
+            p = c.probabilities(*_features(batch.column(at).cast(pa.string()), c.vocabulary))
             toxic = p[:, -1] >= c.threshold if p.shape[1] else np.zeros(len(p), bool)
             if keep == "clean":
                 yield batch.filter(pa.array(~toxic))
@@ -219,4 +275,7 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text", keep: str = "a
     inner = docs.toDF(*[f"x{i}" for i in range(fields)])
     schema = T.StructType(list(inner.schema.fields) + ([] if keep == "clean" else [T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.BooleanType())]))
     out = inner.mapInArrow(run, schema)
-    return out.toDF(*docs.columns) if keep == "clean" else out.toDF(*docs.columns, "_p", "_toxic")
+    if keep == "clean":
+        return out.toDF(*docs.columns)
+    kept = [F.col(f"x{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in ("_p", "_toxic")]
+    return out.select(*kept, F.col("p").alias("_p"), F.col("toxic").alias("_toxic"))

@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from sluice.llm import log_templates, toxicity
+from sluice.llm.common import spans as real
 
 BAD = ["grub", "oaf", "louse", "cad"]
 
@@ -23,7 +25,7 @@ def labelled(spark, docs, prose):
 def test_chain(labelled, docs):
     table, labels, texts = labelled
     chain = toxicity.train(table, labels, ("junk", "toxic"))
-    assert set(BAD) <= set(chain.vocabulary) and chain.models[1].dense.shape[0] == chain.models[0].dense.shape[0] + 1
+    assert {toxicity.key(w) for w in BAD} <= set(chain.vocabulary.tolist()) and chain.models[1].dense.shape[0] == chain.models[0].dense.shape[0] + 1
     out = {r.doc_id: r for r in toxicity.scored(table, chain).collect()}
     right = np.mean([out[i]["_toxic"] == (i % 5 == 0) for i in range(400)])
     assert right > 0.98 and np.mean([(out[i]["_p"][0] > 0.5) == (i % 7 == 0) for i in range(400)]) > 0.98
@@ -35,6 +37,57 @@ def test_chain(labelled, docs):
     assert toxicity.scored(fresh.limit(0), chain, keep="clean").count() == 0
 
 
+def test_features(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["Grubs, oaf! 'oaf' (Émile) word", None, "", "... !!", "oaf " * 30 + "lousy " * 30 + "éclairs end"]
+    vocabulary = np.sort(np.array([toxicity.key("oaf"), toxicity.key("grub", stem=True), toxicity.key("écla", stem=True), toxicity.key("zzz")], np.uint64))
+
+    def seen():
+        rows, columns, form = toxicity._features(pa.array(texts), vocabulary)
+        return sorted(zip(rows.tolist(), vocabulary[columns].tolist(), strict=True)), form
+
+    pairs, form = seen()
+    assert pairs == sorted([(0, toxicity.key("oaf")), (0, toxicity.key("grub", stem=True)), (4, toxicity.key("oaf")), (4, toxicity.key("écla", stem=True))])
+    first = texts[0].encode()
+    assert form[0].tolist() == pytest.approx([1 / len(first), 6 / len(first), 0, 4 / len(first), np.log1p(len(first)), 4 / 5])
+    assert form[4][5] == pytest.approx(4 / 62)
+    monkeypatch.setattr(toxicity, "spans", lambda data, offsets: real(data, offsets, 24))
+    again, same = seen()
+    assert again == pairs and np.allclose(form, same)
+
+
+def test_chain_by_hand():
+    """The chain against plain logistic regressions, link by link."""
+    rng = np.random.default_rng(4)
+    n, width = 300, 12
+    held = rng.random((n, width)) < 0.3
+    form = rng.normal(size=(n, 6))
+    first = (held[:, 0] | held[:, 1]).astype(int)
+    second = (first & held[:, 2]).astype(int)
+    table = pd.DataFrame({"id": range(n), "found": [np.flatnonzero(h).tolist() for h in held], "form": form.tolist(), "c0": first, "c1": second})
+    chain = toxicity._chain(table, ("c0", "c1"), ("a", "b"), np.arange(width, dtype=np.uint64))
+    rows, columns = np.nonzero(held)
+    got = chain.probabilities(rows, columns, form)
+    dense, before = np.clip((form - form.mean(0)) / (form.std(0) + 1e-9), -2, 2), []
+    for i in range(n):
+        x, p = dense[i], []
+        for m in chain.models:
+            z = m.words[held[i]].sum() + np.concatenate([x, [np.log(q / (1 - q)) / 4 for q in p]]) @ m.dense + m.bias
+            p.append(min(max(1 / (1 + np.exp(-z)), 1e-6), 1 - 1e-6))
+        before.append(p)
+    assert np.allclose(got, before)
+    assert ((got[:, 1] >= chain.threshold) == second).mean() > 0.97
+
+
+def test_clashing_names_and_repeated_ids(spark, docs):
+    table = docs(["bad grub"] * 8 + ["good"] * 8, ids=[0] * 4 + [1] * 4 + [2] * 4 + [3] * 4).selectExpr("*", "1 AS _p", "'x' AS _toxic", "2 AS x0", "3 AS id", "4 AS c0", "5 AS _id")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0), (3, 0)], "doc_id long, toxic int")
+    out = toxicity.scored(table, toxicity.train(table, labels, ("toxic",)))
+    assert out.columns == [c for c in table.columns if c not in ("_p", "_toxic")] + ["_p", "_toxic"] and out.count() == 16
+    assert toxicity.scored(table, toxicity.train(table, labels, ("toxic",)), keep="clean").columns == table.columns
+
+
 def test_three_links(labelled):
     table, labels, _ = labelled
     more = labels.withColumn("both", labels.junk * labels.toxic)
