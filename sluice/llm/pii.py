@@ -2,12 +2,14 @@
 
 The field is trained on a small labelled table of word sequences (labelled() is the one shipped; a table of your own may be
 given) by gradient ascent on the conditional likelihood, forward-backward in numpy. A word is seen through its shape (runs
-of digits, letters and signs), and so are its neighbours. Only words with a digit or an @ can be labelled; such words with
-two neighbours on either side make sequences, which Viterbi decodes in padded numpy batches. Spans that overlap a pattern's
-span are not added, nor are cards whose check digit is wrong and the like (_LIKELY).
-
-Null or empty text: no spans. Null id, repeated rows: each row comes out. Empty table: empty result. Other columns are not
-looked at. Offsets are code points, ends exclusive.
+of digits, letters and signs), and so are its two neighbours on either side. Only words with a digit or an @ can be labelled;
+such words with two neighbours on either side make sequences, which Viterbi decodes in padded numpy batches. Beside the
+patterns' kinds the field knows secrets (keys and passwords that stand behind their names). What it labels is added as it is,
+without the signs around it, but for spans that overlap one of a pattern.
+
+Null or empty text: no spans. Null id, repeated rows: each row comes out. Ties between paths: the label that is listed first.
+Very long texts: words are sought span by span, sequences decoded some thousand at a time. Empty table: empty result. Other
+columns are not looked at. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -20,10 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import text_bytes
+from sluice.llm.common import spans, text_bytes, word_bounds
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+#: The field's kinds: those of the patterns, and what it alone finds.
+ALL = (*KINDS, "secret")
+LABELS = ("O", *(f"{p}-{k}" for k in ALL for p in "BI"))
+#: Places of the words whose shapes a word is seen through, from its own.
+PLACES = (0, 1, -1, 2, -2)
+#: Words that a field remembers between calls, and words decoded in one call.
+REMEMBERED, AT_ONCE = 200_000, 100_000
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
@@ -31,7 +39,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = np.zeros(256, bool)
 _MARK[[*range(48, 58), 64]] = True
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SIGNS = ".,;:!?\"'#$%&*|"
 _NEAR = 2
 
 
@@ -69,12 +77,17 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(word: str) -> tuple[str, ...]:
-    """Features of a word: its shape with run lengths, its shape without, its number of digits, and itself in lower case if it is letters."""
-    bare = word.strip(".,;:!?\"'")[:64]
+    """Features of a word: its shape with run lengths, its shape without, its number of digits, its signs, whether letters and digits
+    are mixed in it and how many, and itself in lower case if it is letters."""
+    bare = word.strip(_SIGNS)[:64] or word[:1]
     kinds = "".join("d" if "0" <= c <= "9" else "x" if c.isalpha() else c for c in bare)
     full = re.sub(r"(.)\1*", lambda m: m[1] + str(min(len(m[0]), 6)) if m[1] == "d" else m[1], kinds)
     digits = kinds.count("d")
     out = [f"full={full}" if len(full) <= 24 else "full=long", f"short={re.sub(r'(.)(?=.*?)\1+', r'\1', kinds)[:16]}", f"digits={min(digits, 20)}"]
+    out.append(f"signs={re.sub('[dx]+', '', kinds)[:8]}")
+    letters = kinds.count("x")
+    if digits and letters and digits + letters == len(kinds):
+        out.append(f"mixed={min(len(kinds) // 8, 4)}")
     if not digits and "@" not in bare:
         out.append(f"word={bare.lower()}")
     if 13 <= digits <= 19 and digits == sum(c != "-" for c in kinds):
@@ -82,7 +95,7 @@ def shape(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def labelled(n: int = 400, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+def labelled(n: int = 600, seed: int = 5) -> list[tuple[list[str], list[str]]]:
     """The shipped labelled table: sequences made by rule of plain words, cue words, personal data in many spellings, and numbers that are none."""
     rng = np.random.default_rng(seed)
 
@@ -110,11 +123,18 @@ def labelled(n: int = 400, seed: int = 5) -> list[tuple[list[str], list[str]]]:
 
     phones = [lambda: f"+{d(2)} {d(3)} {d(3)} {d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"00{d(2)} {d(3)} {d(6)}", lambda: f"+{d(11)}", lambda: f"1-{d(3)}-{d(3)}-{d(4)}", lambda: f"+{d(1)}-{d(3)}-{d(3)}-{d(4)}"]
     cards = [lambda: card(16), lambda: card(4, 4, 4, 4, split=" "), lambda: card(4, 4, 4, 4, split="-"), lambda: card(4, 6, 5, split=" "), lambda: card(15)]
-    emails = [lambda: f"{letters(5)}.{letters(6)}@{letters(6)}.com", lambda: f"{letters(4)}{d(2)}@{letters(5)}.org", lambda: f"<{letters(4)}@{letters(5)}.net>", lambda: f"{letters(6)}@localhost"]
+    emails = [lambda: f"{letters(5)}.{letters(6)}@{letters(6)}.com", lambda: f"{letters(4)}{d(2)}@{letters(5)}.org", lambda: f"<{letters(4)}@{letters(5)}.net>", lambda: f"{letters(3)}.{d(2)}@{letters(4)}{d(1)}.{letters(6)}.com", lambda: f"{letters(6)}@localhost"]
     ips = [lambda: ".".join(octet() for _ in range(4)), lambda: f"{octet()}.{octet()}.{octet()}.{octet()}:{d(4)}", lambda: f"{octet()}.{octet()}.{octet()}.{octet()}/{rng.integers(8, 33)}"]
-    plain = [no_card, no_card, lambda: str(rng.integers(1900, 2030)), lambda: d(1), lambda: d(2), lambda: d(3), lambda: f"{d(1)}.{d(1)}", lambda: f"{d(2)}.{d(2)}.{rng.integers(1900, 2030)}", lambda: f"{rng.integers(1900, 2030)}-{d(2)}-{d(2)}", lambda: f"${d(2)}.{d(2)}", lambda: f"{d(2)}%", lambda: f"v{d(1)}.{d(1)}.{d(1)}", lambda: letters(3) + d(3), lambda: "".join("0123456789abcdef"[c] for c in rng.integers(0, 16, 40)), lambda: f"{d(1)},{d(3)}", lambda: d(5), lambda: d(8), lambda: f"{d(2)}:{d(2)}", lambda: f"@{letters(6)}", lambda: f"({d(2)})", lambda: f"#{d(3)}", lambda: d(20), lambda: f"{d(3)}-{d(2)}", lambda: d(10), lambda: f"{d(1)}.{d(1)}.{d(1)}.{d(1)}.{d(1)}.{d(1)}"]
+    plain = [no_card, no_card, lambda: str(rng.integers(1900, 2030)), lambda: d(1), lambda: d(2), lambda: d(3), lambda: f"{d(1)}.{d(1)}", lambda: f"{d(2)}.{d(2)}.{rng.integers(1900, 2030)}", lambda: f"{rng.integers(1900, 2030)}-{d(2)}-{d(2)}", lambda: f"${d(2)}.{d(2)}", lambda: f"{d(2)}%", lambda: f"v{d(1)}.{d(1)}.{d(1)}", lambda: letters(3) + d(3), lambda: mixed(lower, 40), lambda: mixed(lower, 64), lambda: f"{d(1)},{d(3)}", lambda: d(5), lambda: d(8), lambda: f"{d(2)}:{d(2)}", lambda: f"@{letters(6)}", lambda: f"({d(2)})", lambda: f"#{d(3)}", lambda: d(20), lambda: f"{d(3)}-{d(2)}", lambda: d(10), lambda: f"{d(1)}.{d(1)}.{d(1)}.{d(1)}.{d(1)}.{d(1)}"]
+    def mixed(letters: str, n: int) -> str:
+        return "".join(letters[c] for c in rng.integers(0, len(letters), n - 2)) + d(1) + letters[10]
+
+    lower, both = "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    secrets = [lambda: mixed(lower, 40), lambda: mixed(lower, 32), lambda: mixed(lower, 64), lambda: mixed(both, int(rng.integers(16, 48))), lambda: mixed(lower.upper(), 40)]
+    names = ("token", "key", "secret", "password", "api_key", "apikey", "passwd", "TOKEN", "auth")
     cues = {"phone": ("phone", "call", "tel"), "card": ("card", "visa", "paid"), "email": ("email", "mail", "write"), "ip": ("ip", "host", "from")}
-    pools = dict(zip(KINDS, (emails, ips, cards, phones), strict=True))
+    pools = dict(zip(ALL, (emails, ips, cards, phones, secrets), strict=True))
+    signs = (".", ",", ";", "!!", "***", "###", "%%%", "$$$", "&&&")
     rows = []
     for _ in range(n):
         words, labels = [], []
@@ -123,7 +143,15 @@ def labelled(n: int = 400, seed: int = 5) -> list[tuple[list[str], list[str]]]:
                 words.append(word())
                 labels.append("O")
             if rng.random() < 0.55:
-                kind = KINDS[int(rng.integers(0, 4))]
+                kind = ALL[int(rng.integers(0, len(ALL)))]
+                if kind == "secret":
+                    mark, quote = str(rng.choice(names)), str(rng.choice(['"', "'", ""]))
+                    text = quote + secrets[int(rng.integers(0, len(secrets)))]() + quote
+                    words += [mark, str(rng.choice(["=", ":"])), text] if rng.random() < 0.7 else [mark + ":", text]
+                    labels += ["O"] * (2 if words[-2] in "=:" else 1) + ["B-secret"]
+                    if rng.random() < 0.2:
+                        words[-1] += str(rng.choice(signs))
+                    continue
                 if rng.random() < 0.3:
                     words.append(str(rng.choice(cues[kind])))
                     labels.append("O")
@@ -134,7 +162,7 @@ def labelled(n: int = 400, seed: int = 5) -> list[tuple[list[str], list[str]]]:
                 words.append(plain[int(rng.integers(0, len(plain)))]())
                 labels.append("O")
             if rng.random() < 0.2:
-                words[-1] += str(rng.choice([".", ",", ";"]))
+                words[-1] += str(rng.choice(signs))
         words.append(word())
         labels.append("O")
         rows.append((words, labels))
@@ -142,12 +170,15 @@ def labelled(n: int = 400, seed: int = 5) -> list[tuple[list[str], list[str]]]:
 
 
 class Field:
-    """Weights of a trained field. Word bundles are numbered as they come; each has a row of scores for itself and as a neighbour."""
+    """Weights of a trained field. Words are numbered as they come; each has a row of scores for itself and as a neighbour."""
 
     def __init__(self, names: dict[str, int], unary: np.ndarray, step: np.ndarray, first: np.ndarray):
         self.names, self.unary, self.step, self.first = names, unary, step, first
-        self.bundles: dict[str, int] = {}
-        self.rows = np.zeros((256, 3, len(LABELS)))
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.rows = np.zeros((256, len(PLACES), len(LABELS)))
         self.free = np.zeros(256, bool)
 
     def __getstate__(self) -> tuple:
@@ -156,52 +187,56 @@ class Field:
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
-    def bundle(self, word: str) -> int:
-        if (k := self.bundles.get(word)) is None:
-            if len(self.bundles) >= 200_000:
-                self.bundles.clear()
-            k = self.bundles[word] = len(self.bundles)
-            while k >= len(self.rows):
+    def number(self, word: str) -> int:
+        if (k := self.words.get(word)) is None:
+            k = self.words[word] = len(self.words)
+            if k >= len(self.rows):
                 self.rows, self.free = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.free, np.zeros_like(self.free)])
             at = [self.names[f] for f in shape(word) if f in self.names]
             self.rows[k] = self.unary[:, at].sum(1)
             self.free[k] = any("0" <= c <= "9" or c == "@" for c in word)
         return k
 
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        """Of each word and label, without transitions."""
+        out = self.rows[ids, 0].copy()
+        for k, by in enumerate(PLACES):
+            if 0 < by < len(ids):
+                out[by:] += self.rows[ids[:-by], k]
+            elif -len(ids) < by < 0:
+                out[:by] += self.rows[ids[-by:], k]
+        out[~self.free[ids], 1:] = -1e9
+        return out
+
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """The best labels of each sequence; padded batches of like length."""
-        if sum(len({*s}) for s in sequences) + len(self.bundles) >= 200_000:
-            self.bundles.clear()
-        coded = [np.fromiter(map(self.bundle, s), np.int64, len(s)) for s in sequences]
+        """The best labels of each sequence; padded batches of like length. Words keep their numbers for the whole call."""
+        coded = [np.fromiter(map(self.number, s), np.int64, len(s)) for s in sequences]
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(coded)
-        order = sorted(range(len(coded)), key=lambda i: len(coded[i]))
+        order = sorted((i for i in range(len(coded)) if len(coded[i])), key=lambda i: len(coded[i]))
         while order:
             most = len(coded[order[0]]) * 2 + 8
-            batch = [i for i in order if len(coded[i]) <= most][: max(1, 400_000 // most)]
+            batch = [i for i in order if len(coded[i]) <= most][: max(1, 200_000 // most)]
             order = order[len(batch) :]
-            length = max(len(coded[i]) for i in batch)
-            score = np.zeros((len(batch), length, len(LABELS)))
+            lengths = np.array([len(coded[i]) for i in batch])
+            score = np.zeros((len(batch), lengths.max(), len(LABELS)))
             for r, i in enumerate(batch):
-                ids = coded[i]
-                own = self.rows[ids, 0].copy()
-                own[1:] += self.rows[ids[:-1], 1]
-                own[:-1] += self.rows[ids[1:], 2]
-                own[~self.free[ids], 1:] = -1e9
-                score[r, : len(ids)] = own
+                score[r, : lengths[r]] = self.scores(coded[i])
             back = np.zeros(score.shape, np.int8)
             best = score[:, 0] + self.first
-            for t in range(1, length):
+            for t in range(1, score.shape[1]):
                 ways = best[:, :, None] + self.step
                 back[:, t] = ways.argmax(1)
-                alive = np.array([len(coded[i]) > t for i in batch])
-                best = np.where(alive[:, None], ways.max(1) + score[:, t], best)
+                best = np.where((lengths > t)[:, None], ways.max(1) + score[:, t], best)
+            path = np.zeros(score.shape[:2], np.int64)
+            label = best.argmax(1)
+            for t in range(score.shape[1] - 1, -1, -1):
+                path[:, t] = label
+                if t:
+                    label = np.where(t < lengths, back[np.arange(len(batch)), t, label], label)
             for r, i in enumerate(batch):
-                n = len(coded[i])
-                path = np.zeros(n, np.int64)
-                path[-1] = best[r].argmax()
-                for t in range(n - 1, 0, -1):
-                    path[t - 1] = back[r, t, path[t]]
-                out[i] = path
+                out[i] = path[r, : lengths[r]]
+        if len(self.words) > REMEMBERED:
+            self.forget()
         return out
 
 
@@ -222,10 +257,10 @@ def train(rows: list[tuple[list[str], list[str]]] | None = None, steps: int = 80
         for t, w in enumerate(words):
             for f in shape(w):
                 if f in names:
-                    which += [(p, r, t + s, names[f]) for p, s in ((0, 0), (1, 1), (2, -1)) if 0 <= t + s < len(words)]
+                    which += [(p, r, t + by, names[f]) for p, by in enumerate(PLACES) if 0 <= t + by < len(words)]
     part, row, place, feature = np.array(which).T
     cell, column = row * length + place, part * width + feature
-    unary, step, first = np.zeros((3 * width, k)), np.zeros((k, k)), np.zeros(k)
+    unary, step, first = np.zeros((len(PLACES) * width, k)), np.zeros((k, k)), np.zeros(k)
     values, moment, second = [unary, step, first], [np.zeros_like(x) for x in (unary, step, first)], [np.zeros_like(x) for x in (unary, step, first)]
     starts = np.zeros(k)
     np.add.at(starts, gold[:, 0], 1)
@@ -264,36 +299,59 @@ def train(rows: list[tuple[list[str], list[str]]] | None = None, steps: int = 80
             moment[j] = 0.9 * moment[j] + 0.1 * g
             second[j] = 0.99 * second[j] + 0.01 * g * g
             v += rate * (moment[j] / (1 - 0.9 ** (i + 1))) / (np.sqrt(second[j] / (1 - 0.99 ** (i + 1))) + 1e-8)
-    return Field(names, unary.reshape(3, width, k), step, first)
-
-
-def _sequences(text: str) -> list[list[tuple[int, int]]]:
-    """Word bounds around words with a digit or an @."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    out: list[list[tuple[int, int]]] = []
-    upto = -1
-    for i, (s, e) in enumerate(words):
-        if any("0" <= c <= "9" or c == "@" for c in text[s:e]):
-            lo = max(0, i - _NEAR)
-            if lo > upto:
-                out.append([])
-            else:
-                lo = upto + 1
-            out[-1] += words[lo : i + _NEAR + 1]
-            upto = min(len(words) - 1, i + _NEAR)
-    return out
+    return Field(names, unary.reshape(len(PLACES), width, k), step, first)
+
+
+def _sequences(data: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Of one text the bounds in code points of words with a digit or an @ and their neighbours, in runs."""
+    places, begins, ends, marked, words, points = [], [], [], [], 0, 0
+    for _, _, a, b in spans(data, np.array([0, len(data)])):
+        part = data[a:b]
+        starts, stops, _ = word_bounds(part, np.array([0, len(part)]))
+        rank = np.concatenate([[0], np.cumsum(_MARK[part], dtype=np.int64)])
+        mine = rank[stops] > rank[starts]
+        near = np.zeros(len(starts) + 2 * _NEAR, bool)
+        for k in range(2 * _NEAR + 1):
+            near[k : k + len(starts)] |= mine
+        near = near[_NEAR : _NEAR + len(starts)]
+        near[:_NEAR] = near[len(near) - min(_NEAR, len(near)) :] = True  # may be neighbours of the next span's
+        letter = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80, dtype=np.int64)])
+        keep = np.flatnonzero(near)
+        places.append(keep + words)
+        begins.append(letter[starts[keep]] + points)
+        ends.append(letter[stops[keep]] + points)
+        marked.append(mine[keep])
+        words, points = words + len(starts), points + int(letter[-1])
+    place, begin, end, mine = (np.concatenate(x) for x in (places, begins, ends, marked))
+    centres = place[mine]
+    at = np.searchsorted(centres, place - _NEAR)
+    keep = np.append(centres, words + 2 * _NEAR)[at] <= place + _NEAR
+    place, begin, end = place[keep], begin[keep], end[keep]
+    cuts = np.flatnonzero(np.diff(place) > 1) + 1
+    return [list(zip(x.tolist(), y.tolist(), strict=True)) for x, y in zip(np.split(begin, cuts), np.split(end, cuts), strict=True) if len(x)]
 
 
 def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
-    while s < e and text[s] in "\"'<>[]{};:,.!?":
+    while s < e and text[s] in f"{_SIGNS}<>[]{{}}":
         s += 1
-    while e > s and text[e - 1] in "\"'<>[]{};:,.!?":
+    while e > s and text[e - 1] in f"{_SIGNS}<>[]{{}}":
         e -= 1
     return s, e
 
 
-#: What a span of each kind must hold to be added.
-_LIKELY = (lambda t, d: "@" in t, lambda t, d: t.count(".") >= 3 and 4 <= len(d) <= 18, lambda t, d: 13 <= len(d) <= 19 and luhn(d), lambda t, d: 7 <= len(d) <= 15)
+def _runs(seq: list[tuple[int, int]], labels: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of what a sequence's labels mark."""
+    now: list[int] | None = None
+    for (s, e), label in zip(seq, labels, strict=True):
+        kind, inside = (label - 1) // 2, label > 0 and label % 2 == 0
+        if inside and now and now[0] == kind:
+            now[2] = e
+            continue
+        if now:
+            yield tuple(now)
+        now = [kind, s, e] if label else None
+    if now:
+        yield tuple(now)
 
 
 def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,36 +362,34 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         crf = told.value
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            marks = np.concatenate([[0], np.cumsum(_MARK[data])])[offsets]
-            spans: list[list[tuple[int, int, int, bool]]] = [[] for _ in range(len(offsets) - 1)]
-            texts, where, sequences = {}, [], []
-            for i in np.flatnonzero(np.diff(marks)).tolist():
-                text = texts[i] = data[offsets[i] : offsets[i + 1]].tobytes().decode()
-                spans[i] = [(*x, True) for x in patterns(text)]
-                for seq in _sequences(text):
-                    where.append((i, seq))
-                    sequences.append([text[s:e] for s, e in seq])
-            for (i, seq), labels in zip(where, crf.decode(sequences), strict=True):
-                runs: list[list[int]] = []
-                for (s, e), label in zip(seq, labels.tolist(), strict=True):
-                    kind, inside = (label - 1) // 2, label > 0 and label % 2 == 0
-                    if label and inside and runs and runs[-1][2] == s_before and runs[-1][0] == kind:
-                        runs[-1][2] = e
-                    elif label:
-                        runs.append([kind, s, e])
-                    s_before = e
-                for kind, s, e in runs:
-                    s, e = _trimmed(texts[i], s, e)
-                    digits = re.sub("[^0-9]", "", texts[i][s:e])
-                    if not _LIKELY[kind](texts[i][s:e], digits):
-                        continue
-                    if s < e and not any(b and s < y and x < e for _, x, y, b in spans[i]):
-                        spans[i].append((kind, s, e, False))
-            for x in spans:
+            found: list[list[tuple[int, int, int, bool]]] = [[] for _ in range(len(offsets) - 1)]
+            texts: dict[int, str] = {}
+            waiting: list[tuple[int, list[tuple[int, int]], list[str]]] = []
+
+            def decode() -> None:
+                for (i, seq, _), labels in zip(waiting, crf.decode([w for _, _, w in waiting]), strict=True):
+                    for kind, s, e in _runs(seq, labels.tolist()):
+                        s, e = _trimmed(texts[i], s, e)
+                        if s < e and not any(b and s < y and x < e for _, x, y, b in found[i]):
+                            found[i].append((kind, s, e, False))
+                waiting.clear()
+
+            for i in range(len(offsets) - 1):
+                own = data[offsets[i] : offsets[i + 1]]
+                if not any(_MARK[own[a : a + (1 << 20)]].any() for a in range(0, len(own), 1 << 20)):
+                    continue
+                text = texts[i] = own.tobytes().decode()
+                found[i] = [(*x, True) for x in patterns(text)]
+                for seq in _sequences(own):
+                    waiting.append((i, seq, [text[s:e] for s, e in seq]))
+                    if len(waiting) >= AT_ONCE // 8:
+                        decode()
+            decode()
+            for x in found:
                 x.sort()
-            flat = [y for x in spans for y in x]
-            items = pa.StructArray.from_arrays([pa.array([KINDS[y[0]] for y in flat], pa.string()), *(pa.array([y[j] for y in flat], pa.int64()) for j in (1, 2)), pa.array([y[3] for y in flat], pa.bool_())], names=["kind", "start", "end", "base"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, spans)]), pa.int32()), items)], names=["doc_id", "spans"])
+            flat = [y for x in found for y in x]
+            items = pa.StructArray.from_arrays([pa.array([ALL[y[0]] for y in flat], pa.string()), *(pa.array([y[j] for y in flat], pa.int64()) for j in (1, 2)), pa.array([y[3] for y in flat], pa.bool_())], names=["kind", "start", "end", "base"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), items)], names=["doc_id", "spans"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")

@@ -19,7 +19,8 @@ def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    added = F.size("spans") - F.size(own)
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), added.cast("long").alias("n_added"))
 
 
 def op2_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
