@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import log_templates, minhash, mixing, packing, queries, toxicity
-from sluice.llm.common import stage, table
+from sluice.llm.common import drop_stage, drop_stages, fresh, stage, staged_so_far, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars is that of the remaining text."""
-    out = log_templates.clean(docs).where("_lines.n_dropped = 0 OR trim(text) != ''")
-    return out.withColumn("n_chars", F.when(F.col("_lines.n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    name = fresh("_lines", docs.columns)
+    out = log_templates.clean(docs, name=name).where(rf"{name}.n_dropped = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
+    n_chars = F.when(F.col(name)["n_dropped"] > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct().alias("g")
+    return docs.alias("d").join(gone, F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written to the shared folder before the next begins."""
+    """All stages over documents; each one's rows are written to the shared folder before the next begins, and what it left there goes."""
     docs = table(spark, sf_dir, "documents")
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+        since = staged_so_far()
+        before, docs = docs, stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_stages(spark, since, docs)
+        drop_stage(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_staged: list[str] = []
 
 #: Rows and bytes of a batch that goes to Python, so that a worker's memory does not depend on how long texts are.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and there is one machine alone."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="sluice-")
     return _own_dir
@@ -38,16 +46,57 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     for k, v in BATCH.items():
         spark.conf.set(k, v)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path_.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path_, True)
+    with contextlib.suppress(ValueError):
+        _staged.remove(path)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Deletes the table of a stage() that no later plan reads."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files = df.inputFiles()[:1]
+    for path in [p for p in _staged if files and f"/{p.rsplit('/', 1)[1]}/" in files[0]]:
+        _delete(df.sparkSession, path)
+
+
+def staged_so_far() -> int:
+    return len(_staged)
+
+
+def drop_stages(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Deletes the tables that were staged after staged_so_far() said `since`, but for the one that is to be kept."""
+    files = keep.inputFiles()[:1]
+    for path in [p for p in _staged[since:] if not (files and f"/{p.rsplit('/', 1)[1]}/" in files[0])]:
+        _delete(spark, path)
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches after which a Python worker gives freed memory back, as workers live on through later stages."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where there is no such call nothing is given back
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
+def fresh(name: str, *taken: list[str]) -> str:
+    """A column name that none of the tables has, in any case."""
+    names = {c.lower() for columns in taken for c in columns}
+    while name.lower() in names:
+        name += "_"
+    return name
 
 
 SPACE = np.zeros(256, bool)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import lean
+
 MIN = 0.02
 RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -215,4 +217,4 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None, html_col:
 
     kinds = dict(pages.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string, n_chars long"
-    return pages.select(*keep, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(html_col).cast("string").alias("_html")).mapInArrow(lean(run), schema)

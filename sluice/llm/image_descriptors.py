@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import mix, stage
+from sluice.llm.common import lean, mix, stage
 from sluice.llm.components import components
 
 SCALES, CORNERS, AREA, BITS, RADIUS, TURNS, LIST, VOTES, BLOCK = (1.0, 0.75), 32, 72 * 72, 128, 7, 24, 1 << 21, 5, 16_000_000
@@ -299,7 +299,7 @@ def _compared(votes: int):
 def copies(media: DataFrame, id_col: str = "media_id", bytes_col: str = "bytes", votes: int = VOTES) -> DataFrame:
     """(media_id, n_features, n_links, component_id): links between classes of equal images, and the least id that each reaches."""
     plain = media.select(F.col(id_col).cast("long").alias("media_id"), F.col(bytes_col).alias("bytes"))
-    found = stage(plain.mapInArrow(_described, "media_id long, digest binary, features binary"), "described")
+    found = stage(plain.mapInArrow(lean(_described), "media_id long, digest binary, features binary"), "described")
     reps = stage(found.where("digest IS NOT NULL AND media_id IS NOT NULL").groupBy("digest").agg(F.min("media_id").alias("rep")), "classes")
     # of each class the features of its first image
     chosen = found.join(reps.select("digest", F.col("rep").alias("media_id")), ["digest", "media_id"]).dropDuplicates(["digest", "media_id"])
@@ -362,4 +362,4 @@ def gallery(vectors: DataFrame, every: int = 10, offset: int = 10**12) -> DataFr
                     data.append(pgm(edited(picture, i // every % 5)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["media_id", "bytes"])
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "media_id long, bytes binary")
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(lean(run), "media_id long, bytes binary")

@@ -11,8 +11,9 @@ same result: no task holds a leaf, and no line is given up.
 
 A template that occurs in at least `min_docs` documents, and has `min_words` words, is dropped from all of them but for its first
 occurrence, by document id and place. A row's document is its id and text: rows that repeat both count as one and
-are treated alike. Null text: no lines, stays null. Blank and short lines stay. Null id: a document of its own, after all others. Empty table: empty
-result. Other columns are kept or ignored, whatever their names.
+are treated alike. Null text: no lines, stays null. Very long texts are read span by span, of their words only hashes are held.
+Blank and short lines stay. Null id: a document of its own, after all others. Ties: of groups of a size, as said above. Empty
+table: empty result. Other columns are kept or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,18 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import chunks, drop_stage, mix, stage, text_bytes, word_bounds, word_hashes
+from sluice.llm.common import drop_stage, lean, mix, spans, stage, text_bytes, word_bounds, word_hashes
 
 LEAD, FIELDS, SIMILAR, LEAF, MIN_DOCS, MIN_WORDS = 3, 8, 0.85, 512, 2, 4
 _NEWLINE, _ANY = 10, np.uint64(0x5851F42D4C957F2D)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _SEED = np.uint64(0x9E3779B97F4A7C15)
+_AT_ONCE = 1 << 18
 _LINES = "doc_id {id}, th long, n int, at int, whole long, lead long, fields array<int>"
 
 
-def _parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For the lines with words of the texts in a row: text, place, number of words, hashes of the whole and the lead, fields."""
+def _words(data: np.ndarray, offsets: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the words of texts in a row: hash (one for all words with a digit), text, and line (the first text begins in line `before`)."""
     starts, ends, first = word_bounds(data, offsets)
     words = word_hashes(data, starts, ends, fold=False)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int64)])
@@ -45,33 +47,53 @@ def _parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     breaks = np.flatnonzero(data == _NEWLINE)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     place = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[:-1])[text]
-    new = np.ones(len(starts), bool)
+    place[text == 0] += before
+    return words, text.astype(np.int32), place.astype(np.int32)
+
+
+def _figures(words: np.ndarray, text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For the lines with words: text, place, number of words, hashes of the whole and the lead, fields."""
+    new = np.ones(len(words), bool)
     new[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1])
-    line = np.cumsum(new) - 1
     begin = np.flatnonzero(new)
-    n = np.diff(np.append(begin, len(starts)))
-    at = np.arange(len(starts)) - begin[line]
-    each = mix(words + (at.astype(np.uint64) + np.uint64(1)) * _SEED)
+    n = np.diff(np.append(begin, len(words)))
     count = mix(n.astype(np.uint64) * _SEED)
-    if not len(begin):
-        none = np.zeros(0, np.uint64)
-        return text[begin], place[begin], n, none, none, np.zeros((0, FIELDS), np.uint64)
-    whole = mix(np.add.reduceat(each, begin) + count)
-    lead = mix(np.add.reduceat(np.where(at < LEAD, each, np.uint64(0)), begin) + count)
-    fields = np.zeros((len(begin), FIELDS), np.uint64)
-    rest = np.maximum(n - LEAD, 1)[line]
-    field = np.minimum((at - LEAD) * FIELDS // np.maximum(rest, FIELDS), FIELDS - 1)
-    tail = at >= LEAD
-    np.add.at(fields, (line[tail], field[tail]), each[tail])
-    return text[begin], place[begin], n, whole, lead, fields
+    whole, lead, fields = count.copy(), count.copy(), np.zeros((len(begin), FIELDS), np.uint64)
+    for lo in range(0, len(words), _AT_ONCE):
+        hi = min(lo + _AT_ONCE, len(words))
+        line = np.cumsum(new[lo:hi]) + int(np.searchsorted(begin, lo, "right")) - 1 - new[lo]
+        at = np.arange(lo, hi) - begin[line]
+        each = mix(words[lo:hi] + (at.astype(np.uint64) + np.uint64(1)) * _SEED)
+        runs = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        whole[line[runs]] += np.add.reduceat(each, runs)
+        lead[line[runs]] += np.add.reduceat(np.where(at < LEAD, each, np.uint64(0)), runs)
+        rest = np.maximum(n - LEAD, 1)[line]
+        field = np.minimum((at - LEAD) * FIELDS // np.maximum(rest, FIELDS), FIELDS - 1)
+        tail = at >= LEAD
+        np.add.at(fields, (line[tail], field[tail]), each[tail])
+    return text[begin], place[begin], n, mix(whole), mix(lead), fields
+
+
+def _parse(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """The first text and the figures of its lines and of those after it; of a very long text only words' hashes are held at once."""
+    held: list[tuple[np.ndarray, ...]] = []
+    before = 0
+    for i, j, a, b in spans(data, offsets):
+        part = data[a:b]
+        found = _words(part, np.clip(offsets[i : j + 1], a, b) - a, before)
+        if held or b < offsets[j]:
+            held.append(found)
+            before += int((part == _NEWLINE).sum())
+            if b < offsets[j]:
+                continue
+            found, held, before = tuple(np.concatenate(x) for x in zip(*held, strict=True)), [], 0
+        yield i, _figures(*found)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_bytes(batch.column(2))
-        for i, j in chunks(offsets):
-            text, place, n, whole, lead, fields = _parse(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            row = pa.array(text + i, pa.int64())
+        for i, (text, place, n, whole, lead, fields) in _parse(*text_bytes(batch.column(2))):
+            row = pa.array(text.astype(np.int64) + i)
             used = np.minimum(np.maximum(n - LEAD, 0), FIELDS)
             keep = np.arange(FIELDS)[None, :] < used[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]), pa.int32()), pa.array(fields[keep].view(np.int64).astype(np.int32)))
@@ -162,7 +184,7 @@ def templates(lines: DataFrame, similar: float = SIMILAR, leaf: int | None = Non
     sizes = distinct.groupBy("lead").agg(F.count("*").alias("size")).where("size > 1")
     joined = stage(distinct.join(sizes, "lead"), "leaves")
     dealt = joined.where(F.col("size") <= leaf).select("lead", "whole", "fields").repartition("lead").sortWithinPartitions("lead")
-    found = dealt.mapInArrow(_leaves(similar), "whole long, template long")
+    found = dealt.mapInArrow(lean(_leaves(similar)), "whole long, template long")
     large = joined.where(F.col("size") > leaf).select("whole", "lead", "fields")
     if not large.isEmpty():
         found = found.union(_rounds(large, similar))
@@ -173,7 +195,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """(doc_id, th, drop): for each document by id and hash of its text, the sorted places of the lines that go."""
     kind = dict(docs.dtypes)[id_col]
     plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    lines = stage(plain.mapInArrow(_lines, _LINES.format(id=kind)).where(F.col("n") >= min_words).dropDuplicates(["doc_id", "th", "at"]), "lines")
+    lines = stage(plain.mapInArrow(lean(_lines), _LINES.format(id=kind)).where(F.col("n") >= min_words).dropDuplicates(["doc_id", "th", "at"]), "lines")
     found = stage(templates(lines, similar), "templates")
     joined = lines.select("doc_id", "th", "at", "whole").join(found, "whole", "left").withColumn("template", F.coalesce("template", "whole")).drop("whole")
     # one row for each template and document first: a template that every document holds is summed in parts
@@ -187,16 +209,13 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     return out
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """docs with the text that remains, and _lines: how many lines the text had and how many went."""
-    drops = dropped(docs, id_col, text_col, **settings)
-    marked = docs.withColumn("_th", F.xxhash64(F.col(text_col).cast("string")))
-    joined = marked.join(drops.withColumnsRenamed({"doc_id": "_id", "th": "_th2"}), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_th2")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.concat_ws("\n", F.filter(lines, lambda x, i: ~F.array_contains("drop", i)))
-    text = F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(kept)
-    figures = F.struct(F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
-    figures = F.when(F.col("drop").isNull(), F.struct(figures["n_lines"].alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))).otherwise(figures)
-    return joined.select(*[c if c != text_col else text.alias(text_col) for c in docs.columns], figures.alias("_lines"))
-
-
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "_lines", **settings) -> DataFrame:
+    """docs with the text that remains, and under this name, which replaces a column of docs, how many lines the text had and how many went."""
+    drops = dropped(docs, id_col, text_col, **settings).alias("g")
+    text, gone = F.col(f"d.`{text_col}`"), F.col("g.drop")
+    joined = docs.alias("d").join(drops, F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(text.cast("string")) == F.col("g.th")), "left")
+    kept = F.concat_ws("\n", F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)))
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    n_dropped = F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
+    columns = [F.when(gone.isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns if c.lower() != name.lower()]
+    return joined.select(*columns, F.struct(n_lines.alias("n_lines"), n_dropped.alias("n_dropped")).alias(name))

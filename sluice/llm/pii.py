@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import spans, text_bytes, word_bounds
+from sluice.llm.common import lean, spans, text_bytes, word_bounds
 
 KINDS = ("email", "ip", "card", "phone")
 #: The field's kinds: those of the patterns, and what it alone finds.
@@ -392,4 +392,4 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), items)], names=["doc_id", "spans"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")

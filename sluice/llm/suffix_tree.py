@@ -11,7 +11,8 @@ towards that of the longest retained suffix; a text is scored by its longest suf
 
 Word counts: the TOP commonest words go to every task, the rest are joined, so that no common word makes a hot key.
 
-Null or blank text: the end alone. Null id: a training document. Rows that repeat an id: scored each. No training text: all
+Null or blank text: the end alone. Very long texts are read span by span. Null id: a training document. Rows that repeat an id:
+scored each. Ties: bytes as frequent are taken in their order, words as frequent by hash. No training text: all
 symbols are as likely, base scores 0. Empty table: empty result. Other columns are not looked at.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import chunks, stage, text_bytes, word_bounds, word_hashes
+from sluice.llm.common import SPACE, lean, spans, stage, text_bytes, word_bounds, word_hashes
 
 DEPTH, SYMBOLS, STATES, HELD, FLOOR, TOP, PRIOR = 5, 64, 32_767, 8, 10.0, 1 << 18, 4.0
 #: Contexts of so many symbols are found by their code in a table, longer ones by search.
@@ -66,17 +67,38 @@ def _contexts(symbols: np.ndarray, begins: np.ndarray, end: int, bits: int, dept
     return out
 
 
+def _read(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]]:
+    """(first text, last + 1, symbols, where texts begin in them, symbols before the first, bytes, bounds of words) of spans of texts; one text may come in several."""
+    before, seen = np.full(DEPTH, _END, np.int64), False
+    for i, j, a, b in spans(data, offsets):
+        part, end = data[a:b], int(offsets[j])
+        symbols, begins, bounds = _spelled(part, np.clip(offsets[i : j + 1], a, b) - a)
+        if b < end:  # the text goes on
+            if any(not SPACE[data[x : min(x + (1 << 20), end)]].all() for x in range(b, end, 1 << 20)):
+                symbols[-1] = 32
+            symbols = symbols if len(bounds[0]) else symbols[:0]
+        elif seen and not len(bounds[0]):  # white space after its last word
+            symbols = symbols[:0]
+        yield i, j, symbols, begins, before, part, bounds
+        seen = b < end and (seen or len(bounds[0]) > 0)
+        before = np.concatenate([before, symbols])[-DEPTH:] if b < end else np.full(DEPTH, _END, np.int64)
+
+
+def _after(symbols: np.ndarray, begins: np.ndarray, before: np.ndarray, end: int, bits: int, depth: int = DEPTH, turned: bool = False) -> np.ndarray:
+    """The contexts of a span's symbols, of which the first text may have begun earlier."""
+    if (before == end).all():
+        return _contexts(symbols, begins, end, bits, depth, turned)
+    return _contexts(np.concatenate([before, symbols]), np.append(0, begins[1:] + len(before)), end, bits, depth, turned)[len(before) :]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, n): kind 0 words by hash, 1 runs of symbols."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column(0))
         words, grams = [], []
-        for i, j in chunks(offsets):
-            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            symbols, begins, (starts, ends, _) = _spelled(part, at)
+        for _, _, symbols, begins, before, part, (starts, ends, _) in _read(*text_bytes(batch.column(0))):
             words.append(word_hashes(part, starts, ends).view(np.int64))
-            grams.append(_contexts(symbols, begins, _END, 9) << 9 | symbols)
-            if i and sum(map(len, grams)) > 4_000_000:
+            grams.append(_after(symbols, begins, before, _END, 9) << 9 | symbols)
+            if sum(map(len, grams)) > 4_000_000:
                 yield from _counted(words, grams)
                 words, grams = [], []
         if grams:
@@ -186,16 +208,17 @@ class Tree:
         return self.__dict__ | {"_lookup": None}
 
 
-def _scores(held: list[Tree], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """log10 probability of the symbols of each text whose contexts are in the ranges of the trees, and the bounds of its words."""
-    spelled, begins, bounds = _spelled(data, offsets)
-    symbols = held[0].symbol_of[spelled]
-    turned = _contexts(symbols, begins, int(held[0].symbol_of[_END]), held[0].bits, held[0].depth, turned=True)
+def _scores(held: list[Tree], spelled: np.ndarray, begins: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """log10 probability of the symbols of each text of a span whose contexts are in the ranges of the trees."""
+    if not len(spelled):
+        return np.zeros(len(begins))
+    symbols, first = held[0].symbol_of[spelled], held[0].symbol_of[before]
+    turned = _after(symbols, begins, first, int(held[0].symbol_of[_END]), held[0].bits, held[0].depth, turned=True)
     each = np.zeros(len(symbols))
     for tree in held:
         mine = slice(None) if tree.bounds == (0, 1 << 6 * DEPTH) else np.flatnonzero((turned >= tree.bounds[0]) & (turned < tree.bounds[1]))
         each[mine] = tree.log10[tree.states(turned[mine]), symbols[mine]].astype(np.float64) + tree.other[spelled[mine]]
-    return np.add.reduceat(each, begins), bounds
+    return np.add.reduceat(each, begins)
 
 
 def _most(df: DataFrame, column: str, at_most: int) -> DataFrame:
@@ -280,12 +303,12 @@ def _part(numbered: DataFrame, held: list[Tree]) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            parts = [_scores(own, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] for i, j in chunks(offsets)]
-            if parts:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts))], names=["row", "part"])
+            parts = np.zeros(len(batch.column(0)))
+            for i, j, symbols, begins, before, _, _ in _read(*text_bytes(batch.column(1))):
+                parts[i:j] += _scores(own, symbols, begins, before)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts)], names=["row", "part"])
 
-    out = stage(numbered.select("row", "text").mapInArrow(score, "row long, part double"), "parts")
+    out = stage(numbered.select("row", "text").mapInArrow(lean(score), "row long, part double"), "parts")
     model.unpersist()
     return out
 
@@ -295,7 +318,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
     training = plain.where("NOT held_out")
-    counts = stage(training.select("text").mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counts = stage(training.select("text").mapInArrow(lean(_count), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("kind = 0").select("key", "n")
     ends = training.select("doc_id").count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -313,31 +336,27 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known, log10_known = model.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            scores, n_words, n_common, base, rare, rare_at = [], [], [], [], [], [0]
-            for i, j in chunks(offsets):
-                part = data[offsets[i] : offsets[j]]
-                each, (starts, ends_, first) = _scores(held, part, offsets[i : j + 1] - offsets[i])
+            n = len(batch.column(0))
+            scores, base, n_words, n_common = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            rare = [np.zeros(0, np.int64)]
+            for i, j, symbols, begins, before, part, (starts, ends_, first) in _read(*text_bytes(batch.column(1))):
+                scores[i:j] += _scores(held, symbols, begins, before)
                 h = word_hashes(part, starts, ends_).view(np.int64)
                 at = np.searchsorted(known, h)
                 at[at == len(known)] = 0
                 common = known[at] == h if len(known) else np.zeros(len(h), bool)
                 sums = np.concatenate([[0.0], np.cumsum(np.where(common, log10_known[at], 0.0) if len(known) else np.zeros(len(h)))])
-                found = np.concatenate([[0], np.cumsum(common)])
-                scores.append(each)
-                n_words.append(np.diff(first))
-                n_common.append(np.diff(found[first]))
-                base.append(np.diff(sums[first]))
+                n_words[i:j] += np.diff(first)
+                n_common[i:j] += np.diff(np.concatenate([[0], np.cumsum(common)])[first])
+                base[i:j] += np.diff(sums[first])
                 rare.append(h[~common])
-                rare_at.extend((rare_at[-1] + np.cumsum(n_words[-1] - n_common[-1])).tolist())
-            if not scores:
-                continue
+            rare_at = np.concatenate([[0], np.cumsum(n_words - n_common)])
             lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(np.concatenate(rare)))
-            columns = [pa.array(np.concatenate(x)) for x in (n_words, n_common, base, scores)]
+            columns = [pa.array(x) for x in (n_words, n_common, base, scores)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns, lists], names=["doc_id", "held_out", "row", "words", "common", "base", "score", "rare"])
 
     kind = dict(plain.dtypes)["doc_id"]
-    each = stage(numbered.mapInArrow(score, f"doc_id {kind}, held_out boolean, row long, words long, common long, base double, score double, rare array<bigint>"), "scores")
+    each = stage(numbered.mapInArrow(lean(score), f"doc_id {kind}, held_out boolean, row long, words long, common long, base double, score double, rare array<bigint>"), "scores")
     parts = []
     while held := list(itertools.islice(made, HELD)):
         parts.append(_part(numbered, held))

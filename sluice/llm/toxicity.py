@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import SPACE, drop_stage, mix, spans, stage, text_bytes, word_bounds, word_hashes
+from sluice.llm.common import SPACE, drop_stage, lean, mix, spans, stage, text_bytes, word_bounds, word_hashes
 
 SAMPLE, FOLDS, Z, WORDS, MIN_DOCS, STEMS, LONGEST = 10_000, 5, 5.0, 2000, 4, (4, 5), 64
 _STRIP = b".,;:!?\"'()[]{}<>#$%&*-_|~"
@@ -157,7 +157,7 @@ def _vocabulary(texts: DataFrame, categories: tuple[str, ...]) -> np.ndarray:
 
     schema = "word long, " + ", ".join(f"c{k} int" for k in range(len(categories)))
     shares = texts.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    counted = texts.select("text", *categories).mapInArrow(split, schema).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(categories))]).where(F.col("n") >= MIN_DOCS)
+    counted = texts.select("text", *categories).mapInArrow(lean(split), schema).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(categories))]).where(F.col("n") >= MIN_DOCS)
     scores = []
     for k, c in enumerate(categories):
         yes, all_ = float(shares[c] or 0), float(shares["n"] or 0)
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_co
 
     kind = dict(chosen.dtypes)["id"]
     schema = f"id {kind}, found array<int>, form array<double>, " + ", ".join(f"{c} int" for c in names)
-    table = chosen.mapInArrow(marks, schema).toPandas().sort_values("id")
+    table = chosen.mapInArrow(lean(marks), schema).toPandas().sort_values("id")
     drop_stage(chosen)
     return _chain(table, names, categories, vocabulary)
 
@@ -274,7 +274,7 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text", keep: str = "a
 
     inner = docs.toDF(*[f"x{i}" for i in range(fields)])
     schema = T.StructType(list(inner.schema.fields) + ([] if keep == "clean" else [T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.BooleanType())]))
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(lean(run), schema)
     if keep == "clean":
         return out.toDF(*docs.columns)
     kept = [F.col(f"x{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in ("_p", "_toxic")]

@@ -43,3 +43,26 @@ def test_lines_alone_leave_no_empty_document(spark, docs):
     table = docs(["a line that all of them share", "a line that all of them share", None, ""]).select("doc_id", "text", "lang", "source", "n_chars")
     out = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, table, "").collect()}
     assert out == {0: "a line that all of them share", 2: None, 3: ""}
+
+
+def test_blank_rest_goes(spark, docs):
+    """What is left of a document is white space alone."""
+    rows = ["a line that all of them share", "\n\na line that all of them share\n \n", "\n\n"]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs(rows).select("doc_id", "text", "lang", "source", "n_chars"), "").collect()}
+    assert out == {0: rows[0], 2: "\n\n"}
+
+
+def test_clashing_columns(spark, docs):
+    """Columns that are named like the stages' own come through as they are."""
+    names = ["drop", "_id", "_th", "_th2", "_mix", "_copy", "_p", "_toxic", "_lines", "th", "x0", "g", "d", "s.t", "size", "copies", "rank", "digest", "component_id"]
+    table = docs([f"a line that all of them share\nown line of number {i}" for i in range(40)]).select("doc_id", "text", "lang", "source", "n_chars").selectExpr("*", *[f"{i} AS `{n}`" for i, n in enumerate(names)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    from sluice.llm import queries
+
+    kept = table
+    for apply in (lambda d: corpus_pipeline.toxicity.scored(d, corpus_pipeline.toxicity.train(d, labels, ("quality", "toxic")), keep="clean"), *(lambda d, f=f: f(spark, d, "") for _, f in corpus_pipeline.STAGES[1:4])):
+        kept = apply(kept)
+        assert kept.columns == table.columns
+        assert {tuple(r[n] for n in names) for r in kept.collect()} <= {tuple(range(len(names)))}
+    assert corpus_pipeline.pack(spark, kept, "").count() == kept.count() > 0
+    assert queries.CATEGORIES == ("junk", "toxic")
