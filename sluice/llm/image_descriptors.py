@@ -3,10 +3,12 @@
 Images of equal pixels are one class from the start. Of each class, corners are sought at several scales (largest responses
 of the smaller eigenvalue of the gradient matrix, not next to a larger one); each gets the orientation of its patch's
 intensity centroid and a descriptor of BITS intensity comparisons on the patch turned by it. The number of corners of a scale
-is CORNERS, and as many for each AREA pixels of larger images. Descriptors are cut into PARTS parts, and those that agree in SHARED
-whole parts, whichever, are matches: any two that differ in up to PARTS - SHARED bits meet, and others whose differences leave so
-many parts alone. Matches vote for
-the scale, turn and shift between two images; VOTES agreeing features make a link, and linked images a group.
+is CORNERS, and as many for each AREA pixels of larger images. The comparisons are chosen once, on drawn pictures: of many
+random ones those that vary most and say little that others say already, each held against its own median, so that a bit is
+as often set as not and few descriptors agree by chance. Descriptors are cut into PARTS parts; those that agree in any
+whole part and are at most NEAR bits apart are matches: any two that differ in up to PARTS - 1 bits meet, and others
+whose differences leave a part alone. Matches vote for the scale, turn and shift between two images. Where VOTES features agree,
+all descriptors of the two images are compared, and CONFIRM agreeing ones make a link; linked images are a group.
 
 Images are dealt into blocks of bounded bytes, and every two blocks are compared in one task, which so has all matches of two
 images together: lists are expanded in slices of about LIST matches, and only links leave it, as the number of an image's links and
@@ -14,18 +16,20 @@ the least image that it reaches. No list is cut, however long; work grows with t
 of the number of images.
 
 Pixels: PGM, PPM (binary), PNG (8 bit, grey or colour, not interlaced). Null, empty or other bytes: no features, linked with
-nothing, not even with each other. Images without corners: linked with equal ones. Null id: comes out alone. Repeated ids: one node. Empty table: empty result. Other
-columns are not looked at.
+nothing, not even with each other. Images without corners: linked with equal ones. Very large ones (over LARGEST pixels wide or
+high): thinned before corners are sought. Null id: comes out alone. Repeated ids: one node. Ties: corners of equal response by
+place; a group is named by its least id. Empty table: empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import itertools
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,23 +37,51 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import lean, mix, stage
+from sluice.llm.common import lean, stage
 from sluice.llm.components import components
 
-SCALES, CORNERS, AREA, BITS, RADIUS, TURNS, LIST, VOTES, BLOCK = (1.0, 0.75), 32, 72 * 72, 128, 7, 24, 1 << 21, 5, 16_000_000
-PARTS, SHARED = 6, 3
-#: The bits of each part, as two words of 64; the parts of each table; the first table of which descriptors agree, by the parts in which they do.
-_PARTS = np.array([[sum(1 << b - 64 * h for b in range(BITS * p // PARTS, BITS * (p + 1) // PARTS) if b // 64 == h) for h in range(2)] for p in range(PARTS)], np.uint64)
-_TABLES = list(itertools.combinations(range(PARTS), SHARED))
-_FIRST = np.array([next((t for t, parts in enumerate(_TABLES) if all(m >> p & 1 for p in parts)), -1) for m in range(1 << PARTS)], np.int8)
-_rng = np.random.default_rng(11)
-_PAIRS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 2, RADIUS - 2)
-_ANGLES = np.arange(TURNS) * 2 * np.pi / TURNS
-_TURNED = np.stack([np.rint(_PAIRS @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).astype(np.int64) for a in _ANGLES])
+SCALES, CORNERS, AREA, BITS, RADIUS, TURNS, LIST, VOTES, CONFIRM, BLOCK, BLOCKS = (1.0, 0.84, 0.7), 32, 72 * 72, 128, 7, 24, 1 << 21, 4, 8, 24_000_000, 4
+PARTS, NEAR, GRAIN, LARGEST = 4, 24, 4, 16_000
+#: Comparisons from which the descriptor's are chosen, drawn pictures on which, and the correlation from which on two say the same.
+TRIED, PICTURES, ALIKE = 1024, 100, 0.2
 _DISK = np.stack(np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]).reshape(2, -1)
 _DISK = _DISK[:, (_DISK**2).sum(0) <= RADIUS**2]
 
 
+@dataclass(frozen=True)
+class Tests:
+    """Pairs of points (turn, test, point, x and y) and the value of each above which its bit is set."""
+
+    points: np.ndarray
+    middle: np.ndarray
+
+
+@functools.cache
+def tests(seed: int = 11) -> Tests:
+    """The comparisons of descriptors. Made by whoever starts a search and sent to all workers, as another machine's rounding might choose others."""
+    rng = np.random.default_rng(seed)
+    pairs = np.clip(rng.normal(0, RADIUS / 2, (TRIED, 2, 2)), -RADIUS + 2, RADIUS - 2)
+    pairs = pairs[np.abs(pairs[:, 0] - pairs[:, 1]).max(1) > 2]
+    angles = np.arange(TURNS) * 2 * np.pi / TURNS
+    points = np.stack([np.rint(pairs @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).astype(np.int8) for a in angles])
+    values = np.concatenate([_values(*c, points) for _ in range(PICTURES) for c in corners_of(drawn(rng.normal(size=8)), CORNERS)])
+    middle = np.median(values, 0)
+    bits = (values > middle).astype(np.float64)
+    bits = (bits - bits.mean(0)) / (bits.std(0) + 1e-9)
+    alike, order = np.abs(bits.T @ bits / len(bits)), np.argsort(-values.std(0), kind="stable")
+    limit = ALIKE
+    while True:
+        chosen: list[int] = []
+        for k in order.tolist():
+            if len(chosen) < BITS and (not chosen or alike[k, chosen].max() < limit):
+                chosen.append(k)
+        if len(chosen) == BITS:
+            break
+        limit += 0.02
+    chosen = [k for p in range(PARTS) for k in chosen[p::PARTS]]  # parts of equal worth
+    return Tests(points[:, chosen], middle[chosen])
+
+
 def decode(data: bytes | None) -> np.ndarray | None:
     """Grey pixels (height x width, uint8), or None if the bytes are no image that is read here."""
     try:
@@ -130,10 +162,8 @@ def _resized(x: np.ndarray, scale: float) -> np.ndarray:
     return (1 - a) * ((1 - b) * x[np.ix_(i, j)] + b * x[np.ix_(i, j2)]) + a * ((1 - b) * x[np.ix_(i2, j)] + b * x[np.ix_(i2, j2)])
 
 
-def features(image: np.ndarray, corners: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places (x, y, log2 of the scale, turn) and descriptors (BITS / 32 words) of the corners of an image."""
-    corners = CORNERS * max(1, -(-image.size // AREA)) if corners is None else corners
-    where, what = [np.zeros((0, 4))], [np.zeros((0, BITS // 32), np.int64)]
+def corners_of(image: np.ndarray, corners: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
+    """(smoothed pixels, ys, xs, turns, contrasts, scale) of the corners at each scale."""
     for scale in SCALES:
         if int(min(image.shape) * scale) <= 2 * RADIUS + 3:
             continue
@@ -154,49 +184,51 @@ def features(image: np.ndarray, corners: int | None = None) -> tuple[np.ndarray,
         patch = patch - patch.mean(1, keepdims=True)
         angle = np.arctan2((patch * _DISK[0]).sum(1), (patch * _DISK[1]).sum(1))
         turn = np.rint(angle / (2 * np.pi / TURNS)).astype(int) % TURNS
-        at = _TURNED[turn]
-        one, two = (smooth[ys[:, None] + at[:, :, k, 1], xs[:, None] + at[:, :, k, 0]] for k in (0, 1))
-        bits = (one > two).reshape(len(ys), BITS // 32, 32)
-        where.append(np.column_stack([xs / scale, ys / scale, np.full(len(ys), -np.log2(scale)), turn]))
-        what.append((bits.astype(np.int64) << np.arange(32)).sum(2))
-    return np.concatenate(where), np.concatenate(what)
+        yield smooth, ys, xs, turn, patch.std(1) + 1e-6, scale
+
 
+def _values(smooth: np.ndarray, ys: np.ndarray, xs: np.ndarray, turn: np.ndarray, contrast: np.ndarray, scale: float, points: np.ndarray) -> np.ndarray:
+    """What each comparison measures at each corner, in units of its patch's contrast."""
+    at = points[turn].astype(np.int64)
+    one, two = (smooth[ys[:, None] + at[:, :, k, 1], xs[:, None] + at[:, :, k, 0]] for k in (0, 1))
+    return (one - two) / contrast[:, None]
 
-#: A feature: its descriptor, number, turn, scale (sixteenths of its log2) and place.
-_RECORD = np.dtype([("words", "<u4", BITS // 32), ("f", "<u4"), ("turn", "u1"), ("s", "i1"), ("x", "<f4"), ("y", "<f4")])
 
+#: A feature: its descriptor, turn, scale (sixteenths of its log2) and place (in GRAINs of a pixel).
+_RECORD = np.dtype([("words", "<u4", PARTS), ("turn", "u1"), ("s", "i1"), ("x", "<u2"), ("y", "<u2")])
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests, records = [], []
-        for value in batch.column(1):
-            image = decode(value.as_py())
-            digests.append(None if image is None else hashlib.blake2b(struct.pack("<II", *image.shape) + image.tobytes(), digest_size=16).digest())
-            places, words = features(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, BITS // 32), np.int64))
-            own = np.zeros(len(words), _RECORD)
-            own["words"], own["f"], own["turn"], own["s"] = words, np.arange(len(words)), places[:, 3], np.rint(places[:, 2] * 16)
-            own["x"], own["y"] = places[:, 0], places[:, 1]
-            records.append(own.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(records, pa.binary())], names=["media_id", "digest", "features"])
 
+def features(image: np.ndarray, by: Tests, corners: int | None = None) -> np.ndarray:
+    """Records of the corners of an image."""
+    corners = CORNERS * max(1, -(-image.size // AREA)) if corners is None else corners
+    thin = -(-max(image.shape) // LARGEST)  # of very large images every second, third.. pixel
+    out = [np.zeros(0, _RECORD)]
+    for smooth, ys, xs, turn, contrast, scale in corners_of(image[::thin, ::thin], corners):
+        own = np.zeros(len(ys), _RECORD)
+        own["words"] = np.packbits(_values(smooth, ys, xs, turn, contrast, scale, by.points) > by.middle, axis=1).view("<u4")
+        own["turn"], own["s"] = turn, np.rint(-np.log2(scale) * 16)
+        own["x"], own["y"] = np.rint(xs / scale * GRAIN), np.rint(ys / scale * GRAIN)
+        out.append(own)
+    return np.concatenate(out)
+
+
+def _described(by: Tests):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, records = [], []
+            for value in batch.column(1):
+                image = decode(value.as_py())
+                digests.append(None if image is None else hashlib.blake2b(struct.pack("<II", *image.shape) + image.tobytes(), digest_size=16).digest())
+                records.append(features(image, by).tobytes() if image is not None else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(records, pa.binary())], names=["media_id", "digest", "features"])
 
-def _table_keys(words: np.ndarray, t: int) -> np.ndarray:
-    """A hash of the parts of a table; few other descriptors have the same."""
-    mask = np.bitwise_or.reduce(_PARTS[list(_TABLES[t])])
-    return mix(mix(words[:, 0] & mask[0]) + (words[:, 1] & mask[1]))
+    return run
 
 
 def _meet(a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
-    """Whether descriptors agree in a table, and in none before it: each match counts once."""
+    """Whether descriptors that agree in part t are near, and agree in no part before it: each match counts once."""
     apart = a ^ b
-    agree = np.zeros(len(apart), np.int64)
-    for p, mask in enumerate(_PARTS):
-        same = np.ones(len(apart), bool)
-        for h in (0, 1):
-            if mask[h]:
-                same &= (apart[:, h] & mask[h]) == 0
-        agree |= same.astype(np.int64) << p
-    return _FIRST[agree] == t
+    return (np.bitwise_count(apart).sum(1, dtype=np.uint8) <= NEAR) & (apart[:, :t] != 0).all(1)
 
 
 class _Block:
@@ -206,7 +238,7 @@ class _Block:
         sizes = np.array([len(p) // _RECORD.itemsize for p in parts], np.int64)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.image = np.repeat(np.arange(len(parts)), sizes)
-        self.words = np.ascontiguousarray(self.features["words"]).view(np.uint64)
+        self.words = np.ascontiguousarray(self.features["words"])
 
 
 def _agreeing(x: _Block, y: _Block, fx: np.ndarray, fy: np.ndarray, code: np.ndarray, votes: int) -> np.ndarray:
@@ -214,16 +246,17 @@ def _agreeing(x: _Block, y: _Block, fx: np.ndarray, fy: np.ndarray, code: np.nda
     turned = (x.reps[x.image[fx]] > y.reps[y.image[fy]])[:, None]
     left, right = x.features[fx], y.features[fy]
     a, b = {}, {}
-    for k in ("f", "turn", "s", "x", "y"):
-        both = np.column_stack([left[k], right[k]]).astype(np.float64)
+    for k in ("turn", "s", "x", "y"):
+        both = np.column_stack([left[k], right[k]]).astype(np.float64) / (GRAIN if k in ("x", "y") else 1)
         a[k], b[k] = np.where(turned, both[:, ::-1], both).T
+    own = np.where(turned[:, 0], fy, fx)
     turn, zoom = (b["turn"] - a["turn"]) % TURNS, b["s"] - a["s"]
     angle, scale = turn * (2 * np.pi / TURNS), 2.0 ** (zoom / 16)
     dx = b["x"] - scale * (np.cos(angle) * a["x"] - np.sin(angle) * a["y"])
     dy = b["y"] - scale * (np.sin(angle) * a["x"] + np.cos(angle) * a["y"])
     out = []
     for g in (0.0, 0.5):
-        rows = np.column_stack([code, zoom, np.floor(turn / 2 + g), np.floor(dx / 8 + g), np.floor(dy / 8 + g), a["f"]]).astype(np.int64)
+        rows = np.column_stack([code, zoom, np.floor(turn / 2 + g), np.floor(dx / 8 + g), np.floor(dy / 8 + g), own]).astype(np.int64)
         rows = rows[np.lexsort(rows.T[::-1])]
         rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))]  # a feature votes once
         begin = np.flatnonzero(np.append(True, (rows[1:, :-1] != rows[:-1, :-1]).any(1)))
@@ -231,11 +264,29 @@ def _agreeing(x: _Block, y: _Block, fx: np.ndarray, fy: np.ndarray, code: np.nda
     return np.unique(np.concatenate(out))
 
 
+def _confirmed(x: _Block, y: _Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs of images have CONFIRM features that agree when all are compared."""
+    fx, fy, code = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out = [np.zeros(0, np.int64)]
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        apart = x.words[x.first[a] : x.first[a + 1], None] ^ y.words[None, y.first[b] : y.first[b + 1]]
+        p, q = np.nonzero(np.bitwise_count(apart).sum(2, dtype=np.uint8) <= NEAR)
+        fx.append(p + x.first[a])
+        fy.append(q + y.first[b])
+        code.append(np.full(len(p), k))
+        if k % 512 == 511 or k == len(i) - 1:
+            parts = [np.concatenate(v) for v in (fx, fy, code)]
+            if len(parts[0]):
+                out.append(_agreeing(x, y, *parts, CONFIRM))
+            fx, fy, code = [], [], []
+    return np.concatenate(out)
+
+
 def _linked(x: _Block, y: _Block, same: bool, votes: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the linked images of two blocks; each pair once."""
     lists, total = [], np.zeros(len(x.words) + 1, np.int64)
-    for t in range(len(_TABLES)):
-        mine, theirs = _table_keys(x.words, t), _table_keys(y.words, t)
+    for t in range(PARTS):
+        mine, theirs = x.words[:, t], y.words[:, t]
         order = np.argsort(theirs, kind="stable").astype(np.int32)
         theirs = theirs[order]
         lo = np.searchsorted(theirs, mine).astype(np.int32)
@@ -260,7 +311,11 @@ def _linked(x: _Block, y: _Block, same: bool, votes: int) -> tuple[np.ndarray, n
         code = (x.image[fx] - start) * width + y.image[fy]
         enough = np.bincount(code, minlength=1)[code] >= votes if len(code) else np.zeros(0, bool)
         if enough.any():
-            code = _agreeing(x, y, fx[enough], fy[enough], code[enough], votes)
+            fx, fy, code = fx[enough], fy[enough], code[enough]
+            sure = _agreeing(x, y, fx, fy, code, CONFIRM)
+            maybe = np.setdiff1d(_agreeing(x, y, fx, fy, code, votes), sure)
+            maybe = maybe[_confirmed(x, y, maybe // width + start, maybe % width)]
+            code = np.concatenate([sure, maybe])
             found.append(np.stack([code // width + start, code % width]))
         start = stop
     i, j = np.concatenate(found, 1)
@@ -299,12 +354,12 @@ def _compared(votes: int):
 def copies(media: DataFrame, id_col: str = "media_id", bytes_col: str = "bytes", votes: int = VOTES) -> DataFrame:
     """(media_id, n_features, n_links, component_id): links between classes of equal images, and the least id that each reaches."""
     plain = media.select(F.col(id_col).cast("long").alias("media_id"), F.col(bytes_col).alias("bytes"))
-    found = stage(plain.mapInArrow(lean(_described), "media_id long, digest binary, features binary"), "described")
+    found = stage(plain.mapInArrow(lean(_described(tests())), "media_id long, digest binary, features binary"), "described")
     reps = stage(found.where("digest IS NOT NULL AND media_id IS NOT NULL").groupBy("digest").agg(F.min("media_id").alias("rep")), "classes")
     # of each class the features of its first image
     chosen = found.join(reps.select("digest", F.col("rep").alias("media_id")), ["digest", "media_id"]).dropDuplicates(["digest", "media_id"])
     size = chosen.agg(F.sum(F.length("features"))).first()[0] or 0
-    blocks = size // BLOCK + 1
+    blocks = max(size // BLOCK + 1, BLOCKS)
     own = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("long")
     dealt = chosen.where(F.length("features") > 0).select(F.col("media_id").alias("rep"), "features").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))

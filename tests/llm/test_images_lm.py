@@ -78,18 +78,18 @@ def test_links_on_long_lists(spark, monkeypatch, n):
 
 
 def test_recall_against_brute_force():
-    """Of the copies that a comparison of all descriptors (24 of 128 bits apart at most) links, nearly all are found, and no others."""
+    """Of the copies that a comparison of all descriptors (NEAR bits apart at most) links, nearly all are found, and no others."""
     rng = np.random.default_rng(3)
     pictures = [im.drawn(rng.normal(size=8)) for _ in range(30)]
 
     def block(images, first):
-        records = [next(im._described(iter([pa.record_batch([pa.array([0]), pa.array([im.pgm(p)], pa.binary())], names=["id", "bytes"])])))["features"][0] for p in images]
+        records = [next(im._described(im.tests())(iter([pa.record_batch([pa.array([0]), pa.array([im.pgm(p)], pa.binary())], names=["id", "bytes"])])))["features"][0] for p in images]
         return im._Block(pa.table({"rep": pa.array(range(first, first + len(images)), pa.int64()), "features": pa.array(records, pa.binary())}))
 
     def brute(x, y, k):
         i, j = (np.arange(b.first[k], b.first[k + 1]) for b in (x, y))
-        a, b = np.nonzero(np.bitwise_count(x.words[i][:, None] ^ y.words[j][None]).sum(2) <= 24)
-        return len(a) > 0 and len(im._agreeing(x, y, i[a], j[b], np.zeros(len(a), np.int64), im.VOTES)) > 0
+        a, b = np.nonzero(np.bitwise_count(x.words[i][:, None] ^ y.words[j][None]).sum(2) <= im.NEAR)
+        return len(a) > 0 and len(im._agreeing(x, y, i[a], j[b], np.zeros(len(a), np.int64), im.CONFIRM)) > 0
 
     edits = [lambda p: np.clip(p + rng.integers(-10, 11, p.shape), 0, 255).astype(np.uint8), lambda p: p[10:60, 12:62], lambda p: p // 16 * 16 + 8]
     edits += [lambda p, s=s: np.rint(im._resized(p.astype(np.float64), s)).astype(np.uint8) for s in (0.75, 0.85, 1.3)]
@@ -105,8 +105,17 @@ def test_recall_against_brute_force():
 def test_corners_by_area():
     """A quarter of a large picture keeps as many corners as a picture of its own."""
     large = np.block([[im.drawn(np.arange(k, k + 8.0)) for k in (0, 9)], [im.drawn(np.arange(k, k + 8.0)) for k in (18, 27)]])
-    places, _ = im.features(large)
-    assert sum((x < 72) & (y < 72) for x, y, *_ in places) >= 20 and len(im.features(large[:72, :72])[0]) > 40 and len(places) > 160
+    places = im.features(large, im.tests())
+    assert ((places["x"] < 72 * im.GRAIN) & (places["y"] < 72 * im.GRAIN)).sum() >= 20 and len(im.features(large[:72, :72], im.tests())) > 40 and len(places) > 160
+
+
+def test_bits_are_balanced():
+    """On pictures that the tests were not chosen on, bits are as often set as not, and descriptors differ."""
+    rng = np.random.default_rng(99)
+    words = np.concatenate([im.features(im.drawn(rng.normal(size=8)), im.tests())["words"] for _ in range(40)])
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
+    a, b = (rng.integers(0, len(bits), 20_000) for _ in range(2))
+    assert np.abs(bits.mean(0) - 0.5).max() < 0.15 and ((bits[a] != bits[b]).sum(1) <= im.NEAR).mean() < 0.01
 
 
 def words(t):
