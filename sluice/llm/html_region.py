@@ -1,14 +1,19 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
 A page is read once, from left to right, as words and tags. Words score by where they stand (in an article, in plain body
-text, in a link, in a part that pages use for other things), tags by their name; the weights are log odds of lying inside the
-content, counted on labelled pages, words of content at least +MIN, tags at most -MIN. One linear scan finds the contiguous
-region with the best sum. Of it, parts that are no content (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments, by element, role or class) are left out.
+text, in a link), tags by their name; the weights are log odds of lying inside the content, counted on labelled pages, words
+of content at least +MIN, tags at most -MIN, and tags without a word between them together no less than -GAP. Parts that are
+no content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are out of the
+sequence: by element, or where the words of an element's class, id and role weigh against it; these weights are log odds as
+well, of words by whether they come last, counted on labelled names. One linear scan finds the contiguous region with the
+best sum. Text is then taken whole by element: all of the innermost element that holds the region, or where that is the
+page itself, of those of its children that the region touches; only blocks of links beyond the region are left out, so that no gap in an
+article cuts text off. Where names alone leave a page without text, it is read again without regard to names.
 
 Character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined by one space.
-Null or empty html: empty text. Unclosed tags, quotes and comments end with their parent or the page. Null id, repeated
-rows: each comes out. Empty table: empty result. Other columns are not looked at.
+Null or empty html: empty text. Unclosed tags, quotes and comments end with their parent or the page. Ties between regions:
+the first. Very long pages: one pass, whatever the length. Null id, repeated rows: each comes out. Empty table: empty result.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +38,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MAIN = {"article", "main"}
 OTHER = {"head", "nav", "header", "footer", "aside", "form", "noscript", "template", "button", "select", "dialog", "menu", "svg", "canvas", "object", "audio", "video"}
-#: Words of class, id and role values that mark parts that are no content, and those that mark content.
-OTHER_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "login", "share", "social", "related", "recommended", "comment", "comments", "disqus", "widget", "contentinfo", "search", "complementary", "skip"}
-#: Places whose words are left out: parts that are no content, beside an article and within it.
-DROPPED = ("other", "inset")
-MAIN_WORDS = {"article", "content", "post", "entry", "story", "main"}
+#: Words of class, id and role values in the labelled names: of parts that are no content, of those that may also be what a page is about, and of content.
+PART_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "sidebar", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "popup", "modal", "signup", "comment", "comments", "disqus", "widget", "contentinfo", "complementary"}
+TOPIC_WORDS = {"sponsor", "promo", "banner", "menu", "header", "cookie", "cookies", "consent", "notice", "newsletter", "subscribe", "login", "share", "social", "related", "recommended", "search", "skip"}
+MAIN_WORDS = {"article", "content", "post", "entry", "story", "main", "text", "body", "prose"}
+#: Place of words that are left out.
+DROPPED = "other"
+#: The least that tags without a word between them add to the sum.
+GAP = 2.0
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _CUT = re.compile(r"[^a-z0-9]+")
@@ -99,44 +108,106 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _marks(attributes: str) -> set[str]:
-    return {w for m in _MARKS.finditer(attributes) for w in _CUT.split(m[1].lower()) if w} if "=" in attributes else set()
+    """The words of class, id and role, and those that end a name, marked."""
+    out: set[str] = set()
+    if "=" in attributes:
+        for m in _MARKS.finditer(attributes):
+            for name in m[1].lower().strip("\"'").split():
+                if words := [w for w in _CUT.split(name) if w]:
+                    out.update(words)
+                    out.add(f"{words[-1]}.")
+    return out
+
+
+@dataclass
+class Part:
+    """A token: text or tag, where it stands (by its innermost marked element), whether it ends a block, and the number of its element."""
+
+    kind: str
+    value: str
+    place: str
+    breaks: bool
+    element: int
 
 
-def parts(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(kind, name or text, place, breaks) of each token; place: where it stands, as its innermost marked element says; breaks: it ends a block."""
-    stack: list[tuple[str, str]] = []
+def parts(page: str, names: dict[str, float] | None = None) -> tuple[list[Part], list[int]]:
+    """The tokens of a page, and the parent of each element; element 0 is the page."""
+    names = {} if names is None else names
+    stack: list[tuple[str, str, int]] = []
     opened: Counter[str] = Counter()
+    out, parents = [], [-1]
     for kind, value, attributes in tokens(page):
-        place = stack[-1][1] if stack else "body"
+        place, element = stack[-1][1:] if stack else ("body", 0)
         if kind == "text":
-            yield kind, value, place, False
+            out.append(Part(kind, value, place, False, element))
             continue
         if kind == "open":
             if value in MAIN or value == "body":  # what was left open before the article does not hold it
-                while stack and stack[-1][1] in (*DROPPED, "link"):
+                while stack and stack[-1][1] in (DROPPED, "link"):
                     opened[stack.pop()[0]] -= 1
-                place = stack[-1][1] if stack else "body"
+                place, element = stack[-1][1:] if stack else ("body", 0)
             if value not in VOID:
-                words = _marks(attributes) if place not in DROPPED else set()
-                if place in DROPPED or value in OTHER or (words & OTHER_WORDS and value not in MAIN and value not in ("body", "html")):
-                    inner = "inset" if place in ("main", "inset") else "other"
-                elif value in MAIN or words & MAIN_WORDS:
+                weight = sum(names.get(w, 0.0) for w in _marks(attributes)) if place != DROPPED and value not in ("body", "html") else 0.0
+                if place == DROPPED or value in OTHER or (weight < 0 and value not in MAIN):
+                    inner = DROPPED
+                elif value in MAIN or weight > 0:
                     inner = "main"
                 else:
                     inner = "link" if value == "a" and place == "body" else place
-                stack.append((value, inner))
+                if value not in ("html", "body"):
+                    parents.append(element)
+                    element = len(parents) - 1
+                stack.append((value, inner, element))
                 opened[value] += 1
         elif opened[value] > 0:
             while True:
-                name, _ = stack.pop()
+                name, *_ = stack.pop()
                 opened[name] -= 1
                 if name == value:
                     break
-        yield kind, value, place, value not in INLINE
+        out.append(Part(kind, value, place, value not in INLINE, element))
+    return out, parents
+
+
+def labelled_names(n: int = 4000, seed: int = 4) -> list[tuple[str, bool]]:
+    """The shipped labelled names, made by rule: (attributes, whether their element is content)."""
+    rng = np.random.default_rng(seed)
+    part, topic, main = sorted(PART_WORDS), sorted(TOPIC_WORDS), sorted(MAIN_WORDS)
+
+    def any_of(words: list[str]) -> str:
+        return words[int(rng.integers(0, len(words)))]
+
+    def other() -> str:
+        return "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 8)))
+
+    kinds = [  # words of a name, and whether it is content's
+        (lambda: [any_of(part)], False), (lambda: [any_of(topic)], False), (lambda: [other(), any_of(part)], False), (lambda: [other(), any_of(topic)], False), (lambda: [any_of(part), other()], False), (lambda: [any_of(topic), other()], False),
+        (lambda: [any_of(main), any_of(part)], False), (lambda: [any_of(main), any_of(topic)], False), (lambda: [any_of(part), any_of(main)], False), (lambda: [any_of(topic), any_of(part)], False),
+        (lambda: [any_of(main)], True), (lambda: [any_of(main)], True), (lambda: [other(), any_of(main)], True), (lambda: [any_of(main), other()], True), (lambda: [any_of(topic), other(), any_of(main)], True), (lambda: [any_of(topic), any_of(main)], True), (lambda: [any_of(main), any_of(main)], True),
+    ]
+    out = []
+    for _ in range(n):
+        words, content = kinds[int(rng.integers(0, len(kinds)))]
+        out.append((f'{["class", "id"][int(rng.integers(0, 2))]}="{"-".join(words())}"', content))
+    return out
+
+
+def weigh_names(rows: list[tuple[str, bool]] | None = None, steps: int = 400) -> dict[str, float]:
+    """Weights of the words of names, of those that are known from several: a logistic model without a constant, so that a name of unknown words weighs nothing."""
+    rows = labelled_names() if rows is None else rows
+    marks = [_marks(a) for a, _ in rows]
+    seen = Counter(w for m in marks for w in m)
+    index = {w: i for i, w in enumerate(sorted(w for w, c in seen.items() if c >= 5))}
+    at = np.array([(r, index[w]) for r, m in enumerate(marks) for w in sorted(m) if w in index], np.int64).reshape(-1, 2)
+    y, weights = np.array([c for _, c in rows], np.float64), np.zeros(len(index))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.bincount(at[:, 0], weights[at[:, 1]], len(rows))))
+        weights += 20 * (np.bincount(at[:, 1], (y - p)[at[:, 0]], len(index)) / len(rows) - 1e-4 * weights)
+    return {w: float(weights[i]) for w, i in index.items()}
 
 
 def labelled(n: int = 200, seed: int = 3) -> list[tuple[str, list[bool]]]:
-    """The shipped labelled pages, made by rule in several layouts: (html, for each of its parts whether it is content)."""
+    """The shipped labelled pages, made by rule in several layouts: (html, for each of its tokens whether it is content)."""
     rng = np.random.default_rng(seed)
 
     def prose(least: int, most: int) -> str:
@@ -156,8 +227,8 @@ def labelled(n: int = 200, seed: int = 3) -> list[tuple[str, list[bool]]]:
         head = f"<html><head><title>{prose(3, 8)}</title><style>p{{}}</style></head><body>" + "".join(before[k] for k in rng.permutation(5)[: rng.integers(1, 5)])
         tail = "".join(after[k] for k in rng.permutation(5)[: rng.integers(1, 5)]) + "</body></html>"
         page = f"{head}<{holder}>{body}</{holder.split()[0]}>{tail}"
-        first, last = len(list(parts(f"{head}<{holder}>"))), len(list(parts(f"{head}<{holder}>{body}")))
-        out.append((page, [first <= i < last for i in range(len(list(parts(page))))]))
+        first, last = len(list(tokens(f"{head}<{holder}>"))), len(list(tokens(f"{head}<{holder}>{body}")))
+        out.append((page, [first <= i < last for i in range(len(list(tokens(page))))]))
     return out
 
 
@@ -165,48 +236,96 @@ def _class_of(kind: str, value: str, place: str) -> str:
     return f"word {place}" if kind == "text" else f"tag {value}"
 
 
-def weigh(pages: list[tuple[str, list[bool]]] | None = None) -> dict[str, float]:
-    """Weights of words by place and of tags by name: log odds of content, from labelled pages."""
+@dataclass
+class Weights:
+    """Of words by place and tags by name, and of the words of names."""
+
+    tokens: dict[str, float]
+    names: dict[str, float]
+
+
+def weigh(pages: list[tuple[str, list[bool]]] | None = None, names: list[tuple[str, bool]] | None = None) -> Weights:
+    """Log odds of content, from labelled pages and names."""
+    of_names = weigh_names(names)
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
     for page, content in labelled() if pages is None else pages:
-        for (kind, value, place, _), c in zip(parts(page), content, strict=True):
-            (inside if c else outside)[_class_of(kind, value, place)] += len(value.split()) if kind == "text" else 1
+        for p, c in zip(parts(page, of_names)[0], content, strict=True):
+            if p.place != DROPPED:
+                (inside if c else outside)[_class_of(p.kind, p.value, p.place)] += len(p.value.split()) if p.kind == "text" else 1
     out = {}
     for k in inside.keys() | outside.keys():
         odds = math.log((inside[k] + 0.5) / (outside[k] + 0.5))
-        # no single word or tag weighs so much that it alone cuts a region in two
-        out[k] = max(min(odds, -MIN), -1.0) if k.startswith("tag") or k.endswith(DROPPED) else odds if k.endswith(" link") else max(odds, MIN)
-    return out
+        # no single tag weighs so much that it alone cuts a region in two
+        out[k] = max(min(odds, -MIN), -1.0) if k.startswith("tag") else odds if k.endswith(" link") else max(odds, MIN)
+    return Weights(out, of_names)
 
 
-def main_text(page: str, weights: dict[str, float]) -> str:
-    """The text of the best region."""
-    found = list(parts(page))
-    best = total = 0.0
+def _region(found: list[Part], weights: dict[str, float]) -> tuple[int, int]:
+    """The best contiguous run of tokens, first and last + 1."""
+    best = total = gap = 0.0
     start = first = last = 0
-    for i, (kind, value, place, _) in enumerate(found):
-        w = weights.get(_class_of(kind, value, place), -0.1 if kind != "text" else -MIN if place in DROPPED else MIN)
-        gain = w * len(value.split()) if kind == "text" else w
+    for i, p in enumerate(found):
+        if p.place == DROPPED:
+            continue
+        w = weights.get(_class_of(p.kind, p.value, p.place), -0.1 if p.kind != "text" else MIN)
+        words = len(p.value.split()) if p.kind == "text" else 0
+        if words:
+            gain, gap = w * words, 0.0
+        elif p.kind == "text":
+            continue
+        else:
+            gain = max(w, -GAP - gap)
+            gap += gain
         if total <= 0:
             total, start = 0.0, i
         total += gain
         if total > best:
             best, first, last = total, start, i + 1
-    blocks: list[str] = []
+    return first, last
+
+
+def _blocks(found: list[Part], parents: list[int], first: int, last: int) -> Iterator[str]:
+    """The blocks of text of the elements that the region lies in."""
+    holders = {p.element for p in found[first:last] if p.kind == "text" and p.place != DROPPED and p.value.strip()}
+    if not holders:
+        return
+    under = [int(e in holders) for e in range(len(parents))]
+    for e in range(len(parents) - 1, 0, -1):
+        under[parents[e]] += under[e]
+    common = max(e for e in range(len(parents)) if under[e] == len(holders))
+    # the common element, or of the page those of its children (and text of its own) that the region touches
+    whole = {common} if common else {e for e in range(1, len(parents)) if parents[e] == 0 and under[e]}
+    inside = [False] * len(parents)
+    for e in range(1, len(parents)):
+        inside[e] = e in whole or inside[parents[e]]
     now: list[str] = []
-    for kind, value, place, breaks in found[first:last]:
-        if kind == "text":
-            if place not in DROPPED:
-                now.append(html.unescape(value))
-        elif breaks:
-            blocks.append("".join(now))
-            now = []
-    blocks.append("".join(now))
-    return " ".join(t for b in blocks if (t := " ".join(b.split())))
+    near = links = False
+    for i, p in enumerate(found):
+        if p.kind == "text":
+            if p.place != DROPPED and (first <= i < last or inside[p.element]):
+                now.append(html.unescape(p.value))
+                if p.value.strip():
+                    near, links = near or first <= i < last or p.place != "link", True
+        elif p.breaks:
+            if now and (near or not links):
+                yield "".join(now)
+            now, near, links = [], False, False
+    if now and (near or not links):
+        yield "".join(now)
+
+
+def main_text(page: str, weights: Weights) -> str:
+    """The text of the best region and of what belongs to it."""
+    for names in (weights.names, {}):
+        found, parents = parts(page, names)
+        out = " ".join(t for b in _blocks(found, parents, *_region(found, weights.tokens)) if (t := " ".join(b.split())))
+        if out:
+            return out
+    return ""
 
 
-def extract(pages: DataFrame, weights: dict[str, float] | None = None, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+def extract(pages: DataFrame, weights: Weights | None = None, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns, text and n_chars for every row of pages."""
     weights = weigh() if weights is None else weights
 

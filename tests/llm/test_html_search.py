@@ -3,6 +3,8 @@ import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sluice.llm import ball_tree, html_region
@@ -28,14 +30,64 @@ def test_pages(weights, page, text):
 
 
 def test_weights(weights):
-    assert weights["word main"] > 0 > weights["word other"] and all(w < 0 for k, w in weights.items() if k.startswith("tag"))
+    assert weights.tokens["word main"] > 0 > weights.tokens["word link"] and all(w < 0 for k, w in weights.tokens.items() if k.startswith("tag"))
+
+
+def said(n, letter="w"):
+    return " ".join(f"{letter}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("page,text", [
+    (f'<nav><a>m</a></nav><div id="search-engines-story"><p>{said(50)}</p></div><div id="search-box">find</div>', said(50)),
+    (f'<div>{said(30)}<div class="ad">{said(400, "a")}</div>{said(200, "z")}</div>', f'{said(30)} {said(200, "z")}'),
+    (f'<article>{said(30)}<ul>{"<li></li>" * 40}</ul>{said(200, "z")}</article>', f'{said(30)} {said(200, "z")}'),
+    (f'<article><h1>T</h1>{"<div><span></span></div>" * 300}<p>{said(5)}</p>{"<br>" * 900}<p><a href="#">end</a> of it</p></article>', f"T {said(5)} end of it"),
+    (f'<div class="post-comments">{said(30)}</div><div class="post">{said(40, "z")}</div><div class="article-footer">f</div>', said(40, "z")),
+    (f'<div class="sidebar-wide"><p>{said(30)}</p></div>', said(30)),
+    (f'<div class="header-story"><p>{said(9)}</p></div><div class="x"><ul><li><a href="/">one two</a></li></ul></div>', said(9)),
+])
+def test_articles_stay_whole(weights, page, text):
+    assert html_region.main_text(page, weights) == text
+
+
+def test_names(weights):
+    def weight(name):
+        return sum(weights.names.get(w, 0) for w in html_region._marks(f' class="{name}"'))
+
+    assert all(weight(n) < 0 for n in ("ad", "top-ad", "comments", "post-comments", "article-footer", "site-nav", "related", "cookie-notice", "search-box"))
+    assert all(weight(n) > 0 for n in ("post", "article-body", "entry-content", "search-engines-story", "my-main"))
+    assert weight("anything") == weight("col-md-8") == 0
+    held = html_region.labelled_names(1000, seed=123)
+    assert np.mean([(sum(weights.names.get(w, 0) for w in html_region._marks(a)) > 0) == c for a, c in held]) > 0.9
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<a>", "</a>", "<ul>", "<li>", "one ", "two three ", " ", "<nav>x</nav>", "<div>", "</div>", "<article>", "</article>", "<br>"]), max_size=14))
+def test_scan_against_all_runs(weights, pieces):
+    """The region's sum is the best of all contiguous runs."""
+    found, _ = html_region.parts("".join(pieces), weights.names)
+    gains, gap = [], 0.0
+    for p in found:
+        n = len(p.value.split()) if p.kind == "text" else 0
+        w = weights.tokens.get(html_region._class_of(p.kind, p.value, p.place), -0.1 if p.kind != "text" else html_region.MIN)
+        if p.place == html_region.DROPPED or (p.kind == "text" and not n):
+            gains.append(0.0)
+        elif n:
+            gains.append(w * n)
+            gap = 0.0
+        else:
+            gains.append(max(w, -html_region.GAP - gap))
+            gap += gains[-1]
+    first, last = html_region._region(found, weights.tokens)
+    best = max((sum(gains[i:j]) for i in range(len(gains)) for j in range(i + 1, len(gains) + 1)), default=0.0)
+    assert sum(gains[first:last]) == pytest.approx(max(best, 0.0))
 
 
 def test_held_out_pages(weights):
     """Word by word, on pages of layouts it was not fitted to page by page."""
     hit = missed = extra = 0
     for page, content in html_region.labelled(60, seed=41):
-        truth = " ".join(v for (k, v, place, _), c in zip(html_region.parts(page), content, strict=True) if c and k == "text" and place not in html_region.DROPPED)
+        truth = " ".join(p.value for p, c in zip(html_region.parts(page, weights.names)[0], content, strict=True) if c and p.kind == "text" and p.place != html_region.DROPPED)
         want, got = html.unescape(truth).split(), html_region.main_text(page, weights).split()
         both = len(set(want) & set(got))
         hit, missed, extra = hit + both, missed + len(set(want)) - both, extra + len(set(got)) - both
@@ -44,7 +96,7 @@ def test_held_out_pages(weights):
 
 def test_odd_pages_are_linear(weights):
     began = time.time()
-    for page in ('<a "' * 50_000, "<div class='x" * 50_000 + ">", "</b>" * 50_000, "<p>" * 50_000 + "x", "<!--" * 50_000, "<" * 100_000, "<script>" * 20_000):
+    for page in ('<a "' * 50_000, "<div class='x" * 50_000 + ">", "</b>" * 50_000, "<p>" * 50_000 + "x", "<!--" * 50_000, "<" * 100_000, "<script>" * 20_000, "<div>x" * 50_000, "<div>x</div>" * 50_000):
         html_region.main_text(page, weights)
     assert time.time() - began < 30
 
