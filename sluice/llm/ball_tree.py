@@ -1,11 +1,12 @@
 """Exact top-k search by inner product: ball trees per shard, branch and bound.
 
 Vectors are turned into integers, floor(scale * x). Rows are dealt into shards of about SHARD vectors by a hash of the id, so
-that no common vector fills a shard, and queries into blocks; each (shard, block) is one task's work. A shard's tree halves
-its vectors along the line between two far ones; a node is a centre and a radius. For a block of queries the nodes are
-visited in the order of their upper bound, query . centre + |query| * radius, and left out for the queries whose kth best
-score is above it. That score begins as the kth best among SEEDS vectors that all tasks know, and is shared by
-all nodes of a walk. A bound equal to the kth score is not left out, as a smaller id wins a tie.
+that no common vector fills a shard. A shard's tree halves its vectors along the line between two far ones; a node is a
+centre and a radius. The tree is built once, by the task that has the shard, which then takes the queries as they stream in,
+a block at a time. Nodes are visited in the order of their upper bound, query . centre + |query| * radius, and left out for
+the queries whose kth best score is above it. That score begins as the kth best among SEEDS vectors that all tasks know, is
+shared by all nodes of a walk, and is carried on: one shard in FIRST answers all queries before the others begin. A bound
+equal to the kth score is not left out, as a smaller id wins a tie. Vectors are shuffled once; each query goes to each shard.
 
 Vectors that are null, or hold null or non-finite components, take no part; vectors of another length are scored only against
 their like. Rows that repeat an id count once each as candidates, but not as candidates of that id. Fewer candidates than k: all of them. Empty
@@ -14,15 +15,18 @@ table: empty result. Other columns are not looked at. Scores must fit a long.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import stage
+from sluice.llm.common import lean, stage
 
-K, EVERY, SCALE, SHARD, BLOCK, LEAF, SEEDS = 5, 50, 256, 8192, 1024, 128, 512
+K, EVERY, SCALE, SHARD, BLOCK, LEAF, SEEDS, FIRST = 5, 50, 256, 8192, 256, 128, 512, 8
 _NONE = -(1 << 62)
 
 
@@ -94,9 +98,9 @@ class Tree:
             return at + norm[rows] * radius + np.abs(at) * 1e-9 + 1e-6
 
         every = np.arange(len(queries))
-        work = [(0, every, bound(0, every))]
+        work = [(0.0, 0, every, bound(0, every))]
         while work:
-            node, rows, most = work.pop()
+            _, node, rows, most = heapq.heappop(work)
             rows = rows[most >= floor[rows]]
             if not len(rows):
                 continue
@@ -110,53 +114,77 @@ class Tree:
                 best[rows], who[rows] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
                 floor[rows] = np.maximum(floor[rows], best[rows, k - 1].astype(np.float64))
                 continue
-            one, two = bound(left, rows), bound(right, rows)
-            # the child that promises more to these queries is taken first
-            pair = [(left, rows, one), (right, rows, two)]
-            work += pair if two.sum() > one.sum() else pair[::-1]
+            for child in (left, right):
+                promise = bound(child, rows)
+                heapq.heappush(work, (-float(promise.max()), child, rows, promise))
         return who, best
 
 
+def _walks(k: int, block: int, known):
+    """Over rows (dim, shard, asked, vec_id, floor, v) sorted so that a shard's vectors come before its queries: each query's best there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, tree = None, [], None
+
+        def answers(ids: np.ndarray, q: np.ndarray, floor: np.ndarray, dim: int) -> pa.RecordBatch:
+            seed_ids, seed = known.value.get(dim, (np.zeros(0, np.int64), np.zeros((0, q.shape[1]), np.int64)))
+            scores = _exact(q, seed).astype(np.float64)
+            scores[seed_ids[None, :] == ids[:, None]] = -np.inf
+            if scores.shape[1] > k:
+                floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+            who, best = tree.search(ids, q, floor, k)
+            i, j = np.nonzero((best > _NONE) & (best >= floor[:, None]))
+            return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(who[i, j]), pa.array(best[i, j])], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            dims, shards, asked = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in range(3))
+            cuts = np.flatnonzero((dims[1:] != dims[:-1]) | (shards[1:] != shards[:-1]) | (asked[1:] != asked[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(dims)], strict=True):
+                if a == b:
+                    continue
+                if (now := (int(dims[a]), int(shards[a]))) != shard:
+                    shard, parts, tree = now, [], None
+                part = batch.slice(a, b - a)
+                ids, matrix = part.column(3).to_numpy(zero_copy_only=False), _matrix(part.column(5))
+                if not asked[a]:
+                    parts.append((ids, matrix))
+                    continue
+                if tree is None:
+                    tree = Tree(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else Tree(ids[:0], matrix[:0])
+                    parts = []
+                floor = part.column(4).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                floor = np.where(np.abs(floor) < 2.0**53, floor, np.nextafter(floor, -np.inf))  # not above the score that it stands for
+                for i in range(0, len(ids), block):
+                    yield answers(ids[i : i + block], matrix[i : i + block], floor[i : i + block], now[0])
+
+    return run
+
+
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, scale: int = SCALE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every` its k best others."""
     rows = stage(integers(vectors, id_col, vector_col, scale), "vectors")
     queries = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
-    shape = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum((F.pmod(F.col("vec_id"), F.lit(every)) == 0).cast("long")).alias("q")).collect()}
-    shards = max([-(-n // shard) for n, _ in shape.values()], default=1)
-    blocks = max([-(-q // block) for _, q in shape.values()], default=1)
+    sizes = dict(rows.groupBy("dim").count().collect())  # a row for each length of vectors
+    shards = max([-(-n // shard) for n in sizes.values()], default=1)
     seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for dim in list(shape)[:8]:  # without seeds the walks begin without a score, and are as exact
+    for dim in sorted(sizes, key=sizes.get)[-8:]:  # without seeds the walks begin without a score, and are as exact
         norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
         top = rows.where(F.col("dim") == dim).withColumn("norm", norm).orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
         seeds[dim] = np.array(top["vec_id"], np.int64), _matrix(top["v"])
     known = rows.sparkSession.sparkContext.broadcast(seeds)
-    cell = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    left = rows.withColumn("shard", cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(False))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("query", F.lit(True))
-    columns = ["dim", "shard", "block", "query", "vec_id", "v"]
-
-    def walk(key: tuple, table: pa.Table) -> pa.Table:
-        asked = np.array(table["query"].combine_chunks().to_numpy(zero_copy_only=False), bool)
-        ids, matrix = np.array(table["vec_id"], np.int64), _matrix(table["v"])
-        qids, q = ids[asked], matrix[asked]
-        out = []
-        if len(qids) and (~asked).any():
-            seed_ids, seed = known.value.get(int(key[0].as_py()), (np.zeros(0, np.int64), np.zeros((0, q.shape[1]), np.int64)))
-            floor = np.full(len(qids), -np.inf)
-            scores = _exact(q, seed).astype(np.float64)
-            scores[seed_ids[None, :] == qids[:, None]] = -np.inf
-            if scores.shape[1] > k:
-                floor = np.partition(scores, -k, axis=1)[:, -k]
-            who, best = Tree(ids[~asked], matrix[~asked]).search(qids, q, floor, k)
-            i, j = np.indices(who.shape).reshape(2, -1)
-            keep = best[i, j] > _NONE
-            out = [qids[i[keep]], who[i, j][keep], best[i, j][keep]]
-        else:
-            out = [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out), strict=True)))
-
-    found = left.select(columns).union(right.select(columns)).groupBy("dim", "shard", "block").applyInArrow(walk, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
 
+    def answered(low: int, high: int, asked: DataFrame) -> DataFrame:
+        """The best of each query in the shards from low to high - 1."""
+        left = placed.where(F.col("shard").between(low, high - 1)).select("dim", "shard", F.lit(False).alias("asked"), "vec_id", F.lit(None).cast("long").alias("floor"), "v")
+        right = asked.select("dim", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))).alias("shard"), F.lit(True).alias("asked"), "vec_id", "floor", "v")
+        dealt = left.union(right).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "asked")
+        return dealt.mapInArrow(lean(_walks(k, block, known)), "query_id long, vec_id long, score long")
 
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    first = -(-shards // FIRST)
+    found = stage(answered(0, first, queries.withColumn("floor", F.lit(None).cast("long"))), "found")
+    if first < shards:
+        kth = found.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        found = found.union(answered(first, shards, queries.join(kth, "vec_id", "left")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
