@@ -74,9 +74,9 @@ def lookup_unwound(df: DataFrame, s: S.Lookup, foreign: DataFrame) -> DataFrame:
         return unwind(lookup(df, s, foreign), S.Unwind(s.name))
     mine, theirs = key_pair(col(s.local), _kind(df, s.local), col(s.foreign), _kind(foreign, s.foreign))
     kept = [c for c in df.columns if c not in foreign.columns and c != s.name]
-    left = df.withColumn("__l", mine).select("__l", *[col(c) for c in kept])
-    right = foreign.withColumn("__k", theirs)
-    return left.join(right, F.col("__l").eqNullSafe(F.col("__k"))).select(*[col(c) for c in kept], *[right[f"`{c}`"] for c in foreign.columns])
+    left = df.withColumn("__l", mine).select("__l", *[col(c) for c in kept]).alias("l")
+    right = foreign.withColumn("__k", theirs).alias("r")
+    return left.join(right, F.col("l.__l").eqNullSafe(F.col("r.__k"))).select(*[F.col(f"l.`{c}`") for c in kept], *[F.col(f"r.`{c}`") for c in foreign.columns])
 
 
 def unwind(df: DataFrame, s: S.Unwind) -> DataFrame:

@@ -73,6 +73,15 @@ def semi(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     return df.join(right, on, "left_semi")
 
 
+def _matching(foreign: DataFrame, s: S.Lookup, rows: DataFrame) -> DataFrame:
+    """The foreign rows whose keys are among those of rows: no others are gathered into arrays."""
+    if s.local not in rows.columns or s.foreign not in foreign.columns:
+        return foreign
+    mine, theirs = key_pair(col(s.local), rows.schema[s.local].dataType, col(s.foreign), foreign.schema[s.foreign].dataType)
+    keys = rows.select(mine.alias("__v")).distinct()
+    return foreign.withColumn("__l", theirs).join(keys, F.col("__l").eqNullSafe(F.col("__v")), "left_semi").drop("__l")
+
+
 def _typed(value: Column, a: T.DataType, other: T.DataType) -> Column:
     return key_pair(value, a, value, other)[0]
 
@@ -87,8 +96,10 @@ def affected(stages: tuple[S.Stage, ...], source: Name, tables: Tables, identity
         old, new = primary.before, primary.after
     else:
         old, new = old_all.limit(0), new_all.limit(0)
-    touched = primary is not None
+    touched, skip = primary is not None, -1
     for i, s in enumerate(stages):
+        if i == skip:  # an $unwind that went with the $lookup before it
+            continue
         if isinstance(s, S.Lookup) and needs[i + 1].has(s.name):
             change = tables.change(s.schema, s.table)
             if change is not None and s.local in old_all.columns and s.foreign in change.before.columns:
@@ -104,8 +115,13 @@ def affected(stages: tuple[S.Stage, ...], source: Name, tables: Tables, identity
                     return df.withColumn("__l", _typed(col(local), mine, kind)).join(values, F.col("__l").eqNullSafe(F.col("__v")), "left_semi").drop("__l")
 
                 old, new = old.unionByName(tied(old_all), allowMissingColumns=True), new.unionByName(tied(new_all), allowMissingColumns=True)
-            old, new = R.lookup(old, s, tables.old(s.schema, s.table)), R.lookup(new, s, tables.new(s.schema, s.table))
-            old_all, new_all = R.lookup(old_all, s, tables.old(s.schema, s.table)), R.lookup(new_all, s, tables.new(s.schema, s.table))
+            theirs = tables.old(s.schema, s.table), tables.new(s.schema, s.table)
+            if i + 1 < len(stages) and stages[i + 1] == S.Unwind(s.name):  # one inner join, no arrays
+                skip = i + 1
+                old, new, old_all, new_all = (R.lookup_unwound(x, s, f) for x, f in zip((old, new, old_all, new_all), theirs * 2, strict=True))
+            else:
+                old, new = (R.lookup(x, s, _matching(f, s, x)) for x, f in zip((old, new), theirs, strict=True))
+                old_all, new_all = R.lookup(old_all, s, theirs[0]), R.lookup(new_all, s, theirs[1])
         elif isinstance(s, S.Lookup):
             pass  # its array is dropped unread
         elif isinstance(s, S.Union):

@@ -50,11 +50,11 @@ def last_images(log: DataFrame, schema: T.StructType, keys: list[str]) -> DataFr
     return best.select(*[F.col("x.row")[f.name].alias(f.name) for f in schema.fields], F.col("x.op").alias("__op"))
 
 
-def net_change(base: DataFrame, log: DataFrame, keys: list[str]):
-    """What the log changes in the base: by what a key's row was and is, whatever the labels say."""
+def net_change(base: DataFrame, log: DataFrame, keys: list[str], last: DataFrame | None = None):
+    """What the log changes in the base: by what a key's row was and is, whatever the labels say. last: its last images, if they are there."""
     from sluice.plans.affect import Change
 
-    last = last_images(log, base.schema, keys)
+    last = last_images(log, base.schema, keys) if last is None else last
     before = base.join(last.select(*[col(k) for k in keys]), list(keys), "left_semi")
     after = last.where("__op != 'delete'").drop("__op")
     return Change(before, after, tuple(keys))
