@@ -49,6 +49,7 @@ class Tables:
             return {(s, t.upper()): v for (s, t), v in d.items()}
 
         self.old_rows, self.new_rows, self.changes, self.schema = fold(old), fold(new), fold(changes), schema
+        self.buckets: dict[str, list[int]] = {}  # of each base's store, those that the changes touch
 
     def name(self, schema: str | None, table: str) -> Name:
         return (schema or self.schema, table.upper())

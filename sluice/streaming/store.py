@@ -241,13 +241,14 @@ class Transaction:
         d = self.manifest["datasets"][name]
         return [r[0] for r in keys.select(bucket_of(d["keys"], d["bucket_count"]).alias("b")).distinct().collect()]
 
-    def patch(self, name: str, gone: DataFrame, upserts: DataFrame) -> None:
-        """Rows with a key of gone or of upserts leave, upserts enter; only their buckets are written."""
+    def patch(self, name: str, gone: DataFrame, upserts: DataFrame, touched: list[int] | None = None, whole: bool = False) -> None:
+        """Rows with a key of gone or of upserts leave, upserts enter; only their buckets (touched, where they are known) are written. whole: gone has the keys of upserts as well."""
         d = self.manifest["datasets"][name]
         keys, count = d["keys"], d["bucket_count"]
         old_schema = T.StructType.fromJson(d["schema"])
-        touched_keys = gone.select(*[col(k) for k in keys]).union(upserts.select(*[col(k) for k in keys])).distinct()
-        touched = self.touched(name, touched_keys)
+        names = [col(k) for k in keys]
+        touched_keys = (gone.select(*names) if whole else gone.select(*names).union(upserts.select(*names))).distinct()
+        touched = self.touched(name, touched_keys) if touched is None else touched
         if not touched:
             return
         old = self.store.read(name, self.manifest, touched).alias("o").join(touched_keys.alias("k"), same_keys(keys, "o", "k"), "left_anti")

@@ -122,17 +122,118 @@ def test_quarantine_and_retry(make, monkeypatch):
     cat = catalog()
     e = make(cat, attempts=2)
     e.apply(document(TOTALS, SETS))
-    real = e.target.upsert
-    monkeypatch.setattr(e.target, "upsert", lambda c, r, i: (_ for _ in ()).throw(RuntimeError("poison")) if c == "totals" else real(c, r, i))
+    real = e.target.merge
+    monkeypatch.setattr(e.target, "merge", lambda c, r, g, i: (_ for _ in ()).throw(RuntimeError("poison")) if c == "totals" else real(c, r, g, i))
     cat["changes"] = [order("insert", 600, 300, 9, "1.00")]
     e.sync()
     assert [q["pipeline"] for q in e.status()["quarantine"]] == ["totals"] and e.status()["pipelines"]["totals"]["health"] == "unhealthy"
     assert (9, [D("1.00")]) in docs(e, "sets")  # the others go on
-    monkeypatch.setattr(e.target, "upsert", real)
+    monkeypatch.setattr(e.target, "merge", real)
     e.retry_quarantined("totals")
     assert e.status()["quarantine"] == [] and (9, D("1.00")) in docs(e, "totals")
 
 
+def test_poison_parks_its_identity_alone(make, spark):
+    """A row that cannot be summed keeps its customer from being recomputed; all other customers go on, and a good row heals it."""
+    cat = {"tables": [{"name": "T", "watermark": 10, "primary_key": ["ID"], "columns": [{"name": "ID", "data_type": "NUMBER", "precision": 10, "scale": 0}, {"name": "C", "data_type": "NUMBER", "precision": 10, "scale": 0}, {"name": "V", "data_type": "VARCHAR2", "size": 20}], "rows": [{"ID": i, "C": i % 5, "V": "1"} for i in range(20)]}], "changes": []}
+    e = make(cat, attempts=2)
+    e.apply(document({"name": "sums", "mode": "transform", "source": {"table": "T"}, "outputIdentity": ["C"], "transform": [{"$group": {"_id": "$C", "total": {"$sum": "$V"}}}]}))
+    change = lambda i, v, at: {"table_name": "T", "op": "update", "position": at, "image": {"ID": i, "C": i % 5, "V": v}}
+    cat["changes"] = [change(i, "poison" if i == 7 else "2", 20 + i) for i in range(5, 10)]
+    e.sync()
+    sums = lambda: {r.C: int(D(r.total)) for r in e.target.documents("sums").collect()}
+    assert sums() == {0: 5, 1: 5, 2: 4, 3: 5, 4: 5}
+    parked = e.status()["quarantine"]
+    assert [(q["pipeline"], q["identity"]) for q in parked] == [("sums", {"C": "2"})] and e.status()["pipelines"]["sums"]["health"] == "unhealthy"
+    cat["changes"] += [change(11, "9", 40)]  # others go on, the parked one stays
+    e.sync()
+    assert sums()[1] == 13 and len(e.status()["quarantine"]) == 1
+    cat["changes"] += [change(7, "3", 50)]
+    e.sync()
+    assert sums()[2] == 6 and e.status()["quarantine"] == [] and e.status()["pipelines"]["sums"]["health"] == "ok"
+
+
+def test_one_writer_at_a_time(make, spark, tmp_path):
+    e, cat = make(catalog()), catalog()
+    e.apply(document(TOTALS))
+    other = Store(spark, e.store.root, 2)
+    with other.lock():
+        before = e.target.documents("totals").collect()
+        with pytest.raises(StoreBusy):
+            e.sync()
+        assert e.target.documents("totals").collect() == before  # nothing was delivered
+    assert e.sync() == {}
+    stale = Store(spark, e.store.root, 2, lease=0.0)
+    held = other.lock()
+    held.__enter__()
+    with stale.lock():  # a holder that is gone loses its lock
+        with pytest.raises(StoreBusy):
+            other.renew()
+    held.__exit__(None, None, None)
+    assert cat and e.sync() == {}
+
+
+def test_serve_restarts(make, monkeypatch):
+    import threading
+
+    cat = catalog()
+    e = make(cat)
+    e.apply(document(TOTALS))
+    stop, real, calls = threading.Event(), e.sync, []
+
+    def flaky(log=None):
+        calls.append(1)
+        if len(calls) in (1, 2):
+            raise OSError("source is away")
+        if len(calls) > 4:
+            stop.set()
+        return real(log)
+
+    monkeypatch.setattr(e, "sync", flaky)
+    cat["changes"] = [order("insert", 600, 300, 9, "1.00")]
+    assert e.serve(stop, idle=0.01, pause=0.01) == 1 and len(calls) == 5 and (9, D("1.00")) in docs(e, "totals")
+    stop.clear()
+    monkeypatch.setattr(e, "sync", lambda log=None: (_ for _ in ()).throw(OSError("gone for good")))
+    with pytest.raises(OSError):
+        e.serve(stop, idle=0.01, restarts=2, pause=0.01)
+
+
+def test_settings_and_disk(make):
+    for bad in ({"window": 0}, {"attempts": 0}, {"chunk_rows": 0}, {"load_rows_per_second": 0.0, "chunk_rows": 5}, {"load_rows_per_second": 10.0}, {"pause_seconds": -1.0}):
+        with pytest.raises(DocumentError):
+            make(catalog(), **bad)
+    with pytest.raises(DocumentError, match="free"):
+        make(catalog(), min_free_bytes=1 << 61).apply(document(TOTALS))
+
+
+def test_load_rate(make, monkeypatch):
+    import time as clock
+
+    waits = []
+    monkeypatch.setattr(clock, "sleep", waits.append)
+    e = make(catalog(), chunk_rows=1, load_rows_per_second=0.001)
+    e.apply(document(TOTALS))
+    assert sum(w > 100 for w in waits) >= 2 and e.store.read("base/ORDERS").count() == 3
+
+
+def test_an_update_reads_one_bucket(spark, tmp_path):
+    """The plan of a window's change reads the buckets that the log's keys are in, and no others."""
+    store = Store(spark, f"file://{tmp_path}/b", 16)
+    tx = store.transaction()
+    tx.replace("d", spark.range(1000).selectExpr("id AS k", "'v' AS v"), ["k"])
+    hit = tx.touched("d", spark.createDataFrame([(7,)], "k long"))
+    assert len(hit) == 1 and len({f.rsplit("/", 2)[1] for f in store.read("d", tx.manifest, hit).inputFiles()}) == 1
+    tx.append("d", spark.range(1000, 1100).selectExpr("id AS k", "'w' AS v"))
+    assert store.read("d", tx.manifest).count() == 1100
+    tx.patch("d", spark.createDataFrame([(1001,)], "k long"), spark.createDataFrame([(3, "x")], "k long, v string"))
+    rows = {r.k: r.v for r in store.read("d", tx.manifest).collect()}
+    assert len(rows) == 1099 and 1001 not in rows and rows[3] == "x"
+    small = Store(spark, f"file://{tmp_path}/c", 2, bucket_bytes=2000)
+    tx = small.transaction()
+    tx.replace("d", spark.range(5000).selectExpr("id AS k", "uuid() AS v"), ["k"])
+    assert tx.manifest["datasets"]["d"]["bucket_count"] > 16 and small.read("d", tx.manifest).count() == 5000
+
+
 def test_schema_changes(make):
     cat = catalog()
     e = make(cat)
