@@ -76,17 +76,35 @@ def drop_stages(spark: SparkSession, since: int, keep: DataFrame) -> None:
         _delete(spark, path)
 
 
+def _give_back() -> None:
+    """Memory that a Python worker has freed goes back to the machine, as workers live on, idle, through later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such call nothing is given back
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean_group(compare: Callable) -> Callable:
+    """A function over groups, each after which freed memory is given back."""
+
+    @functools.wraps(compare)
+    def tidied(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return compare(key, table)
+        finally:
+            _give_back()
+
+    return tidied
+
+
 def lean(run: Callable) -> Callable:
-    """A function over batches after which a Python worker gives freed memory back, as workers live on through later stages."""
+    """A function over batches after which freed memory is given back."""
 
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # where there is no such call nothing is given back
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return tidied
 

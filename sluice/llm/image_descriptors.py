@@ -37,7 +37,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import lean, stage
+from sluice.llm.common import lean, lean_group, stage
 from sluice.llm.components import components
 
 SCALES, CORNERS, AREA, BITS, RADIUS, TURNS, LIST, VOTES, CONFIRM, BLOCK, BLOCKS = (1.0, 0.84, 0.7), 32, 72 * 72, 128, 7, 24, 1 << 21, 4, 8, 24_000_000, 4
@@ -364,7 +364,7 @@ def copies(media: DataFrame, id_col: str = "media_id", bytes_col: str = "bytes",
     dealt = chosen.where(F.length("features") > 0).select(F.col("media_id").alias("rep"), "features").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     dealt = dealt.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "features")
-    reached = stage(dealt.groupBy("x", "y").applyInArrow(_compared(votes), "rep long, root long, n long"), "links")
+    reached = stage(dealt.groupBy("x", "y").applyInArrow(lean_group(_compared(votes)), "rep long, root long, n long"), "links")
     links = reached.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
     degree = reached.groupBy("rep").agg(F.sum("n").alias("n_links"))
     joined = components(links).withColumnRenamed("node", "rep")

@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import drop_stage, lean, maybe_in, mix, spans, stage, text_bytes, word_bounds, word_hashes
+from sluice.llm.common import drop_stage, lean, lean_group, maybe_in, mix, spans, stage, text_bytes, word_bounds, word_hashes
 from sluice.llm.components import components
 
 K, RUN, SMALL, PAIRS, FREE, SALT = 64, 3, 8, 24, 8, 256
@@ -241,7 +241,7 @@ def _crowded(crowd: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         a, b = _linked_in(x, y, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("family", "block", "other").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("family", "block", "other").applyInArrow(lean_group(compare), "a long, b long")
 
 
 def _linked_in(x: pa.Table, y: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
