@@ -492,11 +492,11 @@ def catalog_source(spark, sf_dir):
     return src.rows("nation").withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
 
 
-@query("SELECT * FROM (VALUES ('lineitem: no primary key'), ('nothing: cannot be read'), ('supplier: the primary key is not unique')) t(problem)")
+@query("SELECT * FROM (VALUES ('lineitem: no primary key'), ('nothing: cannot be read'), ('customer: the primary key is not unique')) t(problem)")
 def prerequisites(spark, sf_dir):
     """All that stands against a sync, at once."""
-    src = ParquetSource(spark, sf_dir, {"orders": ["o_orderkey"], "supplier": ["s_nationkey"]})
-    return spark.createDataFrame([(p.split(" (")[0],) for p in src.problems(["orders", "lineitem", "supplier", "nothing"])], "problem string")
+    src = ParquetSource(spark, sf_dir, {"orders": ["o_orderkey"], "customer": ["c_nationkey"]})
+    return spark.createDataFrame([(p.split(" (")[0],) for p in src.problems(["orders", "lineitem", "customer", "nothing"])], "problem string")
 
 
 @query("SELECT * FROM (VALUES ('add_column note', 'unaffecting'), ('alter_column o_custkey', 'blocking'), ('drop_column o_orderpriority', 'unaffecting'), ('drop_column o_totalprice', 'blocking'), ('drop_table', 'blocking')) t(change, impact)")
