@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,12 @@ from sluice.llm import ball_tree, html_region, image_descriptors, log_templates,
 from sluice.llm.common import stage, table
 
 
+#: The models of the shipped labelled tables, which do not depend on the data, fitted once for a driver.
+shipped_field, shipped_weights = functools.cache(pii.train), functools.cache(html_region.weigh)
+
+
 def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents"), pii.train())
+    found = pii.find(table(spark, sf_dir, "documents"), shipped_field())
     own = F.filter("spans", lambda x: x["base"])
 
     def count(kind):
@@ -44,7 +50,7 @@ def op3_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_region.extract(table(spark, sf_dir, "pages"))
+    return html_region.extract(table(spark, sf_dir, "pages"), shipped_weights())
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
