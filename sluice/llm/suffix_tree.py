@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,15 +112,19 @@ def _counted(words: list[np.ndarray], grams: list[np.ndarray]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
 
-def _turned(contexts, depth: int, bits: int = 6):
+def _turned(contexts: np.ndarray, depth: int, bits: int = 6) -> np.ndarray:
     """Codes of so many symbols with the latest highest, as if followed by symbols 0 up to DEPTH: contexts with a common suffix are a range."""
     out = contexts * 0
     for i in range(depth):
-        shift, to = bits * i, bits * (DEPTH - 1 - i)
-        if isinstance(contexts, np.ndarray):
-            out = out | (contexts >> shift & ((1 << bits) - 1)) << to
-        else:
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(contexts, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long")), to))
+        out = out | (contexts >> bits * i & ((1 << bits) - 1)) << bits * (DEPTH - 1 - i)
+    return out
+
+
+def _straight(turned: np.ndarray, depth: int, bits: int = 6) -> np.ndarray:
+    """The codes of so many symbols, the latest lowest, that _turned() gave these for."""
+    out = turned * 0
+    for i in range(depth):
+        out = out | (turned >> bits * (DEPTH - 1 - i) & ((1 << bits) - 1)) << bits * i
     return out
 
 
@@ -233,16 +238,18 @@ def _most(df: DataFrame, column: str, at_most: int) -> DataFrame:
     return df.where(step >= F.lit(least)) if least is not None else df.limit(0)
 
 
-def _ranges(kept: DataFrame, at_most: int) -> list[tuple[int, int]]:
-    """Ranges of turned codes, in each of which so many of the contexts begin at most (but at least those that begin at one code)."""
+def _ranges(kept: DataFrame, short: np.ndarray, at_most: int) -> list[tuple[int, int]]:
+    """Ranges of turned codes, in each of which so many of the contexts (those kept, and the short ones) begin at most (but at least those that begin at one code)."""
     shift = 6 * (DEPTH - 3)  # three symbols: at most 4161 contexts and those of fewer symbols
     while True:
-        counts = kept.groupBy(F.shiftright("turned", shift).alias("c")).agg(F.count("*").alias("n")).toPandas().sort_values("c")
-        if shift == 0 or counts["n"].max() <= at_most or not len(counts):
+        found = kept.groupBy(F.shiftright("turned", shift).alias("c")).agg(F.count("*").alias("n")).toArrow()
+        codes, at = np.unique(np.concatenate([found["c"].to_numpy(), short >> shift]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([found["n"].to_numpy(), np.ones(len(short), np.int64)]), len(codes)).astype(np.int64)
+        if shift == 0 or not len(counts) or counts.max() <= at_most:
             break
         shift -= 6
     bounds, held = [0], 0
-    for c, n in zip(counts["c"].tolist(), counts["n"].tolist(), strict=True):
+    for c, n in zip(codes.tolist(), counts.tolist(), strict=True):
         if held and held + n > at_most:
             bounds.append(c << shift)
             held = 0
@@ -255,8 +262,81 @@ def learn(grams: DataFrame) -> Tree:
     return next(trees(grams)[1])
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, with their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _saved(n: np.ndarray, up: np.ndarray, up_all: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bits that contexts save over their suffixes: sum of n * log2(p / p of the suffix), with the context's own total taken out of the logarithm. first: where each context's next symbols begin."""
+    total = np.add.reduceat(n, first).astype(np.float64)
+    return np.add.reduceat(n * np.log2(n.astype(np.float64) * up_all / up), first) - total * np.log2(total)
+
+
+def _passing(keys: np.ndarray, n: np.ndarray, up_keys: np.ndarray, up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts that pass the test, and from where to where in keys their next symbols are. keys: context, latest symbol highest, and next symbol, in order; up_keys: those of the suffixes."""
+    if not len(keys):
+        return (np.zeros(0, np.int64),) * 3
+    contexts, suffixes = keys >> 6, up_keys >> 6
+    first = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1]))
+    starts = np.flatnonzero(np.append(True, suffixes[1:] != suffixes[:-1]))
+    all_of = np.add.reduceat(up, starts)[np.searchsorted(suffixes[starts], contexts >> 6)]
+    passed = _saved(n, up[np.searchsorted(up_keys, contexts >> 6 << 6 | keys & 63)], all_of, first) >= FLOOR
+    return contexts[first[passed]], first[passed], np.append(first[1:], len(keys))[passed]
+
+
+def _within(keys: np.ndarray, n: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next symbols and counts of the contexts, one after the other."""
+    size = last - first
+    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return keys[at] & 63, n[at]
+
+
+def _chosen(pairs: np.ndarray):
+    """For runs in order of their contexts' latest symbols, whose runs of 3 such symbols are whole: the contexts of 3 symbols or more that pass. pairs: counts of two symbols, latest first, and the next one."""
+    up_keys = np.flatnonzero(pairs)
+    up_n = pairs[up_keys]
+
+    def whole(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, n = _summed(keys, n)
+        for d in range(DEPTH, 2, -1):
+            above = _summed(keys >> 12 << 6 | keys & 63, n) if d > 3 else (up_keys, up_n)
+            contexts, first, last = _passing(keys, n, *above)
+            symbols, counts = _within(keys, n, first, last)
+            at, turned = pa.array(np.append(0, np.cumsum(last - first)), pa.int32()), contexts << 6 * (DEPTH - d)
+            columns = [pa.array(turned), pa.array(turned + (1 << 6 * (DEPTH - d))), pa.array(np.full(len(contexts), d, np.int8)), pa.ListArray.from_arrays(at, pa.array(symbols.astype(np.int8))), pa.ListArray.from_arrays(at, pa.array(counts))]
+            yield pa.RecordBatch.from_arrays(columns, names=["turned", "upto", "d", "s", "n"])
+            keys, n = above
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held = [], [], 0
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy())
+            counts.append(batch.column(1).to_numpy())
+            held += len(keys[-1])
+            if held < 200_000:
+                continue
+            k, c = np.concatenate(keys), np.concatenate(counts)
+            cut = int(np.searchsorted(k, k[-1] >> 18 << 18))  # the last run of 3 symbols may go on
+            if cut:
+                yield from whole(k[:cut], c[:cut])
+            keys, counts, held = [k[cut:]], [c[cut:]], len(k) - cut
+        if held:
+            yield from whole(np.concatenate(keys), np.concatenate(counts))
+
+    return choose
+
+
 def trees(grams: DataFrame) -> tuple[int, Iterator[Tree]]:
-    """The number of trees, and the trees, each made when it is asked for."""
+    """The number of trees, and the trees, each made when it is asked for.
+
+    Contexts of up to 2 symbols (4161 at most) are tested here. The runs that share the latest 3 symbols of their contexts (1 << 18
+    at most) are tested in one task, which has all suffixes of these contexts from 3 symbols on. The driver plans few queries, one
+    for each tree, as every plan takes some of its memory."""
+    spark = grams.sparkSession
     bytes_ = dict(grams.groupBy((F.col("key").bitwiseAND(F.lit(511))).alias("b")).agg(F.sum("n").alias("n")).collect())
     order = sorted((b for b in range(256)), key=lambda b: (b != 32, -bytes_.get(b, 0), b))
     symbol_of, other, rest = np.full(257, SYMBOLS - 2, np.int64), np.zeros(257), order[SYMBOLS - 2 :]
@@ -265,35 +345,45 @@ def trees(grams: DataFrame) -> tuple[int, Iterator[Tree]]:
     of_rest = np.array([bytes_.get(b, 0) + 0.5 for b in rest])
     other[rest] = np.log10(of_rest / of_rest.sum())
     names = F.array(*[F.lit(int(s)) for s in symbol_of])
-    code = F.lit(0).cast("long")
-    for d in range(DEPTH, -1, -1):
-        b = F.shiftright(F.col("key"), 9 * d).bitwiseAND(F.lit(511).cast("long")) + 1
-        code = F.shiftleft(code, 6).bitwiseOR(F.element_at(names, b.cast("int")).cast("long"))
-    runs = stage(grams.select(code.alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n")), "runs")
-    levels = {DEPTH: runs.select(F.shiftright("code", 6).alias("ctx"), F.col("code").bitwiseAND(F.lit(63).cast("long")).cast("int").alias("s"), "n")}
-    saved = None
-    for d in range(DEPTH, 0, -1):
-        suffix = F.col("ctx").bitwiseAND(F.lit((1 << 6 * (d - 1)) - 1).cast("long"))
-        levels[d - 1] = up = stage(levels[d].withColumn("ctx", suffix).groupBy("ctx", "s").agg(F.sum("n").alias("n")), "level")
-        above = up.select(F.col("ctx").alias("suffix"), "s", F.col("n").alias("up")).join(up.groupBy(F.col("ctx").alias("suffix")).agg(F.sum("n").alias("up_all")), "suffix")
-        both = levels[d].withColumn("suffix", suffix).join(above, ["suffix", "s"])
-        # sum of n * log2(p / p of the suffix), with the context's own total taken out of the logarithm
-        parts = both.groupBy("ctx").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log2(F.col("n").cast("double") * F.col("up_all") / F.col("up"))).alias("bits"))
-        bits = parts.select(F.lit(d).alias("d"), "ctx", (F.col("bits") - F.col("all") * F.log2(F.col("all").cast("double"))).alias("bits")).where(F.col("bits") >= FLOOR)
-        saved = bits if saved is None else saved.union(bits)
-    turned = F.lit(None).cast("long")
-    for d in range(1, DEPTH + 1):
-        turned = F.when(F.col("d") == d, _turned(F.col("ctx"), d)).otherwise(turned)
-    kept = stage(saved.withColumn("turned", turned).drop("bits"), "contexts")
-    ranges = _ranges(kept, max(1, STATES - DEPTH))
-
-    def entries(d: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the contexts of d symbols that have longer ones, or themselves, in the range."""
-        own = kept.where((F.col("d") == d) & (F.col("turned") < high) & (F.col("turned") + (1 << 6 * (DEPTH - d)) > low)).select("ctx")
-        rows = (levels[d] if d == 0 else levels[d].join(own, "ctx", "left_semi")).select("ctx", F.col("s").cast("byte").alias("s"), "n").toPandas()  # at most STATES contexts over all depths
-        return rows["ctx"].to_numpy(np.int64), rows["s"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-
-    return len(ranges), (Tree(symbol_of, other, {d: entries(d, *r) for d in range(DEPTH + 1)}, r) for r in ranges)
+
+    def run(depth: int) -> F.Column:
+        """The latest symbols before a run's last, the latest highest, and the last."""
+        code = F.lit(0).cast("long")
+        for d in [*range(1, depth + 1), 0]:
+            b = F.shiftright(F.col("key"), 9 * d).bitwiseAND(F.lit(511).cast("long")) + 1
+            code = F.shiftleft(code, 6).bitwiseOR(F.element_at(names, b.cast("int")).cast("long"))
+        return code
+
+    found = grams.select(run(2).alias("run"), "n").groupBy("run").agg(F.sum("n").alias("n")).toArrow()  # at most 1 << 18
+    pairs = np.zeros(1 << 18, np.int64)
+    pairs[found["run"].to_numpy()] = found["n"].to_numpy()
+    short, above = {}, None
+    for d in range(3):
+        dense = pairs.reshape(64, 64, 64).sum(tuple(range(d, 2))).ravel()
+        keys, n = np.flatnonzero(dense), dense[dense > 0]
+        contexts, first, last = _passing(keys, n, *above) if d else (np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, len(keys)))
+        short[d], above = (contexts << 6 * (DEPTH - d), first, last, keys, n), (keys, n)
+    runs = grams.select(run(DEPTH).alias("run"), "n").groupBy("run").agg(F.sum("n").alias("n"))  # first, as many runs of bytes may share the symbol of all others
+    runs = runs.repartition(F.shiftright("run", 18)).sortWithinPartitions("run")
+    model = spark.sparkContext.broadcast(pairs)
+    choose = lambda batches: _chosen(model.value)(batches)
+    kept = stage(runs.mapInArrow(lean(choose), "turned long, upto long, d byte, s array<tinyint>, n array<bigint>"), "contexts")
+    model.destroy()
+    ranges = _ranges(kept, np.concatenate([short[d][0] for d in (1, 2)]), max(1, STATES - DEPTH))
+
+    def entries(low: int, high: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the contexts that have longer ones, or themselves, in the range, by their number of symbols."""
+        rows, out = kept.where((F.col("turned") < high) & (F.col("upto") > low)).toArrow().combine_chunks(), {}  # at most STATES contexts
+        for d, (turned, first, last, keys, n) in short.items():
+            mine = (turned < high) & (turned + (1 << 6 * (DEPTH - d)) > low)
+            out[d] = (np.repeat(_straight(turned[mine], d), (last - first)[mine]), *_within(keys, n, first[mine], last[mine]))
+        for d in range(3, DEPTH + 1):
+            own = rows.filter(pc.equal(rows["d"], d))
+            s, n = (pa.concat_arrays(own[c].chunks or [pa.array([], own[c].type)]) for c in ("s", "n"))
+            out[d] = np.repeat(_straight(own["turned"].to_numpy(), d), s.value_lengths().to_numpy()), s.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy()
+        return out
+
+    return len(ranges), (Tree(symbol_of, other, entries(*r), r) for r in ranges)
 
 
 def _part(numbered: DataFrame, held: list[Tree]) -> DataFrame:
@@ -309,7 +399,7 @@ def _part(numbered: DataFrame, held: list[Tree]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts)], names=["row", "part"])
 
     out = stage(numbered.select("row", "text").mapInArrow(lean(score), "row long, part double"), "parts")
-    model.unpersist()
+    model.destroy()  # the driver holds a copy as well
     return out
 
 
@@ -324,8 +414,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + ends, distinct + (ends > 0)
     scale = total + 0.5 * (distinct + 1)
-    top = _most(words, "n", TOP).toPandas().sort_values("key")
-    keys, log10_of = top["key"].to_numpy(np.int64), np.log10((top["n"].to_numpy(np.float64) + 0.5) / scale)
+    top = _most(words, "n", TOP).toArrow().sort_by("key")
+    keys, log10_of = top["key"].to_numpy(), np.log10((top["n"].to_numpy() + 0.5) / scale)
     log10_end = float(np.log10((ends + 0.5) / scale))
     n_trees, made = trees(counts.where("kind = 1").select("key", "n"))
     numbered = plain.withColumn("row", F.monotonically_increasing_id())
@@ -357,9 +447,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     kind = dict(plain.dtypes)["doc_id"]
     each = stage(numbered.mapInArrow(lean(score), f"doc_id {kind}, held_out boolean, row long, words long, common long, base double, score double, rare array<bigint>"), "scores")
+    model.destroy()
     parts = []
-    while held := list(itertools.islice(made, HELD)):
-        parts.append(_part(numbered, held))
+    for _ in range(HELD, n_trees, HELD):  # no name for the trees, so that these go before the next are made
+        parts.append(_part(numbered, list(itertools.islice(made, HELD))))
     if parts:
         more = parts[0]
         for part in parts[1:]:

@@ -178,6 +178,61 @@ def test_tree(docs, scored, spark):
     assert sum(r.score for r in held) / flat > sum(len(b" ".join(words(texts[r.doc_id]))) + 1 for r in held) * math.log10(1 / 64) / flat
 
 
+def byte_runs(df):
+    return df.select("text").mapInArrow(st._count, "kind byte, key long, n long").where("kind = 1").groupBy("key").sum("n").withColumnRenamed("sum(n)", "n")
+
+
+def test_contexts_by_definition(docs, prose):
+    """The contexts that pass the test, and no others, with the counts of their next symbols."""
+    texts = [prose(5 + (i * 13) % 150, i, 40) for i in range(40)] + [None, "", "aa aab aac " * 30]
+    tree, counts = st.learn(byte_runs(docs(texts))), collections.defaultdict(collections.Counter)
+    for t in texts:
+        past = [63] * 5
+        for b in [*b" ".join(words(t)), 256]:
+            s = int(tree.symbol_of[b])
+            for d in range(6):
+                counts[tuple(past[:d])][s] += 1
+            past = [s, *past][:5]
+    want, near = set(), set()
+    for c, n in counts.items():
+        if c:
+            up = counts[c[:-1]]
+            bits = sum(x * math.log2(x / n.total() * up.total() / up[s]) for s, x in n.items())
+            (near if abs(bits - st.FLOOR) < 1e-6 else want if bits > st.FLOOR else set()).add((len(c), sum(x << 6 * k for k, x in enumerate(c))))
+    assert want <= set(tree.order) <= want | near | {(0, 0)} and {d for d, _ in want} == {1, 2, 3, 4, 5}
+
+
+def test_few_queries(docs, scored, spark, monkeypatch):
+    """A tree takes one query, as each plan takes some of the driver's memory."""
+    monkeypatch.setattr(st, "STATES", 60)
+    texts, _ = scored
+    grams = byte_runs(docs(texts)).localCheckpoint()
+    n, made = st.trees(grams)
+    assert n > 3
+    spark.sparkContext.setJobGroup("trees", "trees")
+    try:
+        assert len([next(made) for _ in range(3)]) == 3
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("trees")) <= 6
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_parts_and_groups():
+    """However runs are dealt into batches, the same contexts are chosen."""
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 4, (300_000, 6)) @ (1 << 6 * np.arange(6))[::-1])
+    n, pairs = rng.integers(1, 2000, len(keys)), np.zeros(1 << 18, np.int64)
+    np.add.at(pairs, keys >> 24 << 6 | keys & 63, n)
+    keys, n = np.repeat(keys, 60), np.repeat(n, 60)  # sums of 60 rows
+
+    def chosen(size):
+        batches = (pa.record_batch([pa.array(keys[i : i + size]), pa.array(n[i : i + size])], names=["run", "n"]) for i in range(0, len(keys), size))
+        return sorted((r["d"], r["turned"], r["upto"], tuple(r["s"]), tuple(r["n"])) for b in st._chosen(pairs * 60)(batches) for r in b.to_pylist())
+
+    whole = chosen(len(keys))
+    assert len(whole) > 100 and {r[0] for r in whole} == {3, 4, 5} and chosen(977) == whole
+
+
 def test_model_is_bounded(docs, prose, monkeypatch):
     monkeypatch.setattr(st, "STATES", 20)
     df = docs([prose(200, 1, 30)])
