@@ -342,3 +342,34 @@ def test_log_helpers(spark):
     assert ids[1:3] == ["log:T:2:insert:1:a:1", "log:T:2:update:1:a:2"]
     both = changes.merged(log, spark.createDataFrame([(2, "ddl")], "position long, kind string")).collect()
     assert [("ddl" in r.event) for r in both] == [False, True, False, False, False]
+
+
+def test_a_backlog_is_worked_off_in_few_cycles(make, monkeypatch):
+    """With more due than a window, a cycle takes as many changes as the bases that it rewrites have rows; without catch_up, a window."""
+    cat = catalog()
+    cat["tables"][1]["rows"] = [{"ORDER_ID": i, "CUSTOMER_ID": i % 5, "AMOUNT": "1.00", "ADDRESS": "x"} for i in range(12)]
+    e = make(cat, window=2)
+    e.apply(document(CUSTOMERS, TOTALS))
+    cycles, real = [], e._apply_batch
+    monkeypatch.setattr(e, "_apply_batch", lambda batch, pending: cycles.append(batch.count()) or real(batch, pending))
+    cat["changes"] = [order("update", 600 + i // 3, i % 12, i % 5, f"{i}.00") | {"ssn": i} for i in range(30)]
+    assert e.sync() == {"ORDERS": 30} and len(cycles) <= 3 and max(cycles) >= 12
+    assert docs(e, "totals") == [(k, D(sum(i for i in range(18, 30) if i % 5 == k))) for k in range(5)]
+    assert e.status()["bases"]["ORDERS"]["lag"] == 0 and e.status()["bases"]["ORDERS"]["checkpoint"] == 609
+    cycles.clear()
+    e.options = Options(window=2, catch_up=False)
+    cat["changes"] = [order("insert", 700 + i, 700 + i, 9, "1.00") for i in range(4)]
+    assert e.sync() == {"ORDERS": 4} and cycles == [2, 2]
+
+
+def test_first_rows_without_one_task_for_all(spark, monkeypatch):
+    monkeypatch.setattr(changes, "TASK_ROWS", 3)
+    keys = [-(2**63), 2**63 - 1, *range(50), *[7] * 9, *range(10**9, 10**9 + 40)]
+    log = spark.createDataFrame([("T", "update", k, "a", i, "{}") for i, k in enumerate(keys)], changes.SCHEMA)
+    wanted = sorted((k, "a", i) for i, k in enumerate(keys))
+    for n in (1, 5, 12, 40, 70, 101, 500):
+        got = [(r.position, r.rs_id, r.ssn) for r in changes.window(log, n).collect()]
+        assert sorted(got) == wanted[:n]
+        part = sorted(r.position for r in changes.stretch(log, n).collect())
+        assert len(part) >= min(n, len(keys)) and part == [k for k, _, _ in wanted if k <= part[-1]]
+    assert "TakeOrdered" not in changes.window(log, 500)._jdf.queryExecution().toString()
