@@ -373,3 +373,23 @@ def test_first_rows_without_one_task_for_all(spark, monkeypatch):
         part = sorted(r.position for r in changes.stretch(log, n).collect())
         assert len(part) >= min(n, len(keys)) and part == [k for k, _, _ in wanted if k <= part[-1]]
     assert "TakeOrdered" not in changes.window(log, 500)._jdf.queryExecution().toString()
+
+
+def test_no_job_fails_for_texts_that_are_no_numbers(make, monkeypatch):
+    """They are found in one pass and parked with what they say; the others are brought up to date at the first attempt."""
+    cat = {"tables": [{"name": "T", "watermark": 10, "primary_key": ["ID"], "columns": [number("ID", 10), number("C", 10), {"name": "V", "data_type": "VARCHAR2", "size": 20}], "rows": [{"ID": i, "C": i % 5 or None, "V": "1"} for i in range(20)]}], "changes": []}
+    e = make(cat, attempts=1)
+    e.apply(document({"name": "sums", "mode": "transform", "source": {"table": "T"}, "outputIdentity": ["C"], "transform": [{"$group": {"_id": "$C", "total": {"$sum": "$V"}, "hi": {"$max": "$V"}}}]}))
+    calls, real = [], e._update
+
+    def update(*args):
+        calls.append("failed")
+        real(*args)
+        calls[-1] = "done"
+
+    monkeypatch.setattr(e, "_update", update)
+    cat["changes"] = [{"table_name": "T", "op": "update", "position": 20 + i, "image": {"ID": i, "C": i % 5 or None, "V": {7: "poison", 5: "1e", 9: None}.get(i, "2")}} for i in range(5, 10)]
+    e.sync()
+    assert calls == ["done"]
+    assert {r.C: int(D(r.total)) for r in e.target.documents("sums").collect()} == {None: 4, 1: 5, 2: 4, 3: 5, 4: 3}
+    assert sorted((q["identity"]["C"] or "", q["error"]) for q in e.status()["quarantine"]) == [("", "'1e' is no number"), ("2", "'poison' is no number")]
