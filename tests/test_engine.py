@@ -393,3 +393,24 @@ def test_no_job_fails_for_texts_that_are_no_numbers(make, monkeypatch):
     assert calls == ["done"]
     assert {r.C: int(D(r.total)) for r in e.target.documents("sums").collect()} == {None: 4, 1: 5, 2: 4, 3: 5, 4: 3}
     assert sorted((q["identity"]["C"] or "", q["error"]) for q in e.status()["quarantine"]) == [("", "'1e' is no number"), ("2", "'poison' is no number")]
+
+
+def test_align_in_parts_without_one_task_for_all(make, monkeypatch):
+    """A sample of all rows is the table as it is; a large one is cut by counts; both sides are compared in as many parts as their rows ask for."""
+    from sluice.control import engine as module
+
+    monkeypatch.setattr(changes, "TASK_ROWS", 3)
+    monkeypatch.setattr(module, "PART_ROWS", 5)
+    cat = catalog()
+    cat["tables"][1]["rows"] = rows = [{"ORDER_ID": i * i, "CUSTOMER_ID": i % 5, "AMOUNT": None if i == 3 else "1.00", "ADDRESS": "x"} for i in range(20)]
+    e = make(cat)
+    e.apply(document(TOTALS))
+    whole, more = e.source.sample("ORDERS", 20)
+    assert not more and whole.count() == 20 and "Limit" not in whole._jdf.queryExecution().toString()
+    part, more = e.source.sample("ORDERS", 11)
+    assert more and sorted(r.ORDER_ID for r in part.collect()) == [i * i for i in range(11)]
+    cat["tables"][1]["rows"] = [r | {"AMOUNT": None if r["ORDER_ID"] == 16 else r["AMOUNT"]} for r in rows[:19] if r["ORDER_ID"] != 25] + [{"ORDER_ID": -7, "CUSTOMER_ID": 1, "AMOUNT": "2.00", "ADDRESS": None}]
+    wanted = [(r["ORDER_ID"], r["AMOUNT"]) for r in cat["tables"][1]["rows"]]
+    assert e.align("ORDERS") == {"table": "ORDERS", "checked": 19, "missing": 1, "different": 1, "extra": 2, "partial": False}
+    assert sorted((r.ORDER_ID, r.AMOUNT and str(r.AMOUNT)) for r in e.store.read("base/ORDERS").collect()) == sorted(wanted)
+    assert e.align("ORDERS") == {"table": "ORDERS", "checked": 19, "missing": 0, "different": 0, "extra": 0, "partial": False}
